@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -116,12 +117,13 @@ _LOOSE = [_Codec(c, True) for c in CODECS]
 _FIRST = "".join(sorted({c for x in _LOOSE for c, bs in x.bytes.items() if any(b in LEADS for b in bs)} | {"�"}))
 _C1 = re.compile("[\x80-\x9f]")
 _BROKEN = re.compile("�|(?<=[a-záéíóúñ])[ÃÂ√├┬]|[Ã√├┬](?=[a-záéíóúñ])|(?<=[^\\W\\d_])[±³©≠∫≥│║▒⌐∂∑‰¤](?=[^\\W\\d_])|ï¿½")
-_ASCII_TAILS = re.compile(r"[^\x00-\x7f]")
+#: One character class, so that a clean text costs one scan: no affected text lacks all of these.
+_QUICK = re.compile("[\x80-\x9f" + re.escape(_FIRST) + re.escape("±³©≠∫≥│║▒⌐∂∑‰¤") + "]")
 
 
 def repair(text: str) -> tuple[bool, str, bool]:
     """(affected, restored text, whether something stays lost) of one text."""
-    if not text or text.isascii():
+    if not text or text.isascii() or not _QUICK.search(text):
         return False, text, False
     affected = False
     for _ in range(5):
@@ -139,13 +141,6 @@ def repair(text: str) -> tuple[bool, str, bool]:
     return affected or lost, text, lost
 
 
-def suspicious(c: Column) -> Column:
-    """A cheap test, inside the JVM, that holds for every affected text: some character can be damage."""
-    cls = "".join("\\x{%x}" % ord(x) for x in _FIRST)
-    tail = "".join("\\x{%x}" % ord(x) for x in sorted({t for x in _LOOSE for t, bs in x.bytes.items() if any(0x80 <= b < 0xC0 for b in bs)}))
-    return c.rlike(f"[{cls}][ {tail}]|[\\x{{80}}-\\x{{9f}}\\x{{fffd}}]|{_BROKEN.pattern}")
-
-
 def _repair_all(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([repair(t) if t is not None else (False, None, False) for t in s], columns=["affected", "restored", "lost"])
 
@@ -156,15 +151,22 @@ def repaired(c: Column) -> Column:
 
 
 def damaged_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field_name, original, restored, lost) of each affected field value; clean texts never leave the JVM."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").alias("original")) for f in fields]))
-    rows = df.select(F.col(f"`{key}`").alias(key), each.alias("v")).select(key, "v.field_name", "v.original").where(suspicious(F.col("original")))
-    return rows.withColumn("r", repaired(F.col("original"))).where("r.affected").select(key, "field_name", "original", "r.restored", "r.lost")
-
-
-def restore_text(c: Column) -> Column:
-    """A text column repaired; for use where the rows are wanted whole."""
-    return F.when(suspicious(c), repaired(c)["restored"]).otherwise(c)
+    """(key, field_name, original, restored, lost) of each affected field value, in one pass without a shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for f, name in enumerate(fields):
+                for k, text in zip(b["k"], b[f"f{f}"], strict=True):
+                    if text and not text.isascii() and _QUICK.search(text):
+                        affected, restored, lost = repair(text)
+                        if affected:
+                            out.append((k, name, text, restored, lost))
+            yield pd.DataFrame(out, columns=[key, "field_name", "original", "restored", "lost"])
+
+    rows = df.select(F.col(f"`{key}`").alias("k"), *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(fields)])
+    kind = rows.schema["k"].dataType.simpleString()
+    return rows.mapInPandas(run, f"`{key}` {kind}, field_name string, original string, restored string, lost boolean")
 
 
 def fold(text: str) -> str:

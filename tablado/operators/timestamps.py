@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from zoneinfo import available_timezones
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names of months and weekdays in Spanish and English, accents removed.
@@ -80,10 +80,10 @@ def _int(c: Column) -> Column:
 
 
 def _month_number(c: Column) -> Column:
-    out = F.when(c.rlike(r"^\d+$"), c.try_cast("int"))
-    for number, names in enumerate(MONTH_NAMES, 1):
-        out = out.when(c.isin(*names), F.lit(number))
-    return out
+    """A month from digits or from the first three letters of its name, which tell all names apart."""
+    heads = {name[:3]: number for number, names in enumerate(MONTH_NAMES, 1) for name in names}
+    by_name = F.create_map(*[F.lit(x) for pair in heads.items() for x in pair])
+    return F.when(c.rlike(r"^\d+$"), c.try_cast("int")).otherwise(by_name[F.substring(c, 1, 3)])
 
 
 def _days_in(year: Column, month: Column) -> Column:
@@ -95,15 +95,19 @@ def _exists(year: Column, month: Column, day: Column) -> Column:
     return year.between(1, 9999) & month.between(1, 12) & (day >= 1) & (day <= _days_in(year, month))
 
 
-def _zone(text: Column, default: Column) -> Column:
-    aliases = F.create_map(*[F.lit(x) for pair in ZONE_ALIASES.items() for x in pair])
-    regions = F.create_map(*[F.lit(x) for name in sorted(available_timezones()) if "/" in name for x in (name.lower(), name)])
+def _zone_table(spark: SparkSession) -> DataFrame:
+    """(lower-case name, zone) of the spoken zones and of every region; some 600 rows."""
+    known = ZONE_ALIASES | {name.lower(): name for name in available_timezones() if "/" in name}
+    return spark.createDataFrame(sorted(known.items()), "zone_text string, zone_name string")
+
+
+def _zone(text: Column, default: Column, named: Column) -> Column:
     offset = F.regexp_extract(text, r"^(?:utc|gmt)?([+-]\d{1,2}(?::?\d{2})?)$", 1)
     hours = F.lpad(F.regexp_extract(offset, r"^[+-](\d{1,2})", 1), 2, "0")
     minutes = F.regexp_extract(offset, r"^[+-]\d{2}:?(\d{2})$", 1)
     minutes = F.when(minutes == "", "00").otherwise(minutes)
     fixed = F.when((hours.cast("int") * 60 + minutes.cast("int") <= 18 * 60) & (minutes < "60"), F.concat(F.substring(offset, 1, 1), hours, F.lit(":"), minutes))
-    return F.when(text == "", default).when(offset != "", fixed).when(text.contains("/"), regions[text]).otherwise(aliases[text])
+    return F.when(text == "", default).when(text.rlike(r"\d"), F.coalesce(fixed, named)).otherwise(named)
 
 
 def _iso_utc(ms: Column) -> Column:
@@ -164,6 +168,8 @@ def normalise_timestamps(
     df = df.withColumn(n("p"), parts)
     p = lambda i: F.col(n("p"))[i]
 
+    zones = _zone_table(df.sparkSession).toDF(n("zt"), n("zn"))
+    df = df.withColumn(n("zt0"), p(9)).join(F.broadcast(zones), F.col(n("zt0")) == F.col(n("zt")), "left")
     year = F.when(F.length(p(0)) == 2, _int(p(0)) + 2000).otherwise(_int(p(0)))
     meridiem = F.substring(F.when(p(7).rlike("^[ap]"), p(7)).otherwise(p(8)), 1, 1)
     hour = _int(p(3))
@@ -176,14 +182,16 @@ def normalise_timestamps(
             n("y"): year, n("m"): _month_number(p(1)), n("d"): _int(p(2)), n("h"): hour,
             n("mi"): F.coalesce(_int(p(4)), F.lit(0)), n("sec"): F.coalesce(_int(p(5)), F.lit(0)),
             n("ms"): F.coalesce(F.rpad(F.substring(F.when(p(6) != "", p(6)), 1, 3), 3, "0").cast("int"), F.lit(0)),
-            n("timed"): p(3) != "", n("z"): _zone(p(9), F.col(n("dz"))),
+            n("timed"): p(3) != "", n("z"): _zone(p(9), F.col(n("dz")), F.col(n("zn"))),
         }
     )
     y, m, d = F.col(n("y")), F.col(n("m")), F.col(n("d"))
     a = F.col(n("a"))
-    # The longest gap between two 29 February is eight years.
-    later = lambda k: F.when(_exists(F.year(a) + k, m, d), F.when(F.make_date(F.year(a) + k, m, d) >= a, F.year(a) + k))
-    df = df.withColumn(n("y"), F.when(p(0) != "", y).otherwise(F.coalesce(*[later(k) for k in range(9)])))
+    # The next such day: this year or the next, and for 29 February the next leap year.
+    following = F.year(a) + F.when(m * 100 + d >= F.month(a) * 100 + F.dayofmonth(a), 0).otherwise(1)
+    fourth = F.ceil(following / 4).cast("int") * 4
+    leap = fourth + F.when((fourth % 100 == 0) & (fourth % 400 != 0), 4).otherwise(0)
+    df = df.withColumn(n("y"), F.when(p(0) != "", y).otherwise(F.when((m == 2) & (d == 29), leap).otherwise(following)))
     df = df.withColumn(n("ok"), _exists(y, m, d))
     clock_ok = F.col(n("h")).between(0, 23) & F.col(n("mi")).between(0, 59) & F.col(n("sec")).between(0, 59)
     df = df.withColumn(
@@ -209,4 +217,4 @@ def normalise_timestamps(
         .when(F.col(n("ok")) & F.col(n("timed")), _iso_utc(F.unix_millis(t) + F.col(n("ms"))))
         .when(F.col(n("ok")), F.make_date(y, m, d).cast("string"))
     )
-    return df.withColumn(out, result).drop(*[n(x) for x in ("s", "a", "dz", "p", "y", "m", "d", "h", "mi", "sec", "ms", "timed", "z", "ok", "t")])
+    return df.withColumn(out, result).drop(*[n(x) for x in ("s", "a", "dz", "p", "zt", "zn", "zt0", "y", "m", "d", "h", "mi", "sec", "ms", "timed", "z", "ok", "t")])

@@ -169,7 +169,12 @@ def damaged_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return rows.mapInPandas(run, f"`{key}` {kind}, field_name string, original string, restored string, lost boolean")
 
 
+_MARKS = re.compile("[\u0300-\u036f]+")
+
+
 def fold(text: str) -> str:
     """Lower case without accents and with one kind of blank."""
-    t = unicodedata.normalize("NFKD", text.lower())
-    return " ".join("".join(ch for ch in t if not unicodedata.combining(ch)).split())
+    t = text.lower()
+    if not t.isascii():
+        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
+    return " ".join(t.split())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablado.io import table
 from tablado.llm.canonical import map_values, url_sections
+from tablado.llm.content import Model, fit, main_content, page_furniture
 from tablado.llm.encoding import damaged_fields
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,25 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# 3. Page boilerplate.
+
+
+def _page_model(spark: SparkSession, d: str) -> Model:
+    return fit(table(spark, d, "plan_history"), "titulo", "descripcion", table(spark, d, "source_catalog"), "name")
+
+
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of page furniture; line 0 is a title that carries words of the site."""
+    return page_furniture(table(spark, d, "normalizer"), "row_id", "titulo", "descripcion", _page_model(spark, d))
+
+
+@query()
+def p3_content(spark: SparkSession, d: str) -> DataFrame:
+    """The plan's own title and main text of every row."""
+    return main_content(table(spark, d, "normalizer"), "row_id", "titulo", "descripcion", _page_model(spark, d))
+
+
 # 4. Garbled text.
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tablado.io import table
 from tablado.llm.canonical import map_values, url_sections
 from tablado.llm.content import Model, fit, main_content, page_furniture
+from tablado.llm.dedup_history import repeats_in_backlog, take_apart, title_parser
 from tablado.llm.encoding import damaged_fields
+from tablado.llm.plan_keys import page_key
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +29,30 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# 2. New batches against all history.
+
+
+def _apart(spark: SparkSession, d: str, model: Model) -> tuple[DataFrame, DataFrame]:
+    """Rows of plan_history and of normalizer with their keys."""
+    history, rows, sources = table(spark, d, "plan_history"), table(spark, d, "normalizer"), table(spark, d, "source_catalog")
+    parser = title_parser([(history, "titulo"), (rows, "titulo")], history.select("categoria"), table(spark, d, "venue_catalog").select("venue_id", "name"), model)
+    listings = {page_key(r.url) for r in sources.select("url").limit(10_000).collect()}
+    cols = lambda df: df.select("row_id", "id", F.col("enlace").alias("page"), F.col("titulo").alias("title"))
+    return take_apart(cols(history), parser, listings), take_apart(cols(rows), parser, listings)
+
+
+def _plans(spark: SparkSession, d: str, model: Model) -> DataFrame:
+    """(row_id, first_row_id) of every row that repeats an earlier one."""
+    return repeats_in_backlog(*_apart(spark, d, model))
+
+
+@query()
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every normalizer row whose plan occurred before, with that plan's first row."""
+    found = _plans(spark, d, _page_model(spark, d))
+    return found.join(table(spark, d, "normalizer").select("row_id"), "row_id", "left_semi").select("first_row_id", "row_id")
+
+
 # 3. Page boilerplate.
 
 

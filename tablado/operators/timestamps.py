@@ -74,6 +74,9 @@ _CASCADE = [
 ]
 _COMPACT = rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:[t ]?(\d{{2}}):?(\d{{2}})(?::?(\d{{2}})(?:[.,](\d{{1,9}}))?)?()())?{_ZONE}$"
 
+#: Stands before the parts of a text that a pattern has read.
+_MARK = "\x01"
+
 
 def _int(c: Column) -> Column:
     return F.when(c != "", c.cast("int"))
@@ -160,11 +163,12 @@ def normalise_timestamps(
     df = df.withColumns({n("s"): text, n("a"): anchor.cast("date") if anchor is not None else F.lit(None).cast("date"), n("dz"): default})
     s = F.col(n("s"))
 
-    groups = lambda order: "~".join(f"${i}" for i in (*order, 4, 5, 6, 7, 8, 9, 10))
-    parts = F.when(s.rlike(r"^\d{10}$") | s.rlike(r"^\d{13}$"), F.lit(None).cast("array<string>"))
-    for pattern, order in _CASCADE:
-        parts = parts.when(s.rlike(pattern), F.split(F.regexp_replace(s, pattern, groups(order)), "~", -1))
-    parts = parts.when(s.rlike(_COMPACT), F.split(F.regexp_replace(s, _COMPACT, groups((1, 2, 3))), "~", -1))
+    # Each pattern rewrites a text it matches as a mark and its parts, which no later pattern matches.
+    read = s
+    for pattern, order in [*_CASCADE, (_COMPACT, (1, 2, 3))]:
+        read = F.regexp_replace(read, pattern, _MARK + "~".join(f"${i}" for i in (*order, 4, 5, 6, 7, 8, 9, 10)))
+    df = df.withColumn(n("r"), read)
+    parts = F.when(F.col(n("r")).startswith(_MARK), F.split(F.substring(n("r"), 2, 10_000), "~", -1))
     df = df.withColumn(n("p"), parts)
     p = lambda i: F.col(n("p"))[i]
 
@@ -212,9 +216,6 @@ def normalise_timestamps(
             again = (_local(F.col(n("t")) + step, zone) == wanted) & (_local(F.col(n("t")), zone) == wanted)
             t = F.when(again, F.lit(None) if ambiguous == "null" else F.col(n("t")) + step).otherwise(t)
     epoch = F.when(s.rlike(r"^\d{10}$"), s.try_cast("bigint") * 1000).when(s.rlike(r"^\d{13}$"), s.try_cast("bigint"))
-    result = (
-        F.when(epoch.isNotNull(), _iso_utc(epoch))
-        .when(F.col(n("ok")) & F.col(n("timed")), _iso_utc(F.unix_millis(t) + F.col(n("ms"))))
-        .when(F.col(n("ok")), F.make_date(y, m, d).cast("string"))
-    )
-    return df.withColumn(out, result).drop(*[n(x) for x in ("s", "a", "dz", "p", "zt", "zn", "zt0", "y", "m", "d", "h", "mi", "sec", "ms", "timed", "z", "ok", "t")])
+    df = df.withColumn(n("at"), F.coalesce(epoch, F.unix_millis(t) + F.col(n("ms"))))
+    result = F.when(F.col(n("at")).isNotNull(), _iso_utc(F.col(n("at")))).when(F.col(n("ok")) & ~F.col(n("timed")), F.make_date(y, m, d).cast("string"))
+    return df.withColumn(out, result).drop(*[n(x) for x in ("s", "a", "dz", "p", "zt", "zn", "zt0", "y", "m", "d", "h", "mi", "sec", "ms", "timed", "z", "ok", "t", "r", "at")])

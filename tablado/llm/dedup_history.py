@@ -46,16 +46,18 @@ BUCKETS = 64
 _ACCENTS = ("áéíóúüñàèìòùâêîôûçãõ", "aeiouunaeiouaeioucao")
 
 
-def common_words(titles: DataFrame) -> set[str]:
-    """Words that at least ``COMMON_SHARE`` of the distinct titles (a one-column table) have."""
-    text = F.translate(F.lower(F.col(titles.columns[0])), *_ACCENTS)
-    distinct = titles.select(text.alias("t")).where("trim(t) <> ''").distinct()
+def common_words(accepted: DataFrame, arriving: DataFrame) -> tuple[set[str], set[str]]:
+    """Words that at least ``COMMON_SHARE`` of the distinct titles (one-column tables) have, and those of
+    them that no accepted title has."""
+    fields = [df.select(F.translate(F.lower(F.col(df.columns[0])), *_ACCENTS).alias("t"), F.lit(old).alias("old")) for df, old in ((accepted, 1), (arriving, 0))]
+    distinct = fields[0].unionByName(fields[1]).where("trim(t) <> ''").groupBy("t").agg(F.max("old").alias("old"))
     # "#" counts the titles themselves.
     words = F.explode(F.array_append(F.array_distinct(F.split("t", r"[^\p{L}\p{N}]+")), F.lit("#")))
-    counts = cut(distinct.select(words.alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 2"))
+    counts = cut(distinct.select(words.alias("w"), "old").groupBy("w").agg(F.count("*").alias("n"), F.sum("old").alias("old")).where("n >= 2"))
     titles_in_all = counts.where("w = '#'").select("n").first()
     least = max(COMMON_LEAST, COMMON_SHARE * titles_in_all.n) if titles_in_all else COMMON_LEAST
-    return {fold(r.w) for r in counts.where((F.col("n") >= least) & (F.length("w") > 2)).select("w").collect()}
+    found = counts.where((F.col("n") >= least) & (F.length("w") > 2)).select("w", "old").collect()
+    return {fold(r.w) for r in found}, {fold(r.w) for r in found if not r.old}
 
 
 def bounded_sample(df: DataFrame, column: str, size: int, total: int) -> list[str]:
@@ -65,16 +67,13 @@ def bounded_sample(df: DataFrame, column: str, size: int, total: int) -> list[st
     return [r[0] for r in chosen.select(column).limit(size).collect()]
 
 
-def title_parser(rows: list[tuple[DataFrame, str]], categories: DataFrame, venues: DataFrame, model: Model) -> Titles:
-    """What takes titles apart, from the titles of (table, column) pairs, the categories (one column) and the
-    venue catalog (id, name)."""
-    titles = None
-    for df, c in rows:
-        t = df.select(F.col(c).alias("t"))
-        titles = t if titles is None else titles.unionByName(t)
+def title_parser(accepted: DataFrame, arriving: DataFrame, categories: DataFrame, venues: DataFrame, model: Model) -> Titles:
+    """What takes titles apart, from the accepted and the arriving titles, the categories (one column each)
+    and the venue catalog (id, name)."""
     names = [(r[0], r[1]) for r in venues.limit(MAX_BROADCAST_NAMES).collect()]
     kinds = {fold(r[0]) for r in categories.where(F.col(categories.columns[0]) != "").distinct().limit(1000).collect()}
-    return Titles(common_words(titles), kinds, Dictionary(names, {}, (), True), model)
+    words, phrases = common_words(accepted, arriving)
+    return Titles(words, phrases, kinds, Dictionary(names, {}, (), True), model)
 
 
 def take_apart(rows: DataFrame, parser: Titles, listings: set[str]) -> DataFrame:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from tablado.llm.canonical import KINDS, Dictionary, deletes, edits_allowed, kind_of
+from tablado.llm.canonical import Dictionary, deletes, edits_allowed, kind_of
 from tablado.llm.content import Model
 from tablado.llm.encoding import fold, repair
 
@@ -23,6 +22,8 @@ SERIES = {
     "vol": "vol", "volumen": "vol", "volume": "vol", "tomo": "vol", "edicion": "edicion", "ed": "edicion", "edition": "edicion", "sesion": "sesion",
     "session": "sesion", "pase": "sesion", "jornada": "dia", "dia": "dia", "day": "dia", "parte": "parte", "part": "parte", "capitulo": "capitulo", "episodio": "capitulo", "no": "no", "num": "no", "numero": "no",
 }
+#: Marks a common word of a rewording in a signature.
+REWORDED = "~"
 _ROMAN = re.compile(r"^(?=[ivxl])(?:xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _TOKEN = re.compile(r"[^\W_�]*�[^\W_]*(?:�[^\W_]*)*|[^\W_]+")
 _SPLIT = re.compile(r"\s+[-–—|·@•]\s+|\s*[:;]\s+|\s*@\s*")
@@ -90,9 +91,13 @@ def edits(a: str, b: str, most: int) -> int:
 
 @dataclass
 class Titles:
-    """Takes titles apart.  ``vocabulary``: words that many plans' titles share; the rest are proper names."""
+    """Takes titles apart.  ``vocabulary``: words that many titles share; the rest are proper names.
+
+    ``phrases``: those of them that no accepted plan's title has; they tell a rewording ("X llega a la sala").
+    """
 
     vocabulary: set[str]
+    phrases: set[str]
     categories: set[str]
     venues: Dictionary
     model: Model
@@ -162,19 +167,34 @@ class Titles:
         rest = [t for t in rest if t not in STOP and (len(t) > 2 or t.isdigit())]
         if not rest:
             return None
-        common = sorted({t for t in rest if t in self.vocabulary})
-        names = [t for t in dict.fromkeys(rest) if t not in self.vocabulary]
+        common = sorted({REWORDED + t if t in self.phrases else t for t in rest if t in self.vocabulary})
+        # Unknown words of three letters are small words with a typing error.
+        names = [t for t in dict.fromkeys(rest) if t not in self.vocabulary and (len(t) > 3 or t.isdigit())]
+        if not common and not names:
+            return None
         return " ".join(common), " ".join(sorted(series)), names
 
 
 def same_title(a: tuple[str, str, list[str]], b: tuple[str, str, list[str]]) -> bool:
-    """Whether two titles taken apart name the same event: the same place in a series, the same common words
-    but for one, and proper names that agree but for a few typing errors."""
+    """Whether two titles taken apart name the same event.
+
+    The place in a series must be the same.  With the same proper names (two or more), common words may differ
+    by typing errors and lost short words, or altogether if one title is a rewording.  With the same common
+    words but for one, proper names may differ by a few typing errors.
+    """
     if a[1] != b[1]:
         return False
     ca, cb = set(a[0].split()), set(b[0].split())
     na, nb = list(a[2]), list(b[2])
     only_a, only_b = ca - cb, cb - ca
+    if len(na) >= 2 and sorted(na) == sorted(nb):
+        if any(x.startswith(REWORDED) for x in only_a | only_b):
+            return True
+        for x in sorted(only_a):
+            if m := next((y for y in sorted(only_b) if edits(x, y, 2) <= 2), None):
+                only_a.discard(x)
+                only_b.discard(m)
+        return all(len(x) <= 4 for x in only_a | only_b) and len(only_a | only_b) <= 1
     if len(only_a) > 1 or len(only_b) > 1:
         return False
     if not na or not nb:
@@ -218,10 +238,3 @@ def sort_keys(sig: str) -> list[str]:
     joined = " ".join(names)
     head = f"{common}|{series}|"
     return [head + joined, head + joined[::-1], f"{joined}|{head}", f"{' '.join(names[::-1])}|{head}"]
-
-
-def vocabulary_of(counts: Iterable[tuple[str, int]]) -> set[str]:
-    return {w for w, _ in counts}
-
-
-__all__ = ["KINDS", "Titles", "edits", "page_key", "parsed", "same_title", "signature", "sort_keys", "vocabulary_of"]

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablado.io import table
-from tablado.llm.canonical import map_values, url_sections
+from tablado.io import cut, table
+from tablado.llm.canonical import MAX_BROADCAST_NAMES, map_values, url_sections
 from tablado.llm.content import Model, fit, main_content, page_furniture
 from tablado.llm.dedup_history import repeats_in_backlog, take_apart, title_parser
 from tablado.llm.encoding import damaged_fields
 from tablado.llm.plan_keys import page_key
+from tablado.llm.survivors import best_values, measured
+from tablado.operators.timestamps import madrid_day, normalise_timestamps, parse_instant_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +37,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def _apart(spark: SparkSession, d: str, model: Model) -> tuple[DataFrame, DataFrame]:
     """Rows of plan_history and of normalizer with their keys."""
     history, rows, sources = table(spark, d, "plan_history"), table(spark, d, "normalizer"), table(spark, d, "source_catalog")
-    parser = title_parser([(history, "titulo"), (rows, "titulo")], history.select("categoria"), table(spark, d, "venue_catalog").select("venue_id", "name"), model)
+    parser = title_parser(history.select("titulo"), rows.select("titulo"), history.select("categoria"), table(spark, d, "venue_catalog").select("venue_id", "name"), model)
     listings = {page_key(r.url) for r in sources.select("url").limit(10_000).collect()}
     cols = lambda df: df.select("row_id", "id", F.col("enlace").alias("page"), F.col("titulo").alias("title"))
     return take_apart(cols(history), parser, listings), take_apart(cols(rows), parser, listings)
@@ -88,6 +90,53 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     return found.select("row_id", "field_name", F.when(~F.col("lost"), F.col("restored")).alias("restored"), "lost").distinct()
 
 
+# 5. Best representative.
+
+
+def _best(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(first_row_id, field_name, row_id) of the winners, and the rows of plans that occur at least twice."""
+    model = _page_model(spark, d)
+    normalizer, sources = table(spark, d, "normalizer"), table(spark, d, "source_catalog")
+    roots = _plans(spark, d, model)
+    # A plan is named by its root until its rows are known; hot plans are counted by partial aggregation.
+    named = normalizer.select("row_id").join(roots, "row_id", "left").select("row_id", F.coalesce("first_row_id", "row_id").alias("root"))
+    plans = named.groupBy("root").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n")).where("n > 1").select("root", "first_row_id")
+    # Only rows that compete are read in full from here on.
+    rows = cut(normalizer.join(named.join(plans, "root").select("row_id", "first_row_id"), "row_id").select("first_row_id", "row_id", "titulo", "descripcion", "precio", "fecha_inicio", "fecha_fin", "fuente", "_extracted_at"))
+    seen = parse_instant_text(F.col("_extracted_at"))
+    meant = map_values(rows, "row_id", "fuente", sources, "source_id", "name", decorations=SOURCE_DECORATIONS + url_sections(sources, "url"), keep_exact=True)
+    trust = meant.select("row_id", "ref_id").distinct().join(F.broadcast(sources.select(F.col("source_id").alias("ref_id"), "trust").limit(MAX_BROADCAST_NAMES)), "ref_id").select("row_id", "trust")
+    sized = measured(rows, "row_id", "titulo", "descripcion", "precio", model)
+    dated = rows.select("first_row_id", "row_id", "fecha_inicio", "fecha_fin", seen.alias("seen"))
+    for c in ("fecha_inicio", "fecha_fin"):
+        dated = normalise_timestamps(dated, c, out=f"{c}_day", anchor=madrid_day(F.col("seen")))
+    all_of = dated.join(sized, "row_id").join(trust, "row_id", "left")
+    entry = lambda name, usable, size=F.lit(0): F.struct(F.lit(name).alias("field_name"), usable.alias("usable"), size.alias("size"))
+    fields = F.explode(F.array(entry("descripcion", F.col("length").isNotNull(), F.coalesce("length", F.lit(0))), entry("precio", F.col("priced")), entry("fecha_inicio", F.col("fecha_inicio_day").isNotNull()), entry("fecha_fin", F.col("fecha_fin_day").isNotNull())))
+    competing = all_of.select("first_row_id", "row_id", F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce(F.unix_micros("seen"), F.lit(0).cast("bigint")).alias("seen"), fields.alias("x")).where("x.usable").select("first_row_id", "x.field_name", "row_id", "x.size", "trust", "seen")
+    return competing, rows
+
+
+@query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """For every plan with several rows and every field, the row whose value is best in every respect."""
+    competing, _ = _best(spark, d)
+    return best_values(competing, "first_row_id", "field_name", "row_id", [F.col("size"), F.col("trust"), F.col("seen")]).select("first_row_id", "field_name", "row_id")
+
+
+@query()
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """One record for every plan with several rows: each field's first value in the ranking and its row."""
+    competing, rows = _best(spark, d)
+    best = best_values(competing, "first_row_id", "field_name", "row_id", [F.col("size"), F.col("trust"), F.col("seen")], dominant=False)
+    fields = ["descripcion", "precio", "fecha_inicio", "fecha_fin"]
+    value = F.coalesce(*[F.when(F.col("field_name") == f, F.col(f)) for f in fields])
+    taken = best.join(rows.select("row_id", *fields), "row_id").select("first_row_id", "field_name", "row_id", value.alias("value"))
+    one = [F.max(F.when(F.col("field_name") == f, F.struct("value", "row_id"))).alias(f) for f in fields]
+    records = taken.groupBy("first_row_id").agg(*one)
+    return records.select("first_row_id", *[x for f in fields for x in (F.col(f"{f}.value").alias(f), F.col(f"{f}.row_id").alias(f"{f}_row"))])
+
+
 # 6. Free-entered values.
 
 #: Words that scrapers append to a source's name, besides the sections of its listing pages.

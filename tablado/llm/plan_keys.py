@@ -109,8 +109,10 @@ class Titles:
         for w in sorted(self.vocabulary):
             if len(w) >= 5:
                 for d in deletes(w, 1):
-                    if d != w and len(d) >= 4:
+                    if len(d) >= 4:
                         self.near.setdefault(d, w)
+        self.venue_kinds = {kind_of(f) for f in self.venues.folded.values()} - {""}
+        self.venue_longest = max((len(f) for f in self.venues.folded.values()), default=0) + 2
 
     def word(self, token: str) -> str:
         """The common word that a token is or, with one typing error, was meant to be."""
@@ -118,9 +120,10 @@ class Titles:
             return token
         if (hit := self.memo.get(token)) is None:
             hit = token
-            for d in sorted(deletes(token, 1), key=lambda d: (-len(d), d)):
-                w = d if d in self.vocabulary and len(d) >= 5 else self.near.get(d)
-                if w and edits(token, w, 1) <= 1:
+            for i in range(-1, len(token)):
+                d = token if i < 0 else token[:i] + token[i + 1 :]
+                w = self.near.get(d)
+                if w and (i < 0 or edits(token, w, 1) <= 1):
                     hit = w
                     break
             if "�" in token and hit == token:
@@ -135,7 +138,7 @@ class Titles:
         return text in self.categories or (3 < len(text) < 24 and any(abs(len(c) - len(text)) <= 1 and edits(text, c, 1) <= 1 for c in self.categories))
 
     def is_venue(self, text: str) -> bool:
-        return bool(kind_of(text)) and self.venues.match(text) != -1
+        return len(text) <= self.venue_longest and kind_of(text) in self.venue_kinds and self.venues.match(text) != -1
 
     def parse(self, title: str | None) -> tuple[str, str, list[str]] | None:
         """(common words, place in a series, proper names) or None for a title that names nothing."""
@@ -175,6 +178,18 @@ class Titles:
         return " ".join(common), " ".join(sorted(series)), names
 
 
+def _half_left(a: str, b: str) -> bool:
+    """One error leaves the first or the last half of a word whole."""
+    k = (min(len(a), len(b)) - 1) // 2
+    return a[:k] == b[:k] or a[-k:] == b[-k:] or "�" in a or "�" in b
+
+
+def _piece_left(a: str, b: str) -> bool:
+    """Two errors leave one of three pieces of ``a`` whole."""
+    k = len(a) // 3
+    return "�" in a or "�" in b or a[:k] in b or a[k : 2 * k] in b or a[2 * k :] in b
+
+
 def same_title(a: tuple[str, str, list[str]], b: tuple[str, str, list[str]]) -> bool:
     """Whether two titles taken apart name the same event.
 
@@ -214,13 +229,17 @@ def same_title(a: tuple[str, str, list[str]], b: tuple[str, str, list[str]]) ->
     free = [t for t in nb if t not in na]
     total = 0
     for x in left:
-        best = min(((edits(x, y, 2), y) for y in free), default=(9, ""))
-        allowed = min(edits_allowed(min(len(x), len(best[1]))), 1 if len(x) < 9 else 2)
-        if best[0] > allowed:
-            return False
+        best = (9, "")
+        for y in free:
+            # One error in a short name, two in a long one.
+            most = min(edits_allowed(min(len(x), len(y))), 1 if len(x) < 9 else 2)
+            if most and (_half_left(x, y) if most == 1 else _piece_left(x, y)) and (e := edits(x, y, most)) <= most and e < best[0]:
+                best = (e, y)
         total += best[0]
+        if total > 2:
+            return False
         free.remove(best[1])
-    return total <= 2
+    return True
 
 
 def signature(parsed: tuple[str, str, list[str]]) -> str:

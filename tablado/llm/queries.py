@@ -12,7 +12,9 @@ from tablado.llm.canonical import MAX_BROADCAST_NAMES, map_values, url_sections
 from tablado.llm.content import Model, fit, main_content, page_furniture
 from tablado.llm.dedup_history import repeats_in_backlog, take_apart, title_parser
 from tablado.llm.encoding import damaged_fields
+from tablado.llm.leakage import leaked_passages
 from tablado.llm.plan_keys import page_key
+from tablado.llm.residue import residue_documents
 from tablado.llm.survivors import best_values, measured
 from tablado.operators.timestamps import madrid_day, normalise_timestamps, parse_instant_text
 
@@ -161,3 +163,41 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_misses(spark: SparkSession, d: str) -> DataFrame:
     """The values that mean no entry and how many rows have them."""
     return _mapped(spark, d).where("ref_id = -1").groupBy("field_name", F.trim(F.regexp_replace(F.lower("value"), r"\s+", " ")).alias("value")).agg(F.count("*").alias("n"))
+
+
+# 8. Leaked evaluation passages.
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+@query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that contains a passage of a test item."""
+    return _leaks(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+@query()
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every test item with the number of documents it leaked into and its longest leaked passage."""
+    leaks = _leaks(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("n_docs"), F.max("n_words").alias("longest"))
+    return table(spark, d, "eval_items").select("item_id", "suite").join(leaks, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0).cast("bigint")).alias("n_docs"), F.coalesce("longest", F.lit(0)).alias("longest"))
+
+
+# 10. Template residue and error pages.
+
+
+@query()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in which residue stands in place of content."""
+    return residue_documents(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+@query()
+def p10_kept(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents of each source and kind are left out and kept."""
+    documents = table(spark, d, "documents")
+    found = residue_documents(documents, "doc_id", "text").select("doc_id", F.lit(1).alias("left_out"))
+    out = F.sum(F.coalesce("left_out", F.lit(0)))
+    return documents.join(found, "doc_id", "left").groupBy("source", "kind").agg(out.alias("left_out"), (F.count("*") - out).alias("kept"))

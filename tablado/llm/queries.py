@@ -13,6 +13,7 @@ from tablado.llm.content import Model, fit, main_content, page_furniture
 from tablado.llm.dedup_history import repeats_in_backlog, take_apart, title_parser
 from tablado.llm.encoding import damaged_fields
 from tablado.llm.leakage import leaked_passages
+from tablado.llm.mixing import mix
 from tablado.llm.plan_keys import page_key
 from tablado.llm.residue import residue_documents
 from tablado.llm.survivors import best_values, measured
@@ -185,6 +186,21 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", "suite").join(leaks, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0).cast("bigint")).alias("n_docs"), F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
+# 9. Mixing sources.
+
+
+@query()
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of the mix and how often it is used."""
+    return mix(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))[0]
+
+
+@query()
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of all tokens that each source was to have and has."""
+    return mix(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))[1]
+
+
 # 10. Template residue and error pages.
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablado.io import cut
+
 
 def lifecycle(start: Column, end: Column, first_seen: Column, now: Column, *, soon: int = 7, fresh: int = 8, started: int = 21) -> Column:
     """``ending_soon`` if it ends within ``soon`` days; ``new`` if first seen at most ``fresh`` whole days ago
@@ -53,11 +55,21 @@ def text_until(parts: Column, stop: int, most: int) -> Column:
     return F.substring(joined, 1, most)
 
 
-def batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
-    """``batch`` and the 1-based ``slot`` in it, for rows in order.
+def numbered(df: DataFrame, order: list[Column], out: str = "n") -> DataFrame:
+    """Rows with their place in the whole order, from 0.
 
-    Numbers come from counts of range-partitioned rows, not from one global window.
+    Sorted ranges number their rows by themselves; the ranges' sizes (one number a range) give the offsets,
+    so that there is no global window.
     """
-    ranged = df.orderBy(*order)
-    numbered = ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(ranged.schema.add("__n", "long"))
-    return numbered.withColumn("batch", F.floor(F.col("__n") / size)).withColumn("slot", (F.col("__n") % size + 1).cast("int")).drop("__n")
+    ranged = cut(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = ranged.groupBy(part.alias("__p")).agg(F.count("*").alias("c"))
+    offsets = sizes.withColumn("__o", F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
+    joined = ranged.withColumn("__p", part).join(F.broadcast(offsets), "__p")
+    return joined.withColumn(out, F.coalesce("__o", F.lit(0)) + inside).drop("__id", "__p", "__o", "c")
+
+
+def batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """``batch`` and the 1-based ``slot`` in it, for rows in order."""
+    rows = numbered(df, order, "__n")
+    return rows.withColumn("batch", F.floor(F.col("__n") / size)).withColumn("slot", (F.col("__n") % size + 1).cast("int")).drop("__n")

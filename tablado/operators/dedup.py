@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tablado.functions.similarity import indel_text, ratcliff_text
 from tablado.io import cut
+from tablado.operators.graph import components
 
 #: Letters from rare to frequent in Spanish and English text; others count as rarer still.
 RARE_TO_FREQUENT = "wkxñqjzyfhgvbpmudctlnrisoae "
@@ -82,10 +83,10 @@ def similar_pairs(df: DataFrame, key: str, text: str, measure: Callable[[str, st
     a = marked.withColumn("b", band)
     b = a.withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
     on = [*ws, "b", "x"]
-    left = a.select(*on, F.col("k").alias("later"), F.col("t").alias("lt"), F.col("n").alias("ln"))
-    right = b.select(*on, F.col("k").alias("earlier"), F.col("t").alias("et"), F.col("n").alias("en"))
+    left = a.select(*on, F.col("k").alias("later"), F.col("n").alias("ln"))
+    right = b.select(*on, F.col("k").alias("earlier"), F.col("n").alias("en"))
     near = left.join(right, on).where((F.col("later") > F.col("earlier")) & (F.least("ln", "en") >= F.greatest("ln", "en") * share - 1e-9))
-    pairs = near.select("later", "earlier", "lt", "et").distinct()
+    pairs = near.select("later", "earlier").distinct()
     if contained_from is not None:
         long = rows.where(F.length("t") > contained_from)
         head = F.substring("t", 1, contained_from + 1)
@@ -93,29 +94,15 @@ def similar_pairs(df: DataFrame, key: str, text: str, measure: Callable[[str, st
         inner = long.select(*ws, head.alias("h"), F.col("k").alias("ik"), F.col("t").alias("it"))
         outer = long.select(*ws, F.explode(F.array_distinct(starts)).alias("h"), F.col("k").alias("ok"), F.col("t").alias("ot"))
         held = inner.join(outer, [*ws, "h"]).where((F.col("ik") != F.col("ok")) & F.expr("contains(ot, it)"))
-        later_is_inner = F.col("ik") > F.col("ok")
-        pick = lambda x, y: F.when(later_is_inner, F.col(x)).otherwise(F.col(y))
-        pairs = pairs.unionByName(held.select(pick("ik", "ok").alias("later"), pick("ok", "ik").alias("earlier"), pick("it", "ot").alias("lt"), pick("ot", "it").alias("et"))).distinct()
-    match = F.pandas_udf(lambda x, y: pd.Series([measure(p, q) for p, q in zip(x, y, strict=True)]), "boolean")
+        pairs = pairs.unionByName(held.select(F.greatest("ik", "ok").alias("later"), F.least("ik", "ok").alias("earlier"))).distinct()
+    texts = rows.select("k", "t").distinct()
+    pairs = pairs.join(texts.toDF("later", "lt"), "later").join(texts.toDF("earlier", "et"), "earlier")
+    # Pairs are few bytes and much work, so their number of tasks is not left to their size.
+    pairs = pairs.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "later", "earlier")
+    match = F.pandas_udf(lambda x, y: pd.Series([measure(p, q) for p, q in zip(x, y, strict=True)], dtype="boolean"), "boolean")
     return pairs.where(match("lt", "et")).select("later", "earlier")
 
 
-def components_of(pairs: DataFrame) -> DataFrame:
-    """(k, root) by min-label propagation with pointer jumping, cut in every round."""
-    e = cut(pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")).distinct())
-    both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("root")))
-    while True:
-        near = both.join(labels.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        hop = labels.join(near, labels["k"] == near["a"], "left").select("k", F.least("root", "m").alias("root"))
-        jump = hop.select(F.col("k").alias("root"), F.col("root").alias("up"))
-        following = cut(hop.join(jump, "root", "left").select("k", F.coalesce("up", "root").alias("root")))
-        moved = following.join(labels.withColumnRenamed("root", "was"), "k").where("root <> was").limit(1).count()
-        labels = following
-        if not moved:
-            return labels
-
-
 def greedy(rows: list[dict], match: Callable[[dict, dict], bool], better: Callable[[dict, dict], bool] | None, moving: bool, same: Callable[[dict], object] | None = None) -> list[dict]:
     """The ordered pass: every row joins the first leader it matches, or becomes one.
 
@@ -148,8 +135,10 @@ def greedy_dedup(df: DataFrame, order: str, pairs: DataFrame, columns: list[str]
     what ``match`` and ``better`` read.  Rows without a partner are kept without entering Python.  A component
     is read as a stream in order, and only its leaders are held.
     """
-    roots = components_of(pairs)
-    in_one = df.join(roots, F.col(order) == F.col("k"), "left").drop("k")
+    roots = components(pairs.select("later", "earlier"))
+    # The least node of a component is its root and has no row of its own there.
+    every = cut(roots.select(F.col("node").alias("k"), "root").unionByName(roots.select(F.col("root").alias("k"), "root").distinct()))
+    in_one = df.join(every, F.col(order) == F.col("k"), "left").drop("k")
     alone = in_one.where("root is null").select(*df.columns)
     some = in_one.where("root is not null").select("root", F.col(order).alias("__ord"), *[F.col(c) for c in columns if c != order])
 
@@ -165,8 +154,9 @@ def greedy_dedup(df: DataFrame, order: str, pairs: DataFrame, columns: list[str]
 
 def dedup_by_title(df: DataFrame, order: str, title: str, least: float = 0.72) -> DataFrame:
     """Rows of which no kept earlier row has a title more than ``least`` alike (Ratcliff-Obershelp)."""
-    low = df.withColumn("__t", F.lower(F.coalesce(F.col(title), F.lit(""))))
-    alike = lambda later, earlier: ratcliff_text(later, earlier) > least
+    low = keep_first(df.withColumn("__t", F.lower(F.coalesce(F.col(title), F.lit("")))), [F.col("__t")], [F.col(order)])  # copies share the first one's fate
+    # The longest common subsequence bounds the matched letters and is much cheaper.
+    alike = lambda later, earlier: indel_text(later, earlier) >= 100 * least - 1e-9 and ratcliff_text(later, earlier) > least
     pairs = similar_pairs(low, order, "__t", alike, least)
     return greedy_dedup(low, order, pairs, ["__t"], lambda r, u: alike(r["__t"], u["__t"])).drop("__t")
 
@@ -197,7 +187,7 @@ def dedup_in_band(df: DataFrame, order: str, name: str, day: str, better: Column
     low = df.withColumns({"__t": F.coalesce(F.col(name), F.lit("")), "__d": F.datediff(F.col(day), F.lit("1970-01-01").cast("date")), "__b": better})
 
     def alike(a: str, b: str) -> bool:
-        if a == b or ratcliff_text(a, b) > least:
+        if a == b or (indel_text(a, b) >= 100 * least - 1e-9 and ratcliff_text(a, b) > least):
             return True
         short, long = (a, b) if len(a) <= len(b) else (b, a)
         return len(short) > 4 and short in long and len(short) / len(long) >= held

@@ -29,8 +29,8 @@ from tablado.io import cut, shared_dir
 from tablado.llm.canonical import MAX_BROADCAST_NAMES, Dictionary
 from tablado.llm.content import Model
 from tablado.llm.encoding import fold
-from tablado.llm.graph import components
-from tablado.llm.plan_keys import Titles, page_key, parsed, same_title, signature, sort_keys
+from tablado.operators.graph import components
+from tablado.llm.plan_keys import Titles, may_be_same, page_key, parsed, same_title, signature, sort_keys
 
 WINDOW = 8
 PASSES = 4
@@ -138,7 +138,7 @@ def _slide(batches: Iterator[pd.DataFrame], across: bool) -> Iterator[pd.DataFra
                 group, recent, seen = now, [], 0
             r = (range_no, key, sig, first, fresh, parsed(sig))
             for o in recent:
-                if (fresh or o[4]) and o[2] != sig and (not across or o[0] != range_no) and same_title(o[5], r[5]):
+                if (fresh or o[4]) and o[2] != sig and (not across or o[0] != range_no) and may_be_same(o[5], r[5]) and same_title(o[5], r[5]):
                     out.append((max(first, o[3]), min(first, o[3]), None, None, None, None, None))
             if not across and seen < WINDOW:
                 out.append((None, None, *r[:5]))

@@ -190,6 +190,23 @@ def _piece_left(a: str, b: str) -> bool:
     return "�" in a or "�" in b or a[:k] in b or a[k : 2 * k] in b or a[2 * k :] in b
 
 
+def may_be_same(a: tuple[str, str, list[str]], b: tuple[str, str, list[str]]) -> bool:
+    """A quick necessary condition of ``same_title`` for titles with two proper names each.
+
+    Two names with one error each keep their first or their last letter; more errors in both are too many.
+    """
+    if a[1] != b[1]:
+        return False
+    x, y = a[2], b[2]
+    if len(x) != 2 or len(y) != 2:
+        return True
+    p, q = x
+    r, s = y
+    if p == r or q == s or p == s or q == r or "�" in p or "�" in q or "�" in r or "�" in s:
+        return True
+    return ((p[0] == r[0] or p[-1] == r[-1]) and (q[0] == s[0] or q[-1] == s[-1])) or ((p[0] == s[0] or p[-1] == s[-1]) and (q[0] == r[0] or q[-1] == r[-1]))
+
+
 def same_title(a: tuple[str, str, list[str]], b: tuple[str, str, list[str]]) -> bool:
     """Whether two titles taken apart name the same event.
 

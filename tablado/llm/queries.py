@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablado.io import cut, table
-from tablado.llm.canonical import MAX_BROADCAST_NAMES, map_values, url_sections
+from tablado.llm.canonical import MAX_BROADCAST_NAMES, map_values, url_sections, with_meaning
 from tablado.llm.content import Model, fit, main_content, page_furniture
 from tablado.llm.dedup_history import repeats_in_backlog, take_apart, title_parser
 from tablado.llm.encoding import damaged_fields
@@ -107,16 +107,17 @@ def _best(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     # Only rows that compete are read in full from here on.
     rows = cut(normalizer.join(named.join(plans, "root").select("row_id", "first_row_id"), "row_id").select("first_row_id", "row_id", "titulo", "descripcion", "precio", "fecha_inicio", "fecha_fin", "fuente", "_extracted_at"))
     seen = parse_instant_text(F.col("_extracted_at"))
-    meant = map_values(rows, "row_id", "fuente", sources, "source_id", "name", decorations=SOURCE_DECORATIONS + url_sections(sources, "url"), keep_exact=True)
-    trust = meant.select("row_id", "ref_id").distinct().join(F.broadcast(sources.select(F.col("source_id").alias("ref_id"), "trust").limit(MAX_BROADCAST_NAMES)), "ref_id").select("row_id", "trust")
-    sized = measured(rows, "row_id", "titulo", "descripcion", "precio", model)
-    dated = rows.select("first_row_id", "row_id", "fecha_inicio", "fecha_fin", seen.alias("seen"))
-    for c in ("fecha_inicio", "fecha_fin"):
-        dated = normalise_timestamps(dated, c, out=f"{c}_day", anchor=madrid_day(F.col("seen")))
-    all_of = dated.join(sized, "row_id").join(trust, "row_id", "left")
-    entry = lambda name, usable, size=F.lit(0): F.struct(F.lit(name).alias("field_name"), usable.alias("usable"), size.alias("size"))
-    fields = F.explode(F.array(entry("descripcion", F.col("length").isNotNull(), F.coalesce("length", F.lit(0))), entry("precio", F.col("priced")), entry("fecha_inicio", F.col("fecha_inicio_day").isNotNull()), entry("fecha_fin", F.col("fecha_fin_day").isNotNull())))
-    competing = all_of.select("first_row_id", "row_id", F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce(F.unix_micros("seen"), F.lit(0).cast("bigint")).alias("seen"), fields.alias("x")).where("x.usable").select("first_row_id", "x.field_name", "row_id", "x.size", "trust", "seen")
+    meant = with_meaning(rows, "fuente", "source_id", sources, "source_id", "name", decorations=SOURCE_DECORATIONS + url_sections(sources, "url"))
+    trusted = meant.join(F.broadcast(sources.select("source_id", "trust").limit(MAX_BROADCAST_NAMES)), "source_id", "left")
+    ranked = trusted.withColumns({"trust": F.coalesce("trust", F.lit(0)), "at": seen, "seen": F.coalesce(F.unix_micros(seen), F.lit(0).cast("bigint"))})
+    keys = ["first_row_id", "row_id", "trust", "seen"]
+    # Texts and prices in one pass, both dates stacked in another; neither moves a row.
+    sized = measured(ranked, "titulo", "descripcion", "precio", keys, model)
+    entry = lambda name, usable, size: F.struct(F.lit(name).alias("field_name"), usable.alias("usable"), size.alias("size"))
+    texts = sized.select(*keys, F.explode(F.array(entry("descripcion", F.col("length").isNotNull(), F.coalesce("length", F.lit(0))), entry("precio", F.col("priced"), F.lit(0)))).alias("x")).where("x.usable")
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in ("fecha_inicio", "fecha_fin")]))
+    dates = normalise_timestamps(ranked.select(*keys, "at", both.alias("x")).select(*keys, "at", "x.field_name", "x.value"), "value", anchor=madrid_day(F.col("at"))).where("norm_value is not null")
+    competing = texts.select("first_row_id", "x.field_name", "row_id", "x.size", "trust", "seen").unionByName(dates.select("first_row_id", "field_name", "row_id", F.lit(0).alias("size"), "trust", "seen"))
     return competing, rows
 
 

@@ -43,19 +43,21 @@ def states_price(text: str | None) -> bool:
     return bool(text) and (bool(re.search(r"\d", text)) or bool(FREE.search(fold(repair(text)[1]))))
 
 
-def measured(rows: DataFrame, key: str, title: str, description: str, price: str, model: Model) -> DataFrame:
-    """(key, length, priced): characters of the main text, NULL if it says nothing, and whether the price states one."""
+def measured(rows: DataFrame, title: str, description: str, price: str, keep: list[str], model: Model) -> DataFrame:
+    """The ``keep`` columns with length and priced: characters of the main text, NULL if it says nothing, and
+    whether the price states one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             lengths = []
-            for t, x in zip(b["t"], b["x"], strict=True):
+            for t, x in zip(b["__t"], b["__x"], strict=True):
                 text = model.main_text(x, t)
                 lengths.append(len(text) if text and usable_text(text) else None)
-            yield pd.DataFrame({key: b["k"], "length": pd.array(lengths, dtype="Int32"), "priced": [states_price(p) for p in b["p"]]})
+            yield b[keep].assign(length=pd.array(lengths, dtype="Int32"), priced=[states_price(p) for p in b["__p"]])
 
-    cols = rows.select(F.col(f"`{key}`").alias("k"), F.col(f"`{title}`").alias("t"), F.col(f"`{description}`").alias("x"), F.col(f"`{price}`").alias("p"))
-    return cols.mapInPandas(run, f"`{key}` {cols.schema['k'].dataType.simpleString()}, length int, priced boolean")
+    cols = rows.select(*keep, F.col(f"`{title}`").alias("__t"), F.col(f"`{description}`").alias("__x"), F.col(f"`{price}`").alias("__p"))
+    schema = ", ".join(f"`{c}` {cols.schema[c].dataType.simpleString()}" for c in keep)
+    return cols.mapInPandas(run, f"{schema}, length int, priced boolean")
 
 
 def best_values(candidates: DataFrame, group: str, field: str, key: str, rank: list[Column], *, dominant: bool = True) -> DataFrame:

@@ -51,7 +51,11 @@ class _Blocks(HTMLParser):
         if tag in _DROPPED:
             self.dropped = max(0, self.dropped - 1)
             self.script = None if tag == "script" else self.script
-        elif any(x["tag"] == tag for x in self.open):
+            return
+        # The end of a container ends what was left open inside it.
+        inside = {"ul": ("li",), "ol": ("li",), "tr": ("td", "th"), "table": ("td", "th", "tr"), "div": ("p",), "section": ("p", "li"), "article": ("p", "li"), "main": ("p", "li"), "body": ("p", "li")}.get(tag, ())
+        self.open = [x for x in self.open if x["tag"] not in inside]
+        if any(x["tag"] == tag for x in self.open):
             while self.open and self.open.pop()["tag"] != tag:
                 pass
 

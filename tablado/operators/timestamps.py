@@ -144,12 +144,14 @@ def normalise_timestamps(
     default_zone: str | Column = "Europe/Madrid",
     ambiguous: str = "first",
     nonexistent: str = "before",
+    only_read: bool = False,
 ) -> DataFrame:
     """``df`` with the column ``out``: the normal form of the text column ``value`` (see the module).
 
     ``default_zone`` is a zone name or a column (a source's zone from a lookup joined before).
     ``ambiguous``: ``first`` or ``second`` pass of a repeated local time, or ``null``.
     ``nonexistent``: offset ``before`` or ``after`` the change for a skipped local time, or ``null``.
+    With ``only_read`` rows whose value names no full day are left out.
     Other columns of ``df`` stay as they are, whatever their names.
     """
     if ambiguous not in ("first", "second", "null") or nonexistent not in ("before", "after", "null"):
@@ -218,4 +220,9 @@ def normalise_timestamps(
     epoch = F.when(s.rlike(r"^\d{10}$"), s.try_cast("bigint") * 1000).when(s.rlike(r"^\d{13}$"), s.try_cast("bigint"))
     df = df.withColumn(n("at"), F.coalesce(epoch, F.unix_millis(t) + F.col(n("ms"))))
     result = F.when(F.col(n("at")).isNotNull(), _iso_utc(F.col(n("at")))).when(F.col(n("ok")) & ~F.col(n("timed")), F.make_date(y, m, d).cast("string"))
-    return df.withColumn(out, result).drop(*[n(x) for x in ("s", "a", "dz", "p", "zt", "zn", "zt0", "y", "m", "d", "h", "mi", "sec", "ms", "timed", "z", "ok", "t", "r", "at")])
+    df = df.withColumn(out, result)
+    if only_read:
+        # A test of the result would be moved below the steps that make it, with all of them written out once
+        # more.  The row number keeps it here: nothing is moved past a column that depends on its place.
+        df = df.withColumn(n("row"), F.monotonically_increasing_id()).where(F.col(out).isNotNull() & (F.col(n("row")) >= 0))
+    return df.drop(*[n(x) for x in ("s", "a", "dz", "p", "zt", "zn", "zt0", "y", "m", "d", "h", "mi", "sec", "ms", "timed", "z", "ok", "t", "r", "at", "row")])

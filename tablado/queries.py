@@ -39,19 +39,19 @@ def p1_delimiters(spark: SparkSession, d: str) -> DataFrame:
     return delimiter_report(table(spark, d, "concerts"), "lineup", source="source")
 
 
-def _dated_values(spark: SparkSession, d: str) -> DataFrame:
+def _dated_values(spark: SparkSession, d: str, only_read: bool = False) -> DataFrame:
     concerts = table(spark, d, "concerts").select(F.lit("date_str").alias("field_name"), F.col("concert_id").alias("row_key"), F.col("date_str").alias("value"), madrid_day(F.col("scraped_at")).alias("seen"))
     plans = table(spark, d, "normalizer").select("row_id", "fecha_inicio", "fecha_fin", madrid_day(parse_instant_text(F.col("_extracted_at"))).alias("seen"))
     both = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in ("fecha_inicio", "fecha_fin")]))
     plans = plans.select(both.alias("v"), F.col("row_id").alias("row_key"), "seen").select("v.field_name", "row_key", "v.value", "seen")
     rows = concerts.unionByName(plans)
-    return normalise_timestamps(rows, "value", anchor=F.col("seen"))
+    return normalise_timestamps(rows, "value", anchor=F.col("seen"), only_read=only_read)
 
 
 @query()
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Every date value that names a full day, in its normal form."""
-    return _dated_values(spark, d).where("norm_value is not null").select("field_name", "row_key", "norm_value").distinct()
+    return _dated_values(spark, d, only_read=True).select("field_name", "row_key", "norm_value").distinct()
 
 
 @query()

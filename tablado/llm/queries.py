@@ -105,20 +105,21 @@ def _best(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     named = normalizer.select("row_id").join(roots, "row_id", "left").select("row_id", F.coalesce("first_row_id", "row_id").alias("root"))
     plans = named.groupBy("root").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n")).where("n > 1").select("root", "first_row_id")
     # Only rows that compete are read in full from here on.
-    rows = cut(normalizer.join(named.join(plans, "root").select("row_id", "first_row_id"), "row_id").select("first_row_id", "row_id", "titulo", "descripcion", "precio", "fecha_inicio", "fecha_fin", "fuente", "_extracted_at"))
+    rows = normalizer.join(named.join(plans, "root").select("row_id", "first_row_id"), "row_id").select("first_row_id", "row_id", "titulo", "descripcion", "precio", "fecha_inicio", "fecha_fin", "fuente", "_extracted_at")
     seen = parse_instant_text(F.col("_extracted_at"))
     meant = with_meaning(rows, "fuente", "source_id", sources, "source_id", "name", decorations=SOURCE_DECORATIONS + url_sections(sources, "url"))
     trusted = meant.join(F.broadcast(sources.select("source_id", "trust").limit(MAX_BROADCAST_NAMES)), "source_id", "left")
     ranked = trusted.withColumns({"trust": F.coalesce("trust", F.lit(0)), "at": seen, "seen": F.coalesce(F.unix_micros(seen), F.lit(0).cast("bigint"))})
     keys = ["first_row_id", "row_id", "trust", "seen"]
+    ranked = cut(ranked.select(*keys, "at", "titulo", "descripcion", "precio", "fecha_inicio", "fecha_fin"))
     # Texts and prices in one pass, both dates stacked in another; neither moves a row.
     sized = measured(ranked, "titulo", "descripcion", "precio", keys, model)
     entry = lambda name, usable, size: F.struct(F.lit(name).alias("field_name"), usable.alias("usable"), size.alias("size"))
     texts = sized.select(*keys, F.explode(F.array(entry("descripcion", F.col("length").isNotNull(), F.coalesce("length", F.lit(0))), entry("precio", F.col("priced"), F.lit(0)))).alias("x")).where("x.usable")
     both = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in ("fecha_inicio", "fecha_fin")]))
-    dates = normalise_timestamps(ranked.select(*keys, "at", both.alias("x")).select(*keys, "at", "x.field_name", "x.value"), "value", anchor=madrid_day(F.col("at"))).where("norm_value is not null")
+    dates = normalise_timestamps(ranked.select(*keys, "at", both.alias("x")).select(*keys, "at", "x.field_name", "x.value"), "value", anchor=madrid_day(F.col("at")), only_read=True)
     competing = texts.select("first_row_id", "x.field_name", "row_id", "x.size", "trust", "seen").unionByName(dates.select("first_row_id", "field_name", "row_id", F.lit(0).alias("size"), "trust", "seen"))
-    return competing, rows
+    return competing, ranked
 
 
 @query()

@@ -89,7 +89,7 @@ class _Codec:
         return None
 
     def decode(self, text: str) -> tuple[str, int]:
-        """``text`` with its well-formed spans decoded, and their number."""
+        """``text`` with its well-formed spans decoded, and how many characters these had."""
         out, at, found = [], 0, 0
         while m := self.find.search(text, at):
             i = m.start()
@@ -99,7 +99,7 @@ class _Codec:
                     out.append(text[at:i] + got[0])
                     i += got[1]
                     at = i
-                    found += 1
+                    found += got[1]
                     end = max(end, i)
                 else:
                     i += 1

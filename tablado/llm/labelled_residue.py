@@ -16,7 +16,7 @@ RESIDUE = {
         "Descripción corta del plan.", "Descripción larga del plan.", "Sample event text, replace me.", "Insert description here.", "Placeholder text, do not publish.", "Your text here.", "Pendiente de redactar - borrador", "Texto pendiente (redacción)", "Escribir el titular máx.", "Poner el nombre de la sala antes de publicar",
     ],
     "filler": [
-        "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
+        "Lorem ipsum dolor sit amet consectetur adipiscing elit", "sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
         "Ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat",
         "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur",
         "Excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",

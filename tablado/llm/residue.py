@@ -65,7 +65,8 @@ class Exemplars:
     """The inverted index of labelled sentences under given document frequencies."""
 
     def __init__(self, frequency: dict[str, int], documents: int) -> None:
-        self.top = math.log(1 / COMMON_SHARE)
+        # No word weighs more than one that a single document of the corpus has.
+        self.top = min(math.log(1 / COMMON_SHARE), math.log(max(documents, 2)))
         self.idf = {w: min(self.top, math.log(max(documents, 1) / n)) for w, n in frequency.items() if n > 0}
         self.idf[SLOT] = self.top
         self.families: dict[str, set[str]] = {}
@@ -81,7 +82,7 @@ class Exemplars:
                 for w in words:
                     self.index.setdefault(w, []).append(len(self.sentences) - 1)
         self.residue_words = set().union(*(v for k, v in self.families.items() if k != "mention"))
-        self.telling = {w for w in self.residue_words if self.weight(w) >= TELLING}
+        self.telling = {w for w in self.residue_words if self.weight(w) >= min(TELLING, self.top / 2)}
 
     def weight(self, w: str) -> float:
         return self.idf.get(w, self.top)

@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablado.functions import dates as D
+from tablado.functions import text as T
 from tablado.io import table
+from tablado.operators import dedup, enrich, filters, history, rank
+from tablado.operators.score import Topic, count_reasons, counted_score, topic_columns
 from tablado.operators.split_values import delimiter_report, split_values
 from tablado.operators.timestamps import madrid_day, normalise_timestamps, parse_instant_text
+from tablado.plans import concerts as concert_plans
+from tablado.plans import news as news_plans
+from tablado.plans import plans as plan_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,14 +71,6 @@ def p7_unread(spark: SparkSession, d: str) -> DataFrame:
 
 # The listing operators on the listing tables.  Each SQL states the same on the same tables.
 
-from tablado.functions import dates as D  # noqa: E402
-from tablado.functions import text as T  # noqa: E402
-from tablado.operators import dedup, enrich, filters, history, rank  # noqa: E402
-from tablado.operators.score import Topic, count_reasons, counted_score, topic_columns  # noqa: E402
-from tablado.plans import concerts as concert_plans  # noqa: E402
-from tablado.plans import news as news_plans  # noqa: E402
-from tablado.plans import plans as plan_plans  # noqa: E402
-
 #: Test vocabularies: words that the listing tables use.
 NOISE = ["futbol", "liga", "relojes", "sal", "cometas"]
 TOPICS = [Topic("sky", "Cielo", 5, ("cometas", "azoteas", "volcan")), Topic("sea", "Mar", 3, ("mareas", "sal", "salinas")), Topic("craft", "Oficio", 5, ("ceramica", "telares", "taller")), Topic("night", "Noche", 2, ("noche de", "luz"))]
@@ -559,3 +558,69 @@ def plans_pipeline(spark: SparkSession, d: str) -> DataFrame:
     matches = history.match_history(unique, past, "ord", "id", "enlace")
     known = history.with_status(unique, past.select("hist_ord", "_first_seen", "_extracted_at", "fecha_inicio", "fecha_fin"), matches, "ord", fill=["fecha_inicio", "fecha_fin"])
     return plan_plans.export_plans(plan_plans.bucketed(known, F.expr(NOW)), F.expr(NOW), F.col("ord"))
+
+
+# Scalars on the listing tables.
+
+_NOTICES = ["sold out", "proyecto", "gran"]
+_ACT_SQL = " OR ".join(f"contains(lower(regexp_replace(artist, '[¡!¿?\\s]', '', 'g')), '{n.replace(' ', '')}')" for n in _NOTICES)
+
+
+@query(f"SELECT concert_id FROM concerts WHERE NOT ({_ACT_SQL}) AND NOT regexp_matches(trim(artist), '^[¡¿]')")
+def act_names(spark: SparkSession, d: str) -> DataFrame:
+    """Concerts whose artist holds no notice in place of a name."""
+    return table(spark, d, "concerts").where(F.col("artist").isNotNull() & filters.names_an_act(F.col("artist"), _NOTICES)).select("concert_id")
+
+
+@query("SELECT article_id, CASE WHEN length(title) > 130 THEN title WHEN length(coalesce(description, '')) > 300 THEN coalesce(description, '') END AS body FROM news_articles WHERE title IS NOT NULL")
+def content_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Long content, else a long description, else nothing."""
+    rows = table(spark, d, "news_articles").where("title is not null")
+    return rows.select("article_id", filters.enough_text(F.col("title"), F.coalesce("description", F.lit("")), 130, 300).alias("body"))
+
+
+_SIGNS_OF = ["cookies", "aviso legal", "privacidad", "derechos"]
+
+
+@query("SELECT row_id FROM normalizer WHERE " + " + ".join(f"contains(lower(coalesce(descripcion, '')), '{w}')::INT" for w in _SIGNS_OF) + " >= 2")
+def indicator_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with at least two of several indicators."""
+    return table(spark, d, "normalizer").where(filters.indicators(F.coalesce("descripcion", F.lit("")), _SIGNS_OF, 2)).select("row_id")
+
+
+@query(
+    """WITH s AS (SELECT row_id, list_filter(list_transform(regexp_split_to_array(coalesce(descripcion, ''), '[.·•\\n]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 20) AS l FROM normalizer)
+    SELECT row_id, CASE WHEN len(l) > 0 THEN array_to_string(l[1:3], '|') ELSE '' END AS bullets FROM s"""
+)
+def bullet_points(spark: SparkSession, d: str) -> DataFrame:
+    """The first three longer sentences of every description."""
+    none = F.lit(None).cast("array<string>")
+    return table(spark, d, "normalizer").select("row_id", F.array_join(T.bullets(none, F.col("descripcion"), F.lit("")), "|").alias("bullets"))
+
+
+
+
+@query(
+    """WITH a AS (SELECT concert_id, lower(trim(regexp_replace(artist, '\\s+20\\d{2}\\s*$', ''))) AS t FROM concerts WHERE artist IS NOT NULL AND NOT regexp_matches(lower(artist), '\\sen\\s|tour|gira|presenta|live|show|[-–]')),
+    b AS (SELECT concert_id, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(t, '^concierto\\s+de\\s+', '')), '^entradas\\s+para\\s+', '')), '\\s*\\(.*?\\)\\s*$', '')) AS t FROM a)
+    SELECT concert_id, trim(regexp_split_to_array(t, '\\s*[,/+&]\\s*|\\s+con\\s+|\\s+with\\s+|\\s+y\\s+')[1]) AS name FROM b"""
+)
+def headliners(spark: SparkSession, d: str) -> DataFrame:
+    """The first act in normal form, where no tour name or place has to be taken off."""
+    rows = table(spark, d, "concerts").where("artist is not null and not lower(artist) rlike '\\\\sen\\\\s|tour|gira|presenta|live|show|[-–]'")
+    return rows.select("concert_id", T.headliner(F.col("artist"), CITIES).alias("name"))
+
+
+@query("SELECT concert_id, trim(regexp_replace(trim(regexp_replace(venue, '\\s+\\d{1,2}[/\\-]\\d{1,2}[/\\-]\\d{4}\\s*$', ''), ' '), '\\s+\\d{4}-\\d{2}-\\d{2}\\s*$', ''), ' ') AS venue FROM concerts WHERE venue IS NOT NULL")
+def venue_without_date(spark: SparkSession, d: str) -> DataFrame:
+    """Venues without a date at their end."""
+    return table(spark, d, "concerts").where("venue is not null").select("concert_id", T.strip_closing_date(F.col("venue")).alias("venue"))
+
+
+@query(
+    """SELECT categoria AS category, count(*) AS n, count(DISTINCT enlace) AS pages, sum(CASE WHEN coalesce(precio, '') = '' THEN 1 ELSE 0 END)::BIGINT AS unpriced, max(length(titulo)) AS longest
+    FROM normalizer GROUP BY categoria"""
+)
+def category_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of each category."""
+    return table(spark, d, "normalizer").groupBy(F.col("categoria").alias("category")).agg(F.count("*").alias("n"), F.countDistinct("enlace").alias("pages"), F.sum(F.when(F.coalesce("precio", F.lit("")) == "", 1).otherwise(0)).alias("unpriced"), F.max(F.length("titulo")).alias("longest"))

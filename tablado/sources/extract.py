@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablado.functions import html as H
+from tablado.functions.dates import event_date
 from tablado.operators.rank import carry_forward, sections
 
 
@@ -52,3 +53,26 @@ def preferred_link(links: Column, hosts: list[str]) -> Column:
     """The first link to one of the hosts, else the first link at all."""
     listed = F.filter(links, lambda x: F.exists(F.array(*[F.lit(h) for h in hosts]), lambda h: F.contains(x["href"], h)))
     return F.coalesce(F.get(listed, F.lit(0))["href"], F.get(links, F.lit(0))["href"])
+
+
+def cards(blocks: DataFrame, card: Column, title: Column) -> DataFrame:
+    """(page, card, title, time, text, links): one row a card, a card being a block for which ``card`` holds
+    with all blocks up to the next one.
+
+    ``time`` is the machine-readable time of the first time element, else NULL, so that it can go before a
+    reading of the text.  Cards without a title keep NULL.
+    """
+    numbered = sections(blocks, "page", "pos", card, "card").where("card > 0")
+    in_order = lambda what, keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", what.alias("v"))))), lambda x: x["v"])
+    grouped = numbered.groupBy("page", "card").agg(
+        F.min_by(F.when(title, F.col("text")), F.when(title, F.col("pos"))).alias("title"),
+        F.get(in_order(F.col("attrs")["datetime"], F.col("tag") == "time"), F.lit(0)).alias("time"),
+        F.array_join(in_order(F.col("text"), F.col("tag").isin("h2", "h3", "p", "li", "time")), " ").alias("text"),
+        F.array_sort(F.collect_list(F.when(F.col("href").isNotNull(), F.struct("pos", "text", "href")))).alias("links"),
+    )
+    return grouped
+
+
+def first_day(candidates: list[Column], today: Column) -> Column:
+    """The first of several texts that holds a real day, read in order."""
+    return F.coalesce(*[event_date(c, today) for c in candidates])

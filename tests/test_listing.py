@@ -182,3 +182,10 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     current = spark.read.text(str(tmp_path / "h" / "current")).first()[0]
     assert spark.read.parquet(str(tmp_path / "h" / current)).count() == 2
+
+
+def test_cards(spark):
+    page = "<body><article><h3>Uno</h3><time datetime='2026-05-01'>1 mayo</time><p>Sala A</p><a href='u'>e</a></article><article><h3>Dos</h3><p>12 de junio de 2026</p></article></body>"
+    b = extract.page_blocks(spark.createDataFrame([("p", page)], "url string, html string"), "url", "html")
+    rows = extract.cards(b, F.col("tag") == "article", F.col("tag") == "h3").withColumn("day", extract.first_day([F.col("time"), F.col("text")], F.lit(datetime.date(2026, 1, 1)))).orderBy("card").collect()
+    assert [(r.title, r.time, str(r.day), [x.href for x in r.links]) for r in rows] == [("Uno", "2026-05-01", "2026-05-01", ["u"]), ("Dos", None, "2026-06-12", [])]

@@ -2,8 +2,8 @@
 
 Multi-key sorted-neighbourhood runs.  Every accepted title is kept under several sort keys in persisted key
 ranges.  A batch is sorted under the same keys, merged into just the ranges it touches, and compared only
-within a window round each new record; exact keys (id, page, title) are looked up in hashed buckets.  What
-the batch adds is written as a new run; when runs pile up they are compacted.
+within a window round each new record; exact keys (id, page, title) are looked up in hashed buckets.  Like
+titles that lie farther away in every order meet under block keys of their names.  What the batch adds is written as a new run; when runs pile up they are compacted.
 
 Scale: copies are aggregated to one record a title before sorting; ranges are cut at quantiles of the sort
 keys, so that neither a common title word nor a large plan makes a hot range; windows stream over sorted
@@ -22,7 +22,7 @@ import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablado.io import cut, shared_dir
@@ -30,7 +30,7 @@ from tablado.llm.canonical import MAX_BROADCAST_NAMES, Dictionary
 from tablado.llm.content import Model
 from tablado.llm.encoding import fold
 from tablado.operators.graph import components
-from tablado.llm.plan_keys import Titles, may_be_same, page_key, parsed, same_title, signature, sort_keys
+from tablado.llm.plan_keys import LACKING, LIKE, PERFORMER, REWORDED, Titles, block_keys, may_be_same, near_sets, page_key, parsed, same_title, signature, sort_keys
 
 WINDOW = 8
 PASSES = 4
@@ -160,6 +160,94 @@ def window_pairs(keyed: DataFrame) -> DataFrame:
     return found.where("a is not null").select("a", "b").unionByName(across.where("a is not null").select("a", "b")).where("a <> b").distinct()
 
 
+def blocked(sigs: DataFrame) -> DataFrame:
+    """(block, kind, sig, first, fresh): every title under each of its block keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(key, kind, sig, first, fresh) for sig, first, fresh in zip(b["sig"], b["first"], b["fresh"], strict=True) for kind, key in block_keys(parsed(sig))]
+            yield pd.DataFrame(out, columns=["key", "kind", "sig", "first", "fresh"])
+
+    out = sigs.select("sig", "first", "fresh").mapInPandas(run, "key string, kind int, sig string, first bigint, fresh boolean")
+    return out.select(F.xxhash64("key").alias("block"), "kind", "sig", "first", "fresh")
+
+
+def _star(firsts: list[int]) -> list[tuple[int, int]]:
+    least = min(firsts)
+    return [(x, least) for x in firsts if x != least]
+
+
+def _of_performer(block: list[tuple]) -> list[tuple[int, int]]:
+    """Links between titles (kind, sig, first, fresh, parsed) of the same names, at least one of each pair new.
+
+    Titles that differ in the words of rewordings are the same event, so they need no comparing.
+    """
+    kinds: dict[frozenset, dict[frozenset, list[tuple]]] = {}
+    for r in block:
+        words = frozenset(r[4][0].split())
+        kinds.setdefault(frozenset(w for w in words if w.startswith(REWORDED)), {}).setdefault(words, []).append(r)
+    fresh = {k for k, sets in kinds.items() if any(r[3] for rs in sets.values() for r in rs)}
+    out = []
+    if len(kinds) > 1 and fresh:
+        out += _star([r[2] for k, sets in kinds.items() for rs in sets.values() for r in rs if r[3] or fresh - {k}])
+    for sets in kinds.values():
+        rows = list(sets.values())
+        new = [any(r[3] for r in rs) for rs in rows]
+        starred = set()
+        for i, j in [*((i, i) for i in range(len(rows))), *near_sets(list(sets))]:
+            if (new[i] or new[j]) and (i == j or same_title(rows[i][0][4], rows[j][0][4])):
+                for x in {i, j} - starred:
+                    out += _star([r[2] for r in rows[x]])
+                    starred.add(x)
+                out += _star([min(r[2] for r in rows[i]), min(r[2] for r in rows[j])])
+    return out
+
+
+def _of_block(block: list[tuple]) -> list[tuple[int, int]]:
+    """Links between titles (kind, sig, first, fresh, parsed) of a block; joined ones are not compared again."""
+    if block[0][0] == PERFORMER:
+        return _of_performer(block)
+    same = lambda r, o: (r[3] or o[3]) and r[1] != o[1] and may_be_same(o[4], r[4]) and same_title(o[4], r[4])
+    if block[0][0] != LIKE:
+        lacking = [r for r in block if r[0] == LACKING]
+        return [(max(r[2], o[2]), min(r[2], o[2])) for r in block if r[0] != LACKING for o in lacking if same(r, o)]
+    out, groups = [], []
+    for r in block:
+        joined, apart = [r], []
+        for g in groups:
+            if o := next((o for o in g if same(r, o)), None):
+                out.append((max(r[2], o[2]), min(r[2], o[2])))
+                joined += g
+            else:
+                apart.append(g)
+        groups = [joined, *apart]
+    return out
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """(a, b): first rows of two titles of a block that name the same event, at least one of them new, a > b."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, block = None, []
+        for batch in batches:
+            out = []
+            for key, kind, sig, first, fresh in zip(batch["block"], batch["kind"], batch["sig"], batch["first"], batch["fresh"], strict=True):
+                if key != now:
+                    if block:
+                        out += _of_block(block)
+                    now, block = key, []
+                block.append((kind, sig, first, fresh, parsed(sig)))
+            yield pd.DataFrame(list(set(out)), columns=["a", "b"], dtype="int64")
+        if block:
+            yield pd.DataFrame(_of_block(block), columns=["a", "b"], dtype="int64")
+
+    # Most blocks hold one title or only accepted ones; those never reach Python.
+    w = Window.partitionBy("block")
+    counted = blocks.select("*", F.count("*").over(w).alias("n"), F.max("fresh").over(w).alias("any"), F.min("kind").over(w).alias("low"), F.max("kind").over(w).alias("high"))
+    some = counted.where(f"n > 1 and any and (low < {LACKING} or low < high)").select("block", "kind", "sig", "first", "fresh")
+    return some.mapInPandas(run, "a bigint, b bigint").where("a <> b").distinct()
+
+
 class RunStore:
     """Accepted plans in a shared folder: key ranges of titles, hashed exact keys, and links between firsts."""
 
@@ -198,7 +286,12 @@ class RunStore:
             keyed = cut(keyed)
             touched = [r.range_no for r in keyed.select("range_no").distinct().collect()]  # at most PASSES x MAX_RANGES
             keyed = keyed.unionByName(old.where(F.col("range_no").isin(touched)).withColumn("fresh", F.lit(False)).select(keyed.columns))
-        pairs = window_pairs(keyed)
+        blocks = cut(blocked(sigs))
+        accepted = self._read("blocks", "block bigint, kind int, sig string, first bigint, bucket int")
+        all_blocks = blocks
+        if accepted is not None:
+            all_blocks = blocks.unionByName(accepted.join(blocks.select("block").distinct(), "block", "left_semi").withColumn("fresh", F.lit(False)).select(blocks.columns))
+        pairs = window_pairs(keyed).unionByName(block_pairs(all_blocks)).distinct()
 
         # Exact keys: a row is tied to the least row of its id, page and title, accepted ones included.
         long = batch.select("row_id", F.explode(F.array("k_id", "k_page", "k_sig")).alias("k")).where("k is not null")
@@ -216,16 +309,18 @@ class RunStore:
         result = batch.select("row_id").join(roots, F.col("row_id") == F.col("node")).select("row_id", F.col("root").alias("first_row_id")).where("first_row_id < row_id").distinct()
         if keep:
             result = cut(result)
-            self._accept(batch, keyed.where("fresh") if old is not None else keyed, long, roots)
+            self._accept(batch, keyed.where("fresh") if old is not None else keyed, blocks, long, roots)
         return result
 
-    def _accept(self, batch: DataFrame, keyed: DataFrame, long: DataFrame, roots: DataFrame) -> None:
+    def _accept(self, batch: DataFrame, keyed: DataFrame, blocks: DataFrame, long: DataFrame, roots: DataFrame) -> None:
         self.made += 1
         run = f"run-{self.made}"
         root_of = lambda df, c: df.join(roots.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
         # Ranges and buckets are folders, so that a later batch reads only those it touches.
         titles = root_of(keyed.select("range_no", "key", "sig", "first"), "first")
         titles.repartition("range_no").sortWithinPartitions("range_no", "key").write.partitionBy("range_no").parquet(self._at(run, "titles"))
+        held = root_of(blocks.select("block", "kind", "sig", "first"), "first").withColumn("bucket", F.pmod("block", F.lit(BUCKETS)).cast("int"))
+        held.repartition("bucket").write.partitionBy("bucket").parquet(self._at(run, "blocks"))
         keys = root_of(long.groupBy("k").agg(F.min("row_id").alias("first")), "first").withColumn("bucket", F.pmod("k", F.lit(BUCKETS)).cast("int"))
         keys.repartition("bucket").write.partitionBy("bucket").parquet(self._at(run, "keys"))
         # Ties between plans that were accepted as different ones until this batch joined them.
@@ -238,11 +333,13 @@ class RunStore:
     def compact(self) -> None:
         """All runs as one."""
         titles = self._read("titles", "range_no int, key string, sig string, first bigint").groupBy("range_no", "key", "sig").agg(F.min("first").alias("first"))
+        blocks = self._read("blocks", "block bigint, kind int, sig string, first bigint, bucket int").groupBy("block", "kind", "sig", "bucket").agg(F.min("first").alias("first"))
         keys = self._read("keys", "k bigint, first bigint, bucket int").groupBy("k", "bucket").agg(F.min("first").alias("first"))
         links = self._read("links", "a bigint, b bigint").distinct()
         self.made += 1
         run = f"run-{self.made}"
         titles.repartition("range_no").sortWithinPartitions("range_no", "key").write.partitionBy("range_no").parquet(self._at(run, "titles"))
+        blocks.repartition("bucket").write.partitionBy("bucket").parquet(self._at(run, "blocks"))
         keys.repartition("bucket").write.partitionBy("bucket").parquet(self._at(run, "keys"))
         links.write.parquet(self._at(run, "links"))
         self.runs = [run]
@@ -257,7 +354,7 @@ def repeats_in_backlog(history: DataFrame, backlog: DataFrame) -> DataFrame:
     rows = cut(history.withColumn("fresh", F.lit(False)).unionByName(backlog.withColumn("fresh", F.lit(True))))
     sigs = cut(rows.where("sig <> ''").groupBy("sig").agg(F.min("row_id").alias("first"), F.max("fresh").alias("fresh")))
     total = sigs.count()
-    pairs = window_pairs(_keyed(sigs, _cut_points(bounded_sample(sigs, "sig", SAMPLE_TITLES, total), total)))
+    pairs = window_pairs(_keyed(sigs, _cut_points(bounded_sample(sigs, "sig", SAMPLE_TITLES, total), total))).unionByName(block_pairs(blocked(sigs)))
     long = rows.select("row_id", F.explode(F.array("k_id", "k_page", "k_sig")).alias("k")).where("k is not null")
     least = long.groupBy("k").agg(F.min("row_id").alias("m"), F.count("*").alias("n")).where("n > 1").select("k", "m")
     ties = long.join(least, "k").where("row_id <> m").select("row_id", "m")

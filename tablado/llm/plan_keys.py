@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations, permutations
 
 from tablado.llm.canonical import Dictionary, deletes, edits_allowed, kind_of
 from tablado.llm.content import Model
@@ -274,3 +276,85 @@ def sort_keys(sig: str) -> list[str]:
     joined = " ".join(names)
     head = f"{common}|{series}|"
     return [head + joined, head + joined[::-1], f"{joined}|{head}", f"{' '.join(names[::-1])}|{head}"]
+
+
+#: What the titles under a block key share: all proper names; all common words and like names; all common words
+#: but one, which the other title (of the last kind) has as a name with typing errors.
+PERFORMER, LIKE, LACKING, DAMAGED = range(4)
+
+
+def _ends(name: str) -> set[str]:
+    """A name with one error has at least one of these too."""
+    if len(name) < 4:
+        return {"=" + name}
+    sizes = {(len(name) - 1) // 2, (len(name) - 2) // 2}
+    return {x for k in sizes for x in (f"<{name[:k]}", f">{name[-k:]}")}
+
+
+def _pieces(name: str) -> set[str]:
+    """A name with two errors, which only long ones may have, has at least one of these too."""
+    return {f"#{name[i : i + 3]}" for i in range(len(name) - 2)} if len(name) >= 8 else set()
+
+
+def _name_keys(names: list[str]) -> set[str]:
+    """Names that are the same but for two errors have at least one of these too."""
+    if len(names) == 1:
+        return _ends(names[0]) | _pieces(names[0])
+    if len(names) == 2:
+        out = {" ".join(sorted((x, y))) for x in _ends(names[0]) for y in _ends(names[1])}
+        return out | {"=" + p for p, q in permutations(names) if len(q) >= 8}  # two errors in one leave the other whole
+    if len(names) == 3:  # at least one is whole
+        return {f"{p} {x}" for p, q in permutations(names, 2) for x in _ends(q)}
+    return {" ".join(sorted(x)) for x in combinations(names, 2)}  # at least two are whole
+
+
+def block_keys(title: tuple[str, str, list[str]]) -> Iterator[tuple[int, str]]:
+    """(kind, key): titles for which ``same_title`` holds share a key, LACKING meeting DAMAGED.
+
+    Not covered are two titles that each have a damaged common word of the other as a name, and names in
+    both halves of which characters are lost.
+    """
+    common, series, names = title
+    if not names:
+        return
+    if len(names) > 1:
+        yield PERFORMER, f"P|{series}|{' '.join(sorted(names))}"
+    for k in _name_keys(names):
+        yield LIKE, f"L|{series}|{len(names)}|{common}|{k}"
+    words = common.split()
+    # One name of the title that lacks a word is looked up among all of the other's; with two errors in the
+    # shortest, which then is a long one, the next is whole.
+    pivots = sorted(names, key=lambda x: (len(x), x))
+    tried = _ends(pivots[0]) | (_pieces(pivots[0]) if len(names) == 1 else {"=" + pivots[1]} if len(pivots[0]) >= 8 else set())
+    for w in words:
+        if len(w) > 4:
+            rest = " ".join(x for x in words if x != w)
+            for k in tried:
+                yield LACKING, f"D|{series}|{len(names)}|{rest}|{k}"
+    if len(names) > 1:
+        for k in {k for x in names for k in _ends(x) | (_pieces(x) if len(names) == 2 else {"=" + x} if len(x) >= 8 else set())}:
+            yield DAMAGED, f"D|{series}|{len(names) - 1}|{common}|{k}"
+
+
+def near_sets(sets: list[frozenset[str]]) -> Iterator[tuple[int, int]]:
+    """(i, j), i > j: all pairs of sets that may be the same but for typing errors and one short word."""
+    if len(sets) <= 12:
+        yield from ((i, j) for i in range(len(sets)) for j in range(i))
+        return
+    holders: dict[str, list[int]] = {}
+    for i, s in enumerate(sets):
+        for w in s:
+            holders.setdefault(w, []).append(i)
+    by_delete: dict[str, list[str]] = {}
+    for w in holders:
+        for d in deletes(w, 2) | ({""} if len(w) <= 2 else set()):
+            by_delete.setdefault(d, []).append(w)
+    near = {w: [v for v in {v for d in [*deletes(w, 2), ""] for v in by_delete.get(d, ())} if edits(w, v, 2) <= 2] for w in holders}
+    held = {w: sum(len(holders[v]) for v in near[w]) for w in holders}
+    for i, s in enumerate(sets):
+        # At most one word, a short one, has no counterpart.
+        pivots = sorted(s, key=lambda w: (held[w], w))
+        found = {j for w in (pivots[:1] if pivots and len(pivots[0]) > 4 else pivots[:2]) for v in near[w] for j in holders[v]}
+        if len(s) <= 1 and all(len(w) <= 4 for w in s):
+            found |= {j for j, t in enumerate(sets) if len(t) <= 1 and all(len(w) <= 4 for w in t)}
+        yield from ((i, j) for j in found if j < i)

@@ -6,7 +6,8 @@ much of the exemplar the window holds, and how much of the window the exemplar's
 with high coverage is residue unless exemplars of mere mention contain it better; a document with such a
 window is excluded.
 
-Document frequencies are counted over the whole corpus; only words of at least ``COMMON_SHARE`` of the
+Document frequencies are counted over the whole corpus, without the sentences that many documents repeat: copies
+of a notice would make its words light and the other words of its exemplars heavy.  Only words of at least ``COMMON_SHARE`` of the
 documents are sent out (words per document / share at most), rarer ones share the greatest weight.
 
 Defined results
@@ -17,6 +18,7 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -31,8 +33,14 @@ from tablado.llm.labelled_residue import MENTIONS, RESIDUE
 
 COMMON_SHARE = 0.001
 COVERAGE, CONTAINMENT, MENTION = 0.55, 0.5, 0.5
-#: A window is looked at if it has a residue word of at least this weight (in under 5 % of the documents).
-TELLING = 3.0
+#: A sentence is a copy from ``COMMON_SHARE`` of the documents on, and this number.
+COPIES_LEAST = 10
+# Small words, which alone don't make a window worth looking up.  Frequency can't tell: a notice
+# copied into many documents makes all its words frequent.
+SMALL = set(
+    "a al and are as be by con de del e el en es esta este for from has have in is it la las lo los mas me mi no nos not o of on or our para pero por que se ser si sin sobre son su sus "
+    "the this to tu u un una unas uno unos was we with y ya you your".split()
+)
 SLOT = "⟦slot⟧"
 # Forms of unfilled placeholders.
 PLACEHOLDER = re.compile(
@@ -82,7 +90,7 @@ class Exemplars:
                 for w in words:
                     self.index.setdefault(w, []).append(len(self.sentences) - 1)
         self.residue_words = set().union(*(v for k, v in self.families.items() if k != "mention"))
-        self.telling = {w for w in self.residue_words if self.weight(w) >= min(TELLING, self.top / 2)}
+        self.telling = self.residue_words - SMALL
 
     def weight(self, w: str) -> float:
         return self.idf.get(w, self.top)
@@ -138,15 +146,41 @@ class Exemplars:
         return None
 
 
+def _sentences(text: str) -> dict[int, set[str]]:
+    """The words of each sentence, by a hash of them without numbers."""
+    out = {}
+    for s in _SENTENCE.split(text):
+        if words := [w for w in _TOKEN.findall(fold(s)) if not w.isdigit()]:
+            out[int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "big", signed=True)] = set(words)
+    return out
+
+
+def _copied_sentences(docs: DataFrame, text: str) -> set[int]:
+    """Hashes of the sentences that many documents have: at most sentences-per-document / share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: dict[int, int] = {}
+            for t in b["t"]:
+                for h in _sentences(t):
+                    seen[h] = seen.get(h, 0) + 1
+            yield pd.DataFrame({"h": list(seen), "n": list(seen.values())}, dtype="int64")
+
+    rows = docs.select(F.col(f"`{text}`").alias("t")).where("t <> ''")
+    least = max(COPIES_LEAST, rows.count() * COMMON_SHARE)
+    return {r.h for r in rows.mapInPandas(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h").collect()}
+
+
 def count_words(docs: DataFrame, text: str) -> tuple[dict[str, int], int]:
-    """Document frequencies of the common words of a corpus, and its number of texts."""
+    """Document frequencies of the common words of a corpus outside copied sentences, and its number of texts."""
+    copied = _copied_sentences(docs, text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seen: dict[str, int] = {"": 0}
             for t in b["t"]:
                 seen[""] += 1
-                for w in set(_TOKEN.findall(fold(t))):
+                for w in set().union(*(words for h, words in _sentences(t).items() if h not in copied)):
                     seen[w] = seen.get(w, 0) + 1
             yield pd.DataFrame({"w": list(seen), "n": list(seen.values())})
 

@@ -361,3 +361,14 @@ def test_residue(spark):
     got = sorted(r.doc_id for r in residue.residue_documents(df, "doc_id", "text").collect())
     assert got == list(range(len(CLEAN), len(CLEAN) + len(DIRTY)))
     assert residue.residue_documents(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_residue_in_a_third_of_the_documents(spark):
+    """Copies of a notice make all its words frequent, but no less residue."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdeilmnorstu", k=7))
+    plain = [" ".join(word() for _ in range(12)).capitalize() + "." for _ in range(300)]
+    for notice in (DIRTY[1].splitlines()[-1], DIRTY[2], DIRTY[3], DIRTY[4]):
+        texts = [f"{t} {notice}" if i % 3 == 0 else t for i, t in enumerate(plain)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert sorted(r.doc_id for r in residue.residue_documents(df, "doc_id", "text").collect()) == list(range(0, 300, 3)), notice

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablado.functions import text as T
 from tablado.functions.dates import display_date, end_date_text, short_date_es
+from tablado.io import cut
 from tablado.operators import dedup, filters, history, rank
 from tablado.operators.score import Topic, topic_columns
 from tablado.sinks.export import envelope
@@ -35,11 +36,17 @@ def select_plans(plans: DataFrame, now: Column, topics: list[Topic], refused: li
 
 
 def deduplicate(plans: DataFrame, past: DataFrame, order: str = "ord", *, hist_order: str = "hist_ord", with_titles: bool = True) -> DataFrame:
-    """The fullest row of each plan, with its status against history and missing dates filled from there."""
+    """The fullest row of each plan, with the status of the plan's first row against history.  Missing dates are
+    filled from there where the first row is the fullest; a row that replaced it keeps its own."""
     fullness = dedup.completeness(F.col("descripcion"), [(F.col("precio"), 50), (F.col("fecha_inicio"), 100), (F.col("fecha_fin"), 100), (F.col("enlace"), 30)])
-    unique = dedup.dedup_keep_fullest(plans, order, "id", "titulo", fullness)
-    matches = history.match_history(unique, past, order, "id", "enlace", "titulo" if with_titles else None, hist_order=hist_order)
-    return history.with_status(unique, past, matches, order, hist_order=hist_order, fill=["fecha_inicio", "fecha_fin"])
+    plans = cut(plans)
+    unique = cut(dedup.dedup_keep_fullest(plans.withColumn("__row", F.col(order)), order, "id", "titulo", fullness))
+    first = plans.join(unique.select(order), order, "left_semi")
+    matches = history.match_history(first, past, order, "id", "enlace", "titulo" if with_titles else None, hist_order=hist_order)
+    dates = ["fecha_inicio", "fecha_fin"]
+    known = history.with_status(first, past, matches, order, hist_order=hist_order, fill=dates)
+    out = unique.join(known.select(order, "is_new", "status", "first_seen", *[F.col(c).alias(f"__{c}") for c in dates]), order)
+    return out.withColumns({c: F.when(F.col("__row") == F.col(order), F.col(f"__{c}")).otherwise(F.col(c)) for c in dates}).drop("__row", *[f"__{c}" for c in dates])
 
 
 def bucketed(plans: DataFrame, now: Column) -> DataFrame:

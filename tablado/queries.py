@@ -548,16 +548,48 @@ def news_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return news_plans.export_news(news_plans.select_news(articles, F.expr(NOW), NOISE), F.expr(NOW))
 
 
+# Titles that name no plan, folded.
+PLAN_JUNK = (
+    "cartel fechas fecha descripcion precios precio horario horarios programa programacion contenido resumen indice contacto ubicacion direccion telefono entradas mapa plano newsletter patrocinadores".split()
+    + ["time out market", "online privacy notice", "privacy notice", "cookie policy", "terms of service"]
+)
+PLAN_JUNK_PATTERNS = [
+    r"^cartel(\s+\d{4})?$", r"^fechas?(\s+\d{4})?$", r"^\d{4}$", r"^(precios?|horarios?|descripcion|programacion|programa|contenido|resumen|indice|contacto|ubicacion|direccion|telefono)$",
+    r"privacy notice|cookie policy|cookies|terms of|aviso legal|politica de privacidad", r"^discover\b", r"coolest cities", r"time out market", r"^(los|las)\s+mejores\b", r"^las?\s+exposiciones\b",
+    r"^los?\s+mercadillos\b", r"\bque\s+puedes\s+ver\b", r"^planes?\s+para\b", r"^que\s+(ver|hacer|visitar)\b", r"^\d+\s+(planes|cosas|lugares|sitios|razones|motivos)\b", r"^todo\s+(lo\s+que|sobre)\b",
+    r"^arte\s+en\s+madrid$", r"^guia\s+(de|del|para)\b",
+]
+
+
+def _plans_known(spark: SparkSession, d: str) -> DataFrame:
+    """Plans normalised and filtered, one row each, with their status against history."""
+    raw = table(spark, d, "normalizer").withColumnRenamed("row_id", "ord")
+    proper = plan_plans.normalise(raw, F.expr(TODAY)).where(filters.proper_title(F.col("titulo"), PLAN_JUNK, PLAN_JUNK_PATTERNS))
+    chosen = plan_plans.select_plans(proper, F.expr(NOW), TOPICS, REFUSED)
+    return plan_plans.deduplicate(chosen, _plans_past(spark, d))
+
+
+def _plans_past(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "plan_history").select(F.col("row_id").alias("hist_ord"), "id", "enlace", "titulo", "_first_seen", "_extracted_at", "fecha_inicio", "fecha_fin")
+
+
 @query()
-def plans_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Plans normalised, filtered, deduplicated by id against history, bucketed and exported."""
+def fuzzy_dedup_plans(spark: SparkSession, d: str) -> DataFrame:
+    """The fullest row of each plan that is kept, in the place of its first row, with its status."""
+    return _plans_known(spark, d).select("ord", "id", "titulo", "status", "first_seen")
+
+
+@query()
+def history_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
+    """The first history row that a row matches by id, page or like title, and which of them it was."""
     raw = table(spark, d, "normalizer").withColumnRenamed("row_id", "ord")
-    chosen = plan_plans.select_plans(plan_plans.normalise(raw, F.expr(TODAY)), F.expr(NOW), TOPICS, REFUSED)
-    unique = dedup.keep_first(chosen, [F.col("id")], [F.col("ord")])
-    past = table(spark, d, "plan_history").withColumn("hist_ord", F.col("row_id"))
-    matches = history.match_history(unique, past, "ord", "id", "enlace")
-    known = history.with_status(unique, past.select("hist_ord", "_first_seen", "_extracted_at", "fecha_inicio", "fecha_fin"), matches, "ord", fill=["fecha_inicio", "fecha_fin"])
-    return plan_plans.export_plans(plan_plans.bucketed(known, F.expr(NOW)), F.expr(NOW), F.col("ord"))
+    return history.match_history(plan_plans.normalise(raw, F.expr(TODAY)), _plans_past(spark, d), "ord", "id", "enlace", "titulo")
+
+
+@query()
+def plans_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Plans normalised, filtered, deduplicated by id and like title against history, bucketed and exported."""
+    return plan_plans.export_plans(plan_plans.bucketed(_plans_known(spark, d), F.expr(NOW)), F.expr(NOW), F.col("ord"))
 
 
 # Scalars on the listing tables.

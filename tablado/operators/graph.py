@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tablado.io import cut
+from tablado.io import cut, discard
 
 MAX_ROUNDS = 60
 
 
+def _counted(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """``e`` cut, with its size and a sum over its links, both taken while it is written."""
+    seen = Observation()
+    out = cut(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")))
+    return out, (seen.get["n"], seen.get["s"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (two bigint columns) that is not its component's least node.
 
     Each round gives every node's larger neighbours the least node it knows, then every node's smaller ones;
-    the number of rounds grows with the logarithm of a component's size.  Minima are aggregated before they
-    are joined back, so that a hot node's neighbours are never in one group, and adaptive joins split them.
+    the number of rounds grows with the logarithm of a component's size, and the links left by a round that
+    changes nothing are stars.  Minima are aggregated before they are joined back, so that a hot node's
+    neighbours are never in one group, and adaptive joins split them.
     No links give no rows; self-links and NULLs are left out.
     """
     a, b = links.columns[:2]
     e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("bigint").alias("a"), F.least(a, b).cast("bigint").alias("b")).distinct()
-    e = cut(e)
-    before = None
-    for _ in range(MAX_ROUNDS):
+    e, before = _counted(e)
+    for _ in range(MAX_ROUNDS if before[0] else 0):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")), F.countDistinct("a")).first()
-        if now[0] == now[3] and now[:3] == before:
+        last = e
+        e, now = _counted(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        discard(last)
+        if now == before:
             break
-        before = now[:3]
+        before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -97,8 +97,11 @@ def _numbers(text: str) -> tuple[str, ...]:
     return tuple(re.findall(r"\d+", text))
 
 
+_KIND = re.compile("(?:" + "|".join(KINDS) + ")(?= |$)")
+
+
 def kind_of(folded: str) -> str:
-    return next((k for k in KINDS if folded == k or folded.startswith(k + " ")), "")
+    return m.group() if (m := _KIND.match(folded)) else ""
 
 
 def readings(value: str, decorations: Iterable[str] = ()) -> list[str]:

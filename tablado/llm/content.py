@@ -12,7 +12,8 @@ pages without a shuffle.
 Defined results
     * NULL and empty descriptions have no lines; blank lines are never furniture.
     * Repeated rows get the same lines.  Damaged or re-cased text is repaired before scoring.
-    * The model is a few thousand weights, at most ``FEATURES`` (2 MB), and is sent with the function.
+    * The model is a few thousand weights, at most ``FEATURES`` (2 MB), and is sent with the function, as are
+      the names of all sites (one row of the source catalog each).
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablado.llm import labelled_pages as lab
-from tablado.llm.encoding import fold, repair
+from tablado.llm.encoding import repair, unaccented
 
 SAMPLE_ROWS = 2_000
 TRAINING_PAGES = 1_500
 FEATURES = 60_000
 _WORD = re.compile(r"[^\W\d_]+|\d+")
+_DIGIT = re.compile(r"\d")
 _SIGNS = re.compile(r"\s[-|/>·•»]\s|\s{2,}")
 _TIME = re.compile(r"^\W*\d{1,2}[:.]\d{2}\b")
 _LIST = re.compile(r"^[\s•*·▪►–—-]+")
@@ -42,7 +44,9 @@ _TITLE_PARTS = re.compile(r"\s+(?:»|::|\||-|–|—|·|>|›|@|•)\s+")
 
 
 def _words(text: str) -> list[str]:
-    return ["0" if w.isdigit() else w for w in _WORD.findall(fold(text))]
+    folded = unaccented(text)
+    words = _WORD.findall(folded)
+    return ["0" if w.isdigit() else w for w in words] if _DIGIT.search(folded) else words
 
 
 class _Line:
@@ -50,16 +54,64 @@ class _Line:
 
     __slots__ = ("blank", "ends", "heads", "short", "strange", "sum", "title_words", "words")
 
-    def __init__(self, raw: str, weights: dict[str, float], vocabulary: set[str]) -> None:
+    def __init__(self, raw: str, vocabulary: set[str], scorer: _Scorer | None = None) -> None:
         text = raw.strip()
         self.words = _words(text)
         self.blank = not self.words and not text
         self.ends = text.endswith((".", "…", "!", "?", "]")) and len(self.words) > 3
         self.heads = text.endswith(":") and len(self.words) <= 4
         self.short = len(text) < 110
-        self.title_words = {w for w in self.words if len(w) > 3}
-        self.strange = {w for w in self.title_words if w not in vocabulary} if len(self.words) <= 16 else set()
-        self.sum = _score(line_features(text, self.words, vocabulary), weights)
+        self.title_words = {w for w in self.words if len(w) > 3} if len(self.words) <= 16 else set()
+        self.strange = self.title_words - vocabulary
+        self.sum = scorer.line(text, self.words) if scorer else 0.0
+
+
+class _Scorer:
+    """The score of ``line_features`` under given weights, without making the features."""
+
+    def __init__(self, weights: dict[str, float], vocabulary: set[str]) -> None:
+        get = weights.get
+        self.vocabulary, self.get = vocabulary, get
+        self.one = {w: get("w:" + w, 0.0) for w in vocabulary}
+        self.first = {w: get("first:" + w, 0.0) for w in vocabulary}
+        self.last = {w: get("last:" + w, 0.0) for w in vocabulary}
+        self.other = tuple(get(k, 0.0) for k in ("w:?", "first:?", "last:?"))
+        self.two = {tuple(k[2:].split(" ")): v for k, v in weights.items() if k.startswith("b:")}
+
+    def line(self, text: str, words: list[str]) -> float:
+        get, n = self.get, len(words)
+        z = get("bias", 0.0)
+        if n:
+            other, first, last = self.other
+            one = self.one
+            some = sum([one.get(w, other) for w in words])
+            if n <= 24:
+                two = self.two
+                some += sum([two.get(p, 0.0) for p in zip(words, words[1:])])
+            z += some / math.sqrt(n) + self.first.get(words[0], first) + self.last.get(words[-1], last)
+            if n <= 4:
+                z += 2.0 * get("all:" + " ".join(words), 0.0)
+        z += get(_size(n), 0.0)
+        if text.endswith(".") and n > 3:
+            z += get("dot", 0.0)
+        if text.endswith(("…", "...", "[…]")):
+            z += get("cut", 0.0)
+        if text.endswith(":"):
+            z += get("colon", 0.0)
+        if _TIME.match(text):
+            z += get("time", 0.0)
+        if (signs := len(_SIGNS.findall(text))) >= 2:
+            z += min(2.0, signs / 2) * get("signs", 0.0)
+        if text and text[0] in "«»©•":
+            z += get("sign:" + text[0], 0.0)
+        if n <= 14:
+            vocabulary = self.vocabulary
+            z += get("unknown:" + str(min(3, sum([w not in vocabulary for w in words]))), 0.0)
+        return z
+
+
+def _size(n: int) -> str:
+    return "size:" + ("0" if n == 0 else "1" if n == 1 else "2" if n <= 3 else "3" if n <= 7 else "4" if n <= 14 else "5")
 
 
 def line_features(text: str, words: list[str], vocabulary: set[str]) -> dict[str, float]:
@@ -79,8 +131,7 @@ def line_features(text: str, words: list[str], vocabulary: set[str]) -> dict[str
         f["last:" + (words[-1] if words[-1] in vocabulary else "?")] = 1.0
         if n <= 4:
             f["all:" + " ".join(words)] = 2.0
-    size = "0" if n == 0 else "1" if n == 1 else "2" if n <= 3 else "3" if n <= 7 else "4" if n <= 14 else "5"
-    f["size:" + size] = 1.0
+    f[_size(n)] = 1.0
     if text.endswith(".") and n > 3:
         f["dot"] = 1.0
     if text.endswith(("…", "...", "[…]")):
@@ -125,15 +176,19 @@ def _score(f: dict[str, float], weights: dict[str, float]) -> float:
 def page_features(line: _Line, title: set[str], at: int, last: int) -> dict[str, float]:
     """What a line shows by its place on a page."""
     f = {}
-    if line.title_words and len(line.words) <= 16:
+    if line.title_words:
         share = len(line.title_words & title) / len(line.title_words)
         f["own:" + ("2" if share >= 0.6 else "1" if share >= 0.3 else "0")] = 1.0
     if line.strange:
         f["name:own" if line.strange & title else "name:other"] = 1.0
-    f["at:" + ("first" if at == 0 else "last" if at == last else "second" if at == 1 else "end" if at >= last - 2 else "mid")] = 1.0
+    f[_at(at, last)] = 1.0
     return f
 
 
+def _at(at: int, last: int) -> str:
+    return "at:first" if at == 0 else "at:last" if at == last else "at:second" if at == 1 else "at:end" if at >= last - 2 else "at:mid"
+
+
 def blocks_of(lines: list[_Line], heads: set[str]) -> list[list[int]]:
     """The blocks of a page: a heading or menu with the short lines after it, else every line by itself."""
     out: list[list[int]] = []
@@ -163,18 +218,38 @@ class Model:
         self.weights, self.vocabulary, self.sites = weights, vocabulary, sites
         self.line_given_block, self.block_given_page, self.page = line_given_block, block_given_page, page
         self.heads = {" ".join(_words(h)) for h in lab.TEASER_HEADS}
+        self.placed = {k: weights.get(k, 0.0) for k in ("at:first", "at:last", "at:second", "at:end", "at:mid", "own:2", "own:1", "own:0", "name:own", "name:other")}
         self.memo: dict[str, _Line] = {}
+        self.named: dict[str, bool] = {}
+        self.scorer: _Scorer | None = None
+
+    def __getstate__(self) -> dict:
+        """What is sent to the executors: no memos and nothing that is made from the weights."""
+        return self.__dict__ | {"memo": {}, "named": {}, "scorer": None}
 
     def line(self, raw: str) -> _Line:
         if (x := self.memo.get(raw)) is None:
             if len(self.memo) > 50_000:
                 self.memo.clear()
-            x = self.memo[raw] = _Line(raw, self.weights, self.vocabulary)
+            if self.scorer is None:
+                self.scorer = _Scorer(self.weights, self.vocabulary)
+            x = self.memo[raw] = _Line(raw, self.vocabulary, self.scorer)
         return x
 
     def odds(self, lines: list[_Line], title: set[str]) -> list[float]:
         last = max((i for i, x in enumerate(lines) if not x.blank), default=0)
-        return [x.sum + _score(page_features(x, title, i, last), self.weights) for i, x in enumerate(lines)]
+        own, other = self.placed["name:own"], self.placed["name:other"]
+        out = []
+        for i, x in enumerate(lines):
+            # The same as the score of ``page_features``.
+            z = x.sum + self.placed[_at(i, last)]
+            if x.title_words:
+                share = len(x.title_words & title) / len(x.title_words)
+                z += self.placed["own:2" if share >= 0.6 else "own:1" if share >= 0.3 else "own:0"]
+            if x.strange:
+                z += other if x.strange.isdisjoint(title) else own
+            out.append(z)
+        return out
 
     def content(self, description: str, title: str) -> list[float]:
         """The probability of each line to be furniture; blank lines have 0."""
@@ -184,28 +259,31 @@ class Model:
         blocks = blocks_of(lines, self.heads)
         like = [(1 / (1 + math.exp(min(30.0, z))), 1 / (1 + math.exp(min(30.0, -z)))) for z in logits]
         # Upward: lines to blocks, blocks to the page.
-        up_line = {i: [sum(self.line_given_block[b][s] * like[i][s] for s in (0, 1)) for b in (0, 1)] for block in blocks for i in block}
+        (a0, a1), (b0, b1) = self.line_given_block
+        (p0, p1), (q0, q1) = self.block_given_page
+        up_line = [(a0 * x + a1 * y, b0 * x + b1 * y) for x, y in like]
         up_block, up_page = [], []
+        belief = [math.log(self.page[0]), math.log(self.page[1])]
         for block in blocks:
-            m = [1.0, 1.0]
+            m0, m1 = 1.0, 1.0
             for i in block:
-                m = [m[b] * up_line[i][b] for b in (0, 1)]
-                top = max(m) or 1.0
-                m = [x / top for x in m]
-            up_block.append(m)
-            up_page.append([sum(self.block_given_page[p][b] * m[b] for b in (0, 1)) for p in (0, 1)])
-        belief = [math.log(self.page[p]) + sum(math.log(max(u[p], 1e-300)) for u in up_page) for p in (0, 1)]
+                m0, m1 = m0 * up_line[i][0], m1 * up_line[i][1]
+                top = max(m0, m1) or 1.0
+                m0, m1 = m0 / top, m1 / top
+            up_block.append((m0, m1))
+            u = (math.log(max(p0 * m0 + p1 * m1, 1e-300)), math.log(max(q0 * m0 + q1 * m1, 1e-300)))
+            up_page.append(u)
+            belief[0] += u[0]
+            belief[1] += u[1]
         # Downward: the page without a block's own message, then the block without a line's own.
         out = [0.0] * len(lines)
-        for block, m, u in zip(blocks, up_block, up_page, strict=True):
-            rest = [belief[p] - math.log(max(u[p], 1e-300)) for p in (0, 1)]
-            top = max(rest)
-            page = [math.exp(r - top) for r in rest]
-            down = [sum(page[p] * self.block_given_page[p][b] for p in (0, 1)) for b in (0, 1)]
+        for block, (m0, m1), u in zip(blocks, up_block, up_page, strict=True):
+            odds = math.exp(max(-700.0, min(700.0, (belief[1] - u[1]) - (belief[0] - u[0]))))
+            down0, down1 = (p0 + odds * q0) * m0, (p1 + odds * q1) * m1
             for i in block:
-                others = [down[b] * m[b] / max(up_line[i][b], 1e-12) for b in (0, 1)]
-                s = [like[i][k] * sum(others[b] * self.line_given_block[b][k] for b in (0, 1)) for k in (0, 1)]
-                out[i] = s[1] / (s[0] + s[1]) if s[0] + s[1] else 0.5
+                o0, o1 = down0 / max(up_line[i][0], 1e-12), down1 / max(up_line[i][1], 1e-12)
+                s0, s1 = like[i][0] * (o0 * a0 + o1 * b0), like[i][1] * (o0 * a1 + o1 * b1)
+                out[i] = s1 / (s0 + s1) if s0 + s1 else 0.5
         return out
 
     def furniture_lines(self, description: str | None, title: str | None) -> list[int]:
@@ -214,6 +292,15 @@ class Model:
             return []
         return [i + 1 for i, p in enumerate(self.content(repair(description)[1], self.clean_title(title))) if p > 0.5]
 
+    def is_site(self, joined: str) -> bool:
+        """Whether a part of a title, as folded words, is a site's name, two typing errors set aside."""
+        if (hit := self.named.get(joined)) is None:
+            if len(self.named) > 100_000:
+                self.named.clear()
+            hit = joined in self.sites or (len(joined) > 6 and any(abs(len(s) - len(joined)) <= 2 and _may_be(s, joined) and _close(s, joined) for s in self.sites))
+            self.named[joined] = hit
+        return hit
+
     def title_parts(self, title: str | None) -> list[tuple[str, bool]]:
         """The parts of a title between its signs, and whether each belongs to the site."""
         if not title:
@@ -221,13 +308,8 @@ class Model:
         text = repair(title)[1].strip()
         if not _TITLE_PARTS.search(text):
             return [(text, False)]
-        out = []
         parts = title_pieces(text)
-        for p, signs in parts:
-            joined = " ".join(_words(p))
-            near = joined in self.sites or (len(joined) > 6 and any(abs(len(s) - len(joined)) <= 2 and _may_be(s, joined) and _close(s, joined) for s in self.sites))
-            out.append((p, len(parts) > 1 and (near or _score(title_features(p, signs, self.vocabulary), self.weights) > 0)))
-        return out
+        return [(p, len(parts) > 1 and (self.is_site(" ".join(_words(p))) or _score(title_features(p, signs, self.vocabulary), self.weights) > 0)) for p, signs in parts]
 
     def title_is_dressed(self, title: str | None) -> bool:
         return any(site for _, site in self.title_parts(title))
@@ -235,7 +317,9 @@ class Model:
     def clean_title(self, title: str | None) -> str:
         parts = self.title_parts(title)
         kept = [p for p, site in parts if not site]
-        return " - ".join(kept) if any(site for _, site in parts) and kept else repair(title or "")[1].strip()
+        if len(kept) == len(parts) or not kept:
+            return parts[0][0] if len(parts) == 1 else repair(title or "")[1].strip()
+        return " - ".join(kept)
 
     def main_text(self, description: str | None, title: str | None) -> str:
         """The main lines of the repaired text joined by one blank, list signs aside."""
@@ -337,7 +421,7 @@ def train(examples: list[tuple[str, str]], sites: Iterable[str], seed: int = 7)
     block_page = [[8.0, 0.1], [1.0, 1.0]]
     page_kind = [1.0, 1.0]
     for title, page in pages:
-        lines = [_Line(x, {}, vocabulary) for x, _ in page]
+        lines = [_Line(x, vocabulary) for x, _ in page]
         own = {w for w in _words(title) if len(w) > 3}
         for i, ((x, y), line) in enumerate(zip(page, lines, strict=True)):
             rows.append((line_features(x.strip(), line.words, vocabulary) | page_features(line, own, i, len(page) - 1), y))
@@ -388,9 +472,10 @@ def fit(clean: DataFrame, title: str, description: str, sites: DataFrame, name:
     rows = clean.select(F.col(title).alias("t"), F.col(description).alias("x")).where("trim(t) <> '' and length(x) > 100")
     # Only what passes the hash reaches the driver, some 1.5 samples, however many partitions there are.
     share = min(1.0, 1.5 * SAMPLE_ROWS / max(rows.count(), 1))
-    chosen = rows.where(F.pmod(F.xxhash64("x", "t"), F.lit(1 << 20)) <= int(share * (1 << 20)))
-    sample = sorted(chosen.collect(), key=lambda r: (r.x, r.t))[:SAMPLE_ROWS]
-    return train([(r.t, r.x) for r in sample], [r.n for r in sites.select(F.col(name).alias("n")).limit(10_000).collect()])
+    by = F.pmod(F.xxhash64("x", "t"), F.lit(1 << 40))
+    chosen = rows.select("t", "x", by.alias("h")).where(F.col("h") <= int(share * (1 << 40)))
+    sample = sorted(chosen.collect(), key=lambda r: (r.h, r.x, r.t))[:SAMPLE_ROWS]
+    return train([(r.t, r.x) for r in sample], [r.n for r in sites.select(F.col(name).alias("n")).where("n <> ''").distinct().collect()])
 
 
 def page_furniture(df: DataFrame, key: str, title: str, description: str, model: Model) -> DataFrame:

@@ -3,11 +3,16 @@
 Multi-key sorted-neighbourhood runs.  Every accepted title is kept under several sort keys in persisted key
 ranges.  A batch is sorted under the same keys, merged into just the ranges it touches, and compared only
 within a window round each new record; exact keys (id, page, title) are looked up in hashed buckets.  Like
-titles that lie farther away in every order meet under block keys of their names.  What the batch adds is written as a new run; when runs pile up they are compacted.
+titles that lie farther away in every order meet under block keys of their names, kept in buckets too.  What
+the batch adds is written as a new run; when runs pile up they are compacted and ranges are cut anew.
+
+The store's state is a manifest beside the runs, renamed into place after a run is written, so that a store
+opened by another process goes on where the last whole merge ended.
 
 Scale: copies are aggregated to one record a title before sorting; ranges are cut at quantiles of the sort
 keys, so that neither a common title word nor a large plan makes a hot range; windows stream over sorted
-records, and only the ends of ranges (2 x window records each) meet in a second step.
+records, and only the ends of ranges (2 x window records each) meet in a second step.  Block keys are
+numbers; only blocks in which records of different plans meet are given their titles and compared.
 
 Defined results
     * Two rows are one plan if they have the same id, page or title as ``plan_keys`` defines it; chains too.
@@ -19,29 +24,34 @@ Defined results
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablado.io import cut, shared_dir
-from tablado.llm.canonical import MAX_BROADCAST_NAMES, Dictionary
+from tablado.io import cut, delete, discard, names_in, shared_dir, write_text
+from tablado.llm.canonical import Dictionary
 from tablado.llm.content import Model
 from tablado.llm.encoding import fold
+from tablado.llm.plan_keys import LIKE, PERFORMER, REWORDED, Titles, block_keys, may_be_same, near_sets, page_key, parsed, same_title, signature, sort_keys
 from tablado.operators.graph import components
-from tablado.llm.plan_keys import LACKING, LIKE, PERFORMER, REWORDED, Titles, block_keys, may_be_same, near_sets, page_key, parsed, same_title, signature, sort_keys
 
 WINDOW = 8
 PASSES = 4
-#: Records of a key range that are aimed at, and the most ranges of a pass.
-RANGE_RECORDS, MAX_RANGES = 20_000, 512
-#: Titles from which the cutting points of key ranges are taken; they only decide where ranges end.
+#: Records of a key range that are aimed at, and the most ranges of a pass (their ends, some 100 bytes each, are
+#: sent to the tasks); beyond that ranges grow, which costs no memory, as windows stream.
+RANGE_RECORDS, MAX_RANGES = 20_000, 20_000
+#: Titles from which the cutting points of key ranges are taken, 16 a range if that is more; they only decide
+#: where ranges end.
 SAMPLE_TITLES = 8_000
 #: A word is common, and no proper name, from this share of the distinct titles on (and this number): at most
 #: words-per-title / share words, some 6,000.
 COMMON_SHARE, COMMON_LEAST = 0.002, 10
-BUCKETS = 64
+#: Keys of a bucket that are aimed at, and the fewest buckets.
+BUCKET_KEYS, LEAST_BUCKETS = 50_000, 8
 
 _ACCENTS = ("áéíóúüñàèìòùâêîôûçãõ", "aeiouunaeiouaeioucao")
 
@@ -70,28 +80,43 @@ def bounded_sample(df: DataFrame, column: str, size: int, total: int) -> list[st
 def title_parser(accepted: DataFrame, arriving: DataFrame, categories: DataFrame, venues: DataFrame, model: Model) -> Titles:
     """What takes titles apart, from the accepted and the arriving titles, the categories (one column each)
     and the venue catalog (id, name)."""
-    names = [(r[0], r[1]) for r in venues.limit(MAX_BROADCAST_NAMES).collect()]
-    kinds = {fold(r[0]) for r in categories.where(F.col(categories.columns[0]) != "").distinct().limit(1000).collect()}
+    names = [(r[0], r[1]) for r in venues.collect()]
+    # A category heads many titles of its own, so the categories that ``COMMON_SHARE`` of the rows have are few.
+    kind = F.col(categories.columns[0])
+    least = max(1, int(COMMON_SHARE * categories.count()))
+    kinds = {fold(r[0]) for r in categories.where(kind != "").groupBy(kind).count().where(F.col("count") >= least).collect()}
     words, phrases = common_words(accepted, arriving)
     return Titles(words, phrases, kinds, Dictionary(names, {}, (), True), model)
 
 
-def take_apart(rows: DataFrame, parser: Titles, listings: set[str]) -> DataFrame:
-    """(row_id, k_id, k_page, sig, k_sig) of (row_id, id, page, title) rows; NULL keys link nothing."""
+def take_apart(rows: DataFrame, parser: Titles, listings: set[str], more: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: str = "", keep: list[str] | None = None) -> DataFrame:
+    """(row_id, k_id, k_page, sig, other, k_sig) of (row_id, id, page, title) rows; NULL keys link nothing.
+
+    ``other`` has further readings of the title, a line each.  ``more`` may add columns (of ``schema``) read
+    from the same rows in the same pass; the columns ``keep`` are kept.
+    """
+    keep = keep or []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             pages = [page_key(u) for u in b["page"]]
             found = [parser.parse(t) for t in b["title"]]
-            yield pd.DataFrame({"row_id": b["row_id"], "id": b["id"], "page": [p if p not in listings else "" for p in pages], "sig": [signature(p) if p else "" for p in found]})
-
-    out = rows.select("row_id", "id", "page", "title").mapInPandas(run, "row_id bigint, id string, page string, sig string")
+            out = b[["row_id", "id", *keep]].assign(
+                page=[p if p not in listings else "" for p in pages],
+                sig=[signature(p) if p else "" for p in found],
+                other=["\n".join(map(signature, parser.other_readings(p))) if p else "" for p in found],
+            )
+            yield out if more is None else pd.concat([out, more(b)], axis=1)
+
+    kept = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    out = rows.mapInPandas(run, f"row_id bigint, id string{kept}, page string, sig string, other string" + (", " + schema if schema else ""))
     key = lambda c, kind: F.when(F.col(c) != "", F.xxhash64(F.lit(kind), F.col(c)))
-    return out.select("row_id", key("id", "id").alias("k_id"), key("page", "page").alias("k_page"), "sig", key("sig", "title").alias("k_sig"))
+    rest = [c for c in out.columns if c not in ("row_id", "id", "page", "sig", "other")]
+    return out.select("row_id", key("id", "id").alias("k_id"), key("page", "page").alias("k_page"), "sig", "other", key("sig", "title").alias("k_sig"), *rest)
 
 
 def _cut_points(sigs: list[str], total: int) -> list[list[str]]:
-    n = max(1, min(MAX_RANGES, -(-total // RANGE_RECORDS)))
+    n = max(1, min(len(sigs), MAX_RANGES, -(-total // RANGE_RECORDS)))
     out = []
     for k in range(PASSES):
         keys = sorted(sort_keys(s)[k] for s in sigs)
@@ -99,77 +124,161 @@ def _cut_points(sigs: list[str], total: int) -> list[list[str]]:
     return out
 
 
+#: Pass and number of a range in one number.
+_PASS = 1_000_000
+_RECORD = "range_no int, key string, sig string, first bigint, node bigint"
+
+
 def _keyed(sigs: DataFrame, points: list[list[str]]) -> DataFrame:
-    """(range_no, key, sig, first, fresh): every title under the key of every pass, in its range."""
+    """(range_no, key, sig, first, node): every title under the key of every pass and reading, in its range."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for sig, first, fresh in zip(b["sig"], b["first"], b["fresh"], strict=True):
-                for k, key in enumerate(sort_keys(sig)):
-                    out.append((k * 10_000 + bisect.bisect_right(points[k], key), key, sig, first, fresh))
-            yield pd.DataFrame(out, columns=["range_no", "key", "sig", "first", "fresh"])
+            for sig, other, first, node in zip(b["sig"], b["other"], b["first"], b["node"], strict=True):
+                for reading in [sig, *other.split("\n")] if other else [sig]:
+                    out += [(k * _PASS + bisect.bisect_right(points[k], key), key, sig, first, node) for k, key in enumerate(sort_keys(reading))]
+            yield pd.DataFrame(out, columns=["range_no", "key", "sig", "first", "node"])
+
+    return sigs.select("sig", "other", "first", "node").mapInPandas(run, _RECORD)
+
 
-    return sigs.select("sig", "first", "fresh").mapInPandas(run, "range_no int, key string, sig string, first bigint, fresh boolean")
+_PAIRS = "a bigint, b bigint, range_no int, key string, sig string, node bigint, fresh boolean"
+_KINDS = {"a": "Int64", "b": "Int64", "range_no": "Int32", "node": "Int64", "fresh": "boolean"}
 
 
-_PAIRS = "a bigint, b bigint, range_no int, key string, sig string, first bigint, fresh boolean"
+class _Traits:
+    """Numbers by which pairs of titles that cannot be the same are told apart, many at once."""
+
+    def __init__(self) -> None:
+        self.memo: dict[str, tuple[int, int, int, int, int, int, int]] = {}
+
+    def __call__(self, sigs: list[str]) -> np.ndarray:
+        """(series, names if two, first and second name, ends of both) of each title."""
+        memo, out = self.memo, []
+        if len(memo) > 200_000:
+            memo.clear()
+        for s in sigs:
+            if (t := memo.get(s)) is None:
+                _, series, names = s.split("|")
+                two = names.split()
+                if len(two) != 2 or "\ufffd" in names:
+                    t = (hash(series), 0, 0, 0, 0, 0, 0)
+                else:
+                    p, q = two
+                    t = (hash(series), 2, hash(p), hash(q), ord(p[0]) << 32 | ord(p[-1]), ord(q[0]) << 32 | ord(q[-1]), 0)
+                memo[s] = t
+            out.append(t)
+        return np.array(out, dtype=np.int64).reshape(len(sigs), 7)
+
+
+def _may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``may_be_same`` for rows of traits."""
+    low = 0xFFFFFFFF
+    p, q, r, s = x[:, 2], x[:, 3], y[:, 2], y[:, 3]
+    shared = (p == r) | (q == s) | (p == s) | (q == r)
+    end = lambda a, b: ((a >> 32) == (b >> 32)) | ((a & low) == (b & low))
+    close = (end(x[:, 4], y[:, 4]) & end(x[:, 5], y[:, 5])) | (end(x[:, 4], y[:, 5]) & end(x[:, 5], y[:, 4]))
+    return (x[:, 0] == y[:, 0]) & ((x[:, 1] != 2) | (y[:, 1] != 2) | shared | close)
 
 
 def _slide(batches: Iterator[pd.DataFrame], across: bool) -> Iterator[pd.DataFrame]:
     """Pairs within the window over sorted records; the ends of ranges come out as records without a pair.
 
     With ``across`` the input is ends of ranges, and only pairs of different ranges of a pass are compared.
+    Records that are known to be one plan, or have become so within the batch, are not compared again.
     """
-    recent: list[tuple] = []  # the last WINDOW records: (range_no, key, sig, first, fresh, parsed)
-    group, seen = None, 0
+    traits = _Traits()
+    tail: pd.DataFrame | None = None  # the last WINDOW records
+    place = 0  # of the tail's last record in its range
+
+    def ends(part: pd.DataFrame) -> list[tuple]:
+        return [(None, None, *r) for r in part[["range_no", "key", "sig", "node", "fresh"]].itertuples(index=False, name=None)]
+
     for batch in batches:
-        out = []
-
-        def close(out: list = out) -> None:
-            """The last records of a range; those of a short range have come out as its first."""
-            if not across and seen > WINDOW:
-                out += [(None, None, *r[:5]) for r in recent]
-
-        for range_no, key, sig, first, fresh in zip(batch["range_no"], batch["key"], batch["sig"], batch["first"], batch["fresh"], strict=True):
-            now = range_no // 10_000 if across else range_no
-            if now != group:
-                close()
-                group, recent, seen = now, [], 0
-            r = (range_no, key, sig, first, fresh, parsed(sig))
-            for o in recent:
-                if (fresh or o[4]) and o[2] != sig and (not across or o[0] != range_no) and may_be_same(o[5], r[5]) and same_title(o[5], r[5]):
-                    out.append((max(first, o[3]), min(first, o[3]), None, None, None, None, None))
-            if not across and seen < WINDOW:
-                out.append((None, None, *r[:5]))
-            seen += 1
-            recent.append(r)
-            if len(recent) > WINDOW:
-                recent.pop(0)
-        yield pd.DataFrame(out, columns=["a", "b", "range_no", "key", "sig", "first", "fresh"]).astype({"a": "Int64", "b": "Int64", "range_no": "Int32", "first": "Int64", "fresh": "boolean"})
-    if not across and seen > WINDOW:
-        yield pd.DataFrame([(None, None, *r[:5]) for r in recent], columns=["a", "b", "range_no", "key", "sig", "first", "fresh"]).astype({"a": "Int64", "b": "Int64", "range_no": "Int32", "first": "Int64", "fresh": "boolean"})
+        if batch.empty:
+            continue
+        carried = 0 if tail is None else len(tail)
+        df = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
+        rng = df["range_no"].to_numpy()
+        group = rng // _PASS if across else rng
+        node, fresh, sigs = df["node"].to_numpy(), df["fresh"].to_numpy(dtype=bool), df["sig"].tolist()
+        x = traits(sigs)
+        label = dict(zip(node.tolist(), node.tolist(), strict=True))
+
+        def root(n: int, label: dict[int, int] = label) -> int:
+            while label[n] != n:
+                n = label[n]
+            return n
+
+        out: list[tuple] = []
+        for k in range(1, WINDOW + 1):
+            if len(df) <= k:
+                break
+            good = (group[k:] == group[:-k]) & (node[k:] != node[:-k]) & (fresh[k:] | fresh[:-k])
+            if across:
+                good &= rng[k:] != rng[:-k]
+            good[: max(0, carried - k)] = False  # both carried over: compared before
+            at = np.flatnonzero(good)
+            at = at[_may(x[at], x[at + k])] if len(at) else at
+            for i in at.tolist():
+                a, b = root(int(node[i])), root(int(node[i + k]))
+                if a == b:
+                    continue
+                if sigs[i] == sigs[i + k]:  # tied by their exact key
+                    label[max(a, b)] = min(a, b)
+                elif same_title(parsed(sigs[i]), parsed(sigs[i + k])):
+                    label[max(a, b)] = min(a, b)
+                    m, n = int(node[i]), int(node[i + k])
+                    out.append((max(m, n), min(m, n), None, None, None, None, None))
+        if not across:
+            # The first and the last records of every range.
+            new = np.r_[True, group[1:] != group[:-1]]
+            starts = np.flatnonzero(new)
+            number = np.arange(len(df)) - np.repeat(starts, np.diff(np.r_[starts, len(df)]))
+            if carried:  # the range that went on from the batch before
+                i = int(np.searchsorted(starts, carried - 1, side="right"))
+                number[starts[i - 1] : starts[i] if i < len(starts) else len(df)] += place - number[carried - 1]
+            firsts = (number < WINDOW) & (np.arange(len(df)) >= carried)
+            lasts = np.zeros(len(df), dtype=bool)
+            for end in starts[1:]:
+                lasts[max(0, end - WINDOW) : end] |= (group[max(0, end - WINDOW) : end] == group[end - 1]) & (number[max(0, end - WINDOW) : end] >= WINDOW)
+            out += ends(df[firsts | lasts])
+            place = int(number[-1])
+        tail = df.iloc[-WINDOW:]
+        yield pd.DataFrame(out, columns=["a", "b", "range_no", "key", "sig", "node", "fresh"]).astype(_KINDS)
+    if not across and tail is not None:
+        last = tail[(tail["range_no"] == tail["range_no"].iloc[-1]) & (np.arange(place - len(tail) + 1, place + 1) >= WINDOW)]
+        yield pd.DataFrame(ends(last), columns=["a", "b", "range_no", "key", "sig", "node", "fresh"]).astype(_KINDS)
 
 
 def window_pairs(keyed: DataFrame) -> DataFrame:
-    """(a, b): first rows of two titles that name the same event, at least one of them new, a > b."""
-    found = cut(keyed.repartition("range_no").sortWithinPartitions("range_no", "key", "sig").mapInPandas(lambda it: _slide(it, False), _PAIRS))
-    ends = found.where("a is null").select("range_no", "key", "sig", "first", "fresh").distinct()
-    passes = ends.repartition(PASSES, F.floor(F.col("range_no") / 10_000)).sortWithinPartitions(F.floor(F.col("range_no") / 10_000), "key", "sig", "range_no")
-    across = passes.mapInPandas(lambda it: _slide(it, True), _PAIRS)
-    return found.where("a is not null").select("a", "b").unionByName(across.where("a is not null").select("a", "b")).where("a <> b").distinct()
+    """(a, b): nodes of two titles that name the same event, at least one of them new, a > b."""
+    records = keyed.select("range_no", "key", "sig", "node", "fresh")
+    found = cut(records.repartition("range_no").sortWithinPartitions("range_no", "key", "sig").mapInPandas(lambda it: _slide(it, False), _PAIRS))
+    ends = found.where("a is null").select("range_no", "key", "sig", "node", "fresh").distinct()
+    of_pass = F.floor(F.col("range_no") / _PASS)
+    across = ends.repartition(PASSES, of_pass).sortWithinPartitions(of_pass, "key", "sig", "range_no").mapInPandas(lambda it: _slide(it, True), _PAIRS)
+    return found.where("a is not null").select("a", "b").unionByName(across.where("a is not null").select("a", "b")).distinct()
 
 
 def blocked(sigs: DataFrame) -> DataFrame:
-    """(block, kind, sig, first, fresh): every title under each of its block keys."""
+    """(block, kind, first, node): every title under each of its block keys, as numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(key, kind, sig, first, fresh) for sig, first, fresh in zip(b["sig"], b["first"], b["fresh"], strict=True) for kind, key in block_keys(parsed(sig))]
-            yield pd.DataFrame(out, columns=["key", "kind", "sig", "first", "fresh"])
+            keys, kinds, sizes = [], [], []
+            for sig, other in zip(b["sig"], b["other"], strict=True):
+                found = {key: kind for kind, key in block_keys(parsed(sig))}
+                for reading in other.split("\n") if other else ():
+                    found |= {key: kind for kind, key in block_keys(parsed(reading)) if kind == LIKE}
+                keys += found
+                kinds += found.values()
+                sizes.append(len(found))
+            repeat = lambda c: np.repeat(b[c].to_numpy(), sizes)
+            yield pd.DataFrame({"block": np.array(keys, dtype=np.uint64).view(np.int64), "kind": np.array(kinds, dtype=np.int8), "first": repeat("first"), "node": repeat("node")})
 
-    out = sigs.select("sig", "first", "fresh").mapInPandas(run, "key string, kind int, sig string, first bigint, fresh boolean")
-    return out.select(F.xxhash64("key").alias("block"), "kind", "sig", "first", "fresh")
+    return sigs.select("sig", "other", "first", "node").mapInPandas(run, "block bigint, kind tinyint, first bigint, node bigint")
 
 
 def _star(firsts: list[int]) -> list[tuple[int, int]]:
@@ -178,7 +287,7 @@ def _star(firsts: list[int]) -> list[tuple[int, int]]:
 
 
 def _of_performer(block: list[tuple]) -> list[tuple[int, int]]:
-    """Links between titles (kind, sig, first, fresh, parsed) of the same names, at least one of each pair new.
+    """Links between titles (kind, sig, node, fresh, parsed) of the same names, at least one of each pair new.
 
     Titles that differ in the words of rewordings are the same event, so they need no comparing.
     """
@@ -204,19 +313,18 @@ def _of_performer(block: list[tuple]) -> list[tuple[int, int]]:
 
 
 def _of_block(block: list[tuple]) -> list[tuple[int, int]]:
-    """Links between titles (kind, sig, first, fresh, parsed) of a block; joined ones are not compared again."""
+    """Links between titles (kind, sig, node, fresh, parsed) of a block; joined ones are not compared again."""
     if block[0][0] == PERFORMER:
         return _of_performer(block)
-    same = lambda r, o: (r[3] or o[3]) and r[1] != o[1] and may_be_same(o[4], r[4]) and same_title(o[4], r[4])
-    if block[0][0] != LIKE:
-        lacking = [r for r in block if r[0] == LACKING]
-        return [(max(r[2], o[2]), min(r[2], o[2])) for r in block if r[0] != LACKING for o in lacking if same(r, o)]
-    out, groups = [], []
+    same = lambda r, o: (r[3] or o[3]) and may_be_same(o[4], r[4]) and same_title(o[4], r[4])
+    out: list[tuple[int, int]] = []
+    groups: list[list[tuple]] = []
     for r in block:
         joined, apart = [r], []
         for g in groups:
-            if o := next((o for o in g if same(r, o)), None):
-                out.append((max(r[2], o[2]), min(r[2], o[2])))
+            if o := next((o for o in g if r[2] == o[2] or same(r, o)), None):
+                if r[2] != o[2]:
+                    out.append((max(r[2], o[2]), min(r[2], o[2])))
                 joined += g
             else:
                 apart.append(g)
@@ -224,141 +332,218 @@ def _of_block(block: list[tuple]) -> list[tuple[int, int]]:
     return out
 
 
-def block_pairs(blocks: DataFrame) -> DataFrame:
-    """(a, b): first rows of two titles of a block that name the same event, at least one of them new, a > b."""
+def block_pairs(blocks: DataFrame, titles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): nodes of two titles of a block that name the same event, at least one of them new, a > b.
+
+    ``blocks`` has (block, kind, first, node, fresh), ``titles`` the (first, sig) of all of them.  ``pairs`` are
+    links already found: blocks whose records are all tied to one node by them need no comparing.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, block = None, []
         for batch in batches:
             out = []
-            for key, kind, sig, first, fresh in zip(batch["block"], batch["kind"], batch["sig"], batch["first"], batch["fresh"], strict=True):
+            for key, kind, sig, node, fresh in zip(batch["block"], batch["kind"], batch["sig"], batch["node"], batch["fresh"], strict=True):
                 if key != now:
-                    if block:
+                    if len(block) > 1:
                         out += _of_block(block)
                     now, block = key, []
-                block.append((kind, sig, first, fresh, parsed(sig)))
+                block.append((kind, sig, node, fresh, parsed(sig)))
             yield pd.DataFrame(list(set(out)), columns=["a", "b"], dtype="int64")
-        if block:
+        if len(block) > 1:
             yield pd.DataFrame(_of_block(block), columns=["a", "b"], dtype="int64")
 
-    # Most blocks hold one title or only accepted ones; those never reach Python.
+    tied = pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+    labelled = blocks.join(tied, "node", "left").withColumn("low", F.coalesce("low", "node"))
     w = Window.partitionBy("block")
-    counted = blocks.select("*", F.count("*").over(w).alias("n"), F.max("fresh").over(w).alias("any"), F.min("kind").over(w).alias("low"), F.max("kind").over(w).alias("high"))
-    some = counted.where(f"n > 1 and any and (low < {LACKING} or low < high)").select("block", "kind", "sig", "first", "fresh")
-    return some.mapInPandas(run, "a bigint, b bigint").where("a <> b").distinct()
+    met = labelled.select("*", F.max("fresh").over(w).alias("any"), F.min("low").over(w).alias("least"), F.max("low").over(w).alias("most")).where("any and least < most")
+    some = met.select("block", "kind", "first", "node", "fresh").join(titles, "first")
+    return some.repartition("block").sortWithinPartitions("block", "node").mapInPandas(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
 class RunStore:
-    """Accepted plans in a shared folder: key ranges of titles, hashed exact keys, and links between firsts."""
+    """Accepted plans in a shared folder: key ranges of titles, hashed exact and block keys, and the rows' plans.
+
+    ``node`` in the tables is the plan's first row when the record was accepted; plans that a later batch ties
+    together are links (node, root), read only for the nodes a batch touches.
+    """
+
+    _TABLES = {"titles": "key string, sig string, first bigint, node bigint, range_no int", "blocks": "block bigint, kind tinyint, first bigint, node bigint, bucket int", "keys": "k bigint, node bigint, bucket int", "sigs": "first bigint, sig string, other string, node bigint, bucket int", "links": "a bigint, b bigint, bucket int", "members": "row_id bigint, node bigint"}
 
     def __init__(self, spark: SparkSession, folder: str, max_runs: int = 6) -> None:
-        self.spark, self.folder, self.max_runs = spark, folder, max_runs
+        self.spark, self.folder, self.max_runs = spark, folder.rstrip("/"), max_runs
         self.runs: list[str] = []
         self.points: list[list[str]] | None = None
-        self.made = 0
-
-    def _at(self, *parts: str) -> str:
-        return "/".join([self.folder.rstrip("/"), *parts])
-
-    def _read(self, part: str, schema: str) -> DataFrame | None:
-        frames = [self.spark.read.schema(schema).parquet(self._at(r, part)) for r in self.runs]
+        self.buckets = LEAST_BUCKETS
+        self.titles = self.made = 0
+        #: What the last merge read: folders of each table.
+        self.touched: dict[str, int] = {}
+        if states := [n for n in names_in(spark, f"{self.folder}/states") if n.endswith(".json")]:
+            state = json.loads(spark.read.text(f"{self.folder}/states/{states[-1]}", wholetext=True).first()[0])
+            self.runs, self.points, self.buckets, self.titles, self.made = (state[k] for k in ("runs", "points", "buckets", "titles", "made"))
+
+    def _commit(self) -> None:
+        state = {"runs": self.runs, "points": self.points, "buckets": self.buckets, "titles": self.titles, "made": self.made}
+        write_text(self.spark, f"{self.folder}/states/{self.made:09d}.json", json.dumps(state))
+
+    def _read(self, part: str, only: list[int] | None = None) -> DataFrame | None:
+        """A table of all runs; with ``only`` just those of its folders (ranges or buckets)."""
         out = None
-        for f in frames:
+        by = "range_no" if part == "titles" else "bucket"
+        for r in self.runs:
+            f = self.spark.read.schema(self._TABLES[part]).parquet(f"{self.folder}/{r}/{part}")
+            if only is not None:
+                f = f.where(F.col(by).isin(only))
             out = f if out is None else out.unionByName(f)
+        if only is not None:
+            self.touched[part] = len(only)
         return out
 
-    def merge(self, batch: DataFrame, *, keep: bool = True) -> DataFrame:
+    def _bucket(self, c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
+
+    def _looked_up(self, part: str, wanted: DataFrame, key: str) -> DataFrame | None:
+        """Records of a table whose key is among ``wanted``, from the buckets that these lie in."""
+        if not self.runs:
+            return None
+        only = [r[0] for r in wanted.select(self._bucket(key).alias("b")).distinct().collect()]  # at most the buckets
+        return self._read(part, only).join(wanted.select(key).distinct(), key, "left_semi").drop("bucket")
+
+    def merge(self, batch: DataFrame, *, keep: bool = True, trusted: bool = False) -> DataFrame:
         """(row_id, first_row_id) for the batch rows (from ``take_apart``) that repeat an earlier row.
 
         Accepts the batch afterwards unless ``keep`` is false.  The cost follows the batch: of the accepted
-        titles only the touched key ranges are read, of the exact keys only the touched buckets.
+        titles only the touched key ranges are read, of keys and links only the touched buckets.  With
+        ``trusted`` like titles within the batch, a list of different plans, are not compared.
         """
-        batch = cut(batch)
+        self.touched = {}
+        new = F.lit(not trusted)
         # One record a title; hot titles are aggregated before they move.
-        sigs = cut(batch.where("sig <> ''").groupBy("sig", "k_sig").agg(F.min("row_id").alias("first")).withColumn("fresh", F.lit(True)))
+        sigs = cut(batch.where("sig <> ''").groupBy("sig", "other").agg(F.min("row_id").alias("first")).withColumn("node", F.col("first")))
         if self.points is None:
-            total = sigs.count()
-            sample = bounded_sample(sigs, "sig", SAMPLE_TITLES, total)
-            self.points = _cut_points(sample, max(total, RANGE_RECORDS))
-        keyed = _keyed(sigs, self.points)
-        old = self._read("titles", "range_no int, key string, sig string, first bigint")
-        if old is not None:
-            keyed = cut(keyed)
-            touched = [r.range_no for r in keyed.select("range_no").distinct().collect()]  # at most PASSES x MAX_RANGES
-            keyed = keyed.unionByName(old.where(F.col("range_no").isin(touched)).withColumn("fresh", F.lit(False)).select(keyed.columns))
-        blocks = cut(blocked(sigs))
-        accepted = self._read("blocks", "block bigint, kind int, sig string, first bigint, bucket int")
-        all_blocks = blocks
-        if accepted is not None:
-            all_blocks = blocks.unionByName(accepted.join(blocks.select("block").distinct(), "block", "left_semi").withColumn("fresh", F.lit(False)).select(blocks.columns))
-        pairs = window_pairs(keyed).unionByName(block_pairs(all_blocks)).distinct()
+            self._aim(sigs)
+        keyed, blocks = cut(_keyed(sigs, self.points)), cut(blocked(sigs))
+        pairs = None
+        if self.runs or not trusted:
+            near = keyed.withColumn("fresh", new)
+            if self.runs:
+                ranges = [r[0] for r in keyed.select("range_no").distinct().collect()]  # at most the ranges
+                near = near.unionByName(self._read("titles", ranges).withColumn("fresh", F.lit(False)).select(near.columns))
+            pairs = cut(window_pairs(near))
+            near, known = blocks.withColumn("fresh", new), sigs.select("first", "sig")
+            if self.runs:
+                held = self._looked_up("blocks", blocks, "block").withColumn("fresh", F.lit(False))
+                known = known.unionByName(self._looked_up("sigs", held.select("first"), "first").select("first", "sig"))
+                near = near.unionByName(held.select(near.columns))
+            pairs = pairs.unionByName(block_pairs(near, known, pairs))
 
         # Exact keys: a row is tied to the least row of its id, page and title, accepted ones included.
-        long = batch.select("row_id", F.explode(F.array("k_id", "k_page", "k_sig")).alias("k")).where("k is not null")
-        known = self._read("keys", "k bigint, first bigint, bucket int")
+        long = batch.select("row_id", F.explode(F.array_distinct(F.array("k_id", "k_page", "k_sig"))).alias("k")).where("k is not null")
         mine = long.groupBy("k").agg(F.min("row_id").alias("m"), F.count("*").alias("n"))
-        if known is not None:
-            accepted = known.join(mine.select("k"), "k", "left_semi").groupBy("k").agg(F.min("first").alias("old"))
-            mine = mine.join(accepted, "k", "left").select("k", F.least("m", "old").alias("m"), F.when(F.col("old").isNull(), F.col("n")).otherwise(2).alias("n"))
-        ties = long.join(mine.where("n > 1").select("k", "m"), "k").where("row_id <> m").select("row_id", "m")
-        links = ties.toDF("a", "b").unionByName(pairs)
-        earlier = self._read("links", "a bigint, b bigint")
-        if earlier is not None:
-            links = links.unionByName(earlier)
+        if self.runs:
+            mine = cut(mine)
+            accepted = self._looked_up("keys", mine, "k").groupBy("k").agg(F.min("node").alias("old"), F.max("node").alias("older"))
+            mine = mine.join(accepted, "k", "left").select("k", F.least("m", "old").alias("m"), F.when(F.col("old").isNull(), F.col("n")).otherwise(2).alias("n"), "old", "older")
+        else:
+            mine = mine.select("*", F.lit(None).cast("bigint").alias("old"), F.lit(None).cast("bigint").alias("older"))
+        met = mine.where("n > 1")
+        links = long.join(met.select("k", "m"), "k").where("row_id <> m").select(F.col("row_id").alias("a"), F.col("m").alias("b"))
+        links = links.unionByName(met.where("old is not null and old <> m").select("old", "m").toDF("a", "b")).unionByName(met.where("older <> old").select("older", "old").toDF("a", "b"))
+        if pairs is not None:
+            links = links.unionByName(pairs)
+        if self.runs:
+            links = cut(links)
+            links = links.unionByName(self._earlier(links))
         roots = components(links)
-        result = batch.select("row_id").join(roots, F.col("row_id") == F.col("node")).select("row_id", F.col("root").alias("first_row_id")).where("first_row_id < row_id").distinct()
+        result = batch.select("row_id").join(roots, F.col("row_id") == F.col("node")).select("row_id", F.col("root").alias("first_row_id")).distinct()
         if keep:
             result = cut(result)
-            self._accept(batch, keyed.where("fresh") if old is not None else keyed, blocks, long, roots)
+            self._accept(batch, sigs, keyed, blocks, mine, roots, result)
         return result
 
-    def _accept(self, batch: DataFrame, keyed: DataFrame, blocks: DataFrame, long: DataFrame, roots: DataFrame) -> None:
-        self.made += 1
-        run = f"run-{self.made}"
-        root_of = lambda df, c: df.join(roots.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    def _aim(self, sigs: DataFrame) -> None:
+        """Cuts the ranges at quantiles of a bounded sample, and sets the number of buckets, for these titles."""
+        self.titles = sigs.count()
+        self.points = _cut_points(bounded_sample(sigs, "sig", max(SAMPLE_TITLES, min(16 * MAX_RANGES, 16 * self.titles // RANGE_RECORDS)), self.titles), self.titles)
+        self.buckets = max(LEAST_BUCKETS, -(-8 * self.titles // BUCKET_KEYS))
+
+    def _earlier(self, links: DataFrame) -> DataFrame:
+        """Accepted links that lead on from the nodes that ``links`` touch, step by step."""
+        at = links.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+        out = links.limit(0)
+        while True:
+            step = cut(self._looked_up("links", at, "a").select("a", "b"))
+            if step.isEmpty():
+                return out
+            out = out.unionByName(step)
+            at = step.select(F.col("b").alias("a")).distinct()
+
+    def _write(self, run: str, **parts: DataFrame) -> None:
         # Ranges and buckets are folders, so that a later batch reads only those it touches.
-        titles = root_of(keyed.select("range_no", "key", "sig", "first"), "first")
-        titles.repartition("range_no").sortWithinPartitions("range_no", "key").write.partitionBy("range_no").parquet(self._at(run, "titles"))
-        held = root_of(blocks.select("block", "kind", "sig", "first"), "first").withColumn("bucket", F.pmod("block", F.lit(BUCKETS)).cast("int"))
-        held.repartition("bucket").write.partitionBy("bucket").parquet(self._at(run, "blocks"))
-        keys = root_of(long.groupBy("k").agg(F.min("row_id").alias("first")), "first").withColumn("bucket", F.pmod("k", F.lit(BUCKETS)).cast("int"))
-        keys.repartition("bucket").write.partitionBy("bucket").parquet(self._at(run, "keys"))
-        # Ties between plans that were accepted as different ones until this batch joined them.
-        ties = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        ties.join(batch.select("row_id"), F.col("a") == F.col("row_id"), "left_anti").write.parquet(self._at(run, "links"))
+        for part, df in parts.items():
+            at = f"{self.folder}/{run}/{part}"
+            if part == "titles":
+                df.repartition("range_no").sortWithinPartitions("range_no", "key").write.mode("overwrite").partitionBy("range_no").parquet(at)
+            elif part == "members":
+                df.write.mode("overwrite").parquet(at)
+            else:
+                df = df.withColumn("bucket", self._bucket({"blocks": "block", "keys": "k", "sigs": "first", "links": "a"}[part]))
+                df.repartition("bucket").sortWithinPartitions("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+
+    def _accept(self, batch: DataFrame, sigs: DataFrame, keyed: DataFrame, blocks: DataFrame, mine: DataFrame, roots: DataFrame, members: DataFrame) -> None:
+        named = roots.withColumnRenamed("node", "n")
+        rooted = lambda df, c: df.join(named, F.col(c) == F.col("n"), "left").withColumn("node", F.coalesce("root", c)).drop("root", "n")
+        self.made += 1
+        run = f"run-{self.made:09d}"
+        held = cut(rooted(sigs.drop("node"), "first"))
+        of = held.select("first", "node")
+        ties = roots.join(batch.select("row_id"), F.col("node") == F.col("row_id"), "left_anti").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        self._write(
+            run, titles=keyed.drop("node").join(of, "first"), blocks=blocks.drop("node").join(of, "first"), keys=rooted(mine.where("old is null").select("k", "m"), "m").select("k", "node"),
+            sigs=held, links=ties, members=members.select("row_id", F.col("first_row_id").alias("node")),
+        )
         self.runs.append(run)
+        self.titles += held.count() if len(self.runs) > 1 else 0
+        self._commit()
+        discard(held)
         if len(self.runs) > self.max_runs:
             self.compact()
 
     def compact(self) -> None:
-        """All runs as one."""
-        titles = self._read("titles", "range_no int, key string, sig string, first bigint").groupBy("range_no", "key", "sig").agg(F.min("first").alias("first"))
-        blocks = self._read("blocks", "block bigint, kind int, sig string, first bigint, bucket int").groupBy("block", "kind", "sig", "bucket").agg(F.min("first").alias("first"))
-        keys = self._read("keys", "k bigint, first bigint, bucket int").groupBy("k", "bucket").agg(F.min("first").alias("first"))
-        links = self._read("links", "a bigint, b bigint").distinct()
+        """All runs as one, with ranges and buckets cut anew for what the store has grown to, links resolved."""
+        links = components(self._read("links").select("a", "b"))
+        now = lambda df: df.join(links.toDF("node", "root"), "node", "left").withColumn("node", F.coalesce("root", "node")).drop("root", "bucket")
+        sigs = cut(now(self._read("sigs")).groupBy("sig", "other").agg(F.min("first").alias("first"), F.min("node").alias("node")))
+        blocks, keys, members = now(self._read("blocks")), now(self._read("keys")), now(self._read("members"))
+        same = self._read("sigs").select("sig", F.col("first").alias("was")).join(sigs.select("sig", "first"), "sig").select("was", "first")
+        blocks = blocks.withColumnRenamed("first", "was").join(same, "was").groupBy("block", "kind", "first").agg(F.min("node").alias("node"))
+        old = self.runs
+        self._aim(sigs)
         self.made += 1
-        run = f"run-{self.made}"
-        titles.repartition("range_no").sortWithinPartitions("range_no", "key").write.partitionBy("range_no").parquet(self._at(run, "titles"))
-        blocks.repartition("bucket").write.partitionBy("bucket").parquet(self._at(run, "blocks"))
-        keys.repartition("bucket").write.partitionBy("bucket").parquet(self._at(run, "keys"))
-        links.write.parquet(self._at(run, "links"))
+        run = f"run-{self.made:09d}"
+        self._write(run, titles=_keyed(sigs, self.points), blocks=blocks, keys=keys.groupBy("k").agg(F.min("node").alias("node")), sigs=sigs, links=links.toDF("a", "b"), members=members)
         self.runs = [run]
-
-
-def repeats_in_backlog(history: DataFrame, backlog: DataFrame) -> DataFrame:
-    """(row_id, first_row_id) for the backlog rows that repeat a row of ``history`` or an earlier backlog row.
-
-    Both from ``take_apart``.  History and backlog are sorted as one run, for which nothing needs to be
-    written to a store: the backlog of a first load touches every key range anyway.
-    """
-    rows = cut(history.withColumn("fresh", F.lit(False)).unionByName(backlog.withColumn("fresh", F.lit(True))))
-    sigs = cut(rows.where("sig <> ''").groupBy("sig").agg(F.min("row_id").alias("first"), F.max("fresh").alias("fresh")))
-    total = sigs.count()
-    pairs = window_pairs(_keyed(sigs, _cut_points(bounded_sample(sigs, "sig", SAMPLE_TITLES, total), total))).unionByName(block_pairs(blocked(sigs)))
-    long = rows.select("row_id", F.explode(F.array("k_id", "k_page", "k_sig")).alias("k")).where("k is not null")
-    least = long.groupBy("k").agg(F.min("row_id").alias("m"), F.count("*").alias("n")).where("n > 1").select("k", "m")
-    ties = long.join(least, "k").where("row_id <> m").select("row_id", "m")
-    return components(ties.toDF("a", "b").unionByName(pairs)).toDF("row_id", "first_row_id")
+        self._commit()
+        for r in old:
+            delete(self.spark, f"{self.folder}/{r}")
+
+    def members(self) -> DataFrame:
+        """(row_id, first_row_id) of all accepted rows that repeat an earlier one, as known now: rows whose
+        plan a later batch tied to an older one are given that one's first row."""
+        links = components(self._read("links").select("a", "b")).toDF("node", "root")
+        of = self._read("members")
+        out = of.join(links, "node", "left").select("row_id", F.coalesce("root", "node").alias("first_row_id"))
+        return out.unionByName(links.join(of.select("row_id"), F.col("node") == F.col("row_id"), "left_anti").select("node", "root").toDF("row_id", "first_row_id"))
+
+
+def repeats_by_batches(spark: SparkSession, history: DataFrame, batches: list[DataFrame], *, folder: str | None = None) -> DataFrame:
+    """(row_id, first_row_id) for every row that repeats an earlier one of ``history`` or of the batches, which
+    are merged in order into a store that starts with the history.  All come from ``take_apart``."""
+    store = RunStore(spark, folder or shared_dir(spark))
+    store.merge(history, trusted=True)
+    for b in batches:
+        store.merge(b)
+    return store.members()
 
 
 def new_store(spark: SparkSession, max_runs: int = 6) -> RunStore:

@@ -126,7 +126,7 @@ def repair(text: str) -> tuple[bool, str, bool]:
     if not text or text.isascii() or not _QUICK.search(text):
         return False, text, False
     affected = False
-    for _ in range(5):
+    while True:  # every pass with a span makes the text shorter
         best = max((x.decode(text) for x in _STRICT), key=lambda r: r[1])
         if not best[1]:
             cased = text.lower() == text or text.upper() == text
@@ -172,9 +172,12 @@ def damaged_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 _MARKS = re.compile("[\u0300-\u036f]+")
 
 
+def unaccented(text: str) -> str:
+    """Lower case without accents."""
+    t = text.lower()
+    return t if t.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", t))
+
+
 def fold(text: str) -> str:
     """Lower case without accents and with one kind of blank."""
-    t = text.lower()
-    if not t.isascii():
-        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
-    return " ".join(t.split())
+    return " ".join(unaccented(text).split())

@@ -6,8 +6,11 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import combinations, permutations
 
+import xxhash
+
 from tablado.llm.canonical import Dictionary, deletes, edits_allowed, kind_of
 from tablado.llm.content import Model
 from tablado.llm.encoding import fold, repair
@@ -105,6 +108,9 @@ class Titles:
     model: Model
     near: dict[str, str] = field(default_factory=dict)
     memo: dict[str, str] = field(default_factory=dict)
+    far: dict[str, set[str]] = field(default_factory=dict)
+    far_memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    part_memo: dict[str, bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.vocabulary = self.vocabulary | set(SERIES)
@@ -113,6 +119,8 @@ class Titles:
                 for d in deletes(w, 1):
                     if len(d) >= 4:
                         self.near.setdefault(d, w)
+                for d in deletes(w, 2):
+                    self.far.setdefault(d, set()).add(w)
         self.venue_kinds = {kind_of(f) for f in self.venues.folded.values()} - {""}
         self.venue_longest = max((len(f) for f in self.venues.folded.values()), default=0) + 2
 
@@ -136,6 +144,37 @@ class Titles:
             self.memo[token] = hit
         return hit
 
+    def damaged(self, token: str) -> tuple[str, ...]:
+        """The common words that a proper name may be with two typing errors."""
+        if (hit := self.far_memo.get(token)) is None:
+            n = len(token)
+            one = [token[:i] + token[i + 1 :] for i in range(n)]
+            tried = {token, *one, *(d[:j] + d[j + 1 :] for i, d in enumerate(one) for j in range(i, n - 1))}
+            words = {w for d in tried if d in self.far for w in self.far[d]}
+            hit = tuple(sorted(w for w in words if edits(w, token, 2) <= 2))
+            if len(self.far_memo) > 200_000:
+                self.far_memo.clear()
+            self.far_memo[token] = hit
+        return hit
+
+    def other_readings(self, title: tuple[str, str, list[str]]) -> list[tuple[str, str, list[str]]]:
+        """The title with a proper name taken for the common word that it may be with two typing errors."""
+        common, series, names = title
+        out = []
+        for i, t in enumerate(names):
+            for w in self.damaged(t) if len(names) > 1 else ():
+                words = {*common.split(), REWORDED + w if w in self.phrases else w}
+                out.append((" ".join(sorted(words)), series, names[:i] + names[i + 1 :]))
+        return out
+
+    def is_aside(self, part: str) -> bool:
+        """Whether a part of a title is a category or a venue; remembered, as few parts are."""
+        if (hit := self.part_memo.get(part)) is None:
+            if len(self.part_memo) > 200_000:
+                self.part_memo.clear()
+            hit = self.part_memo[part] = self.is_category(part) or self.is_venue(part)
+        return hit
+
     def is_category(self, text: str) -> bool:
         return text in self.categories or (3 < len(text) < 24 and any(abs(len(c) - len(text)) <= 1 and edits(text, c, 1) <= 1 for c in self.categories))
 
@@ -146,17 +185,19 @@ class Titles:
         """(common words, place in a series, proper names) or None for a title that names nothing."""
         if not title or not title.strip():
             return None
-        text = html.unescape(self.model.clean_title(title))
-        parts = []
-        for p in _SPLIT.split(fold(repair(text)[1])):
-            bare = " ".join(_TOKEN.findall(p))
-            if not bare or self.is_category(bare) or self.is_venue(bare):
+        text = self.model.clean_title(title)
+        if "&" in text:
+            text = repair(html.unescape(text))[1]
+        tokens: list[str] = []
+        for p in _SPLIT.split(fold(text)):
+            found = _TOKEN.findall(p)
+            if not found or self.is_aside(" ".join(found)):
                 continue
             head, _, tail = p.rpartition(" en ")
             if head and self.is_venue(" ".join(_TOKEN.findall(tail))):
-                p = head
-            parts.append(p)
-        tokens = [self.word(t) for p in parts for t in _TOKEN.findall(p)]
+                found = _TOKEN.findall(head)
+            tokens += found
+        tokens = [t if t in self.vocabulary else self.word(t) for t in tokens]
         series, rest, i = set(), [], 0
         while i < len(tokens):
             a, b = tokens[i], tokens[i + 1] if i + 1 < len(tokens) else ""
@@ -278,62 +319,63 @@ def sort_keys(sig: str) -> list[str]:
     return [head + joined, head + joined[::-1], f"{joined}|{head}", f"{' '.join(names[::-1])}|{head}"]
 
 
-#: What the titles under a block key share: all proper names; all common words and like names; all common words
-#: but one, which the other title (of the last kind) has as a name with typing errors.
-PERFORMER, LIKE, LACKING, DAMAGED = range(4)
+#: What the titles under a block key share: all proper names; or all common words and like names.
+PERFORMER, LIKE = range(2)
+_MASK = (1 << 64) - 1
+_ODD = 0x9E3779B97F4A7C15
+
 
+@lru_cache(200_000)
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text)
 
-def _ends(name: str) -> set[str]:
-    """A name with one error has at least one of these too."""
-    if len(name) < 4:
-        return {"=" + name}
-    sizes = {(len(name) - 1) // 2, (len(name) - 2) // 2}
-    return {x for k in sizes for x in (f"<{name[:k]}", f">{name[-k:]}")}
 
+@lru_cache(200_000)
+def _ends(name: str) -> tuple[int, ...]:
+    """A name with one error has at least one of these too: its first or its last letters."""
+    n = len(name)
+    if n < 4:
+        return (_hash("=" + name),)
+    sizes = (3,) if n > 7 else (3, 2) if n == 7 else (2,) if n == 6 else (2, 1) if n == 5 else (1,)
+    return tuple({_hash(x) for k in sizes for x in (f"<{name[:k]}", f">{name[-k:]}")})
 
-def _pieces(name: str) -> set[str]:
+
+def _pieces(name: str) -> tuple[int, ...]:
     """A name with two errors, which only long ones may have, has at least one of these too."""
-    return {f"#{name[i : i + 3]}" for i in range(len(name) - 2)} if len(name) >= 8 else set()
+    return tuple({_hash(f"#{name[i : i + 3]}") for i in range(len(name) - 2)}) if len(name) >= 8 else ()
 
 
-def _name_keys(names: list[str]) -> set[str]:
-    """Names that are the same but for two errors have at least one of these too."""
+def _name_keys(names: list[str]) -> set[int]:
+    """Names that are the same but for two errors have at least one of these too; a sum stands for a set."""
     if len(names) == 1:
-        return _ends(names[0]) | _pieces(names[0])
+        return {*_ends(names[0]), *_pieces(names[0])}
     if len(names) == 2:
-        out = {" ".join(sorted((x, y))) for x in _ends(names[0]) for y in _ends(names[1])}
-        return out | {"=" + p for p, q in permutations(names) if len(q) >= 8}  # two errors in one leave the other whole
+        p, q = names
+        out = {x + y for x in _ends(p) for y in _ends(q)}
+        if len(q) >= 8:  # two errors in one leave the other whole
+            out.add(_hash("=" + p))
+        if len(p) >= 8:
+            out.add(_hash("=" + q))
+        return out
     if len(names) == 3:  # at least one is whole
-        return {f"{p} {x}" for p, q in permutations(names, 2) for x in _ends(q)}
-    return {" ".join(sorted(x)) for x in combinations(names, 2)}  # at least two are whole
+        return {_hash("=" + p) + x for p, q in permutations(names, 2) for x in _ends(q)}
+    return {_hash("=" + p) + _hash("=" + q) for p, q in combinations(names, 2)}  # at least two are whole
 
 
-def block_keys(title: tuple[str, str, list[str]]) -> Iterator[tuple[int, str]]:
-    """(kind, key): titles for which ``same_title`` holds share a key, LACKING meeting DAMAGED.
+def block_keys(title: tuple[str, str, list[str]]) -> Iterator[tuple[int, int]]:
+    """(kind, 64-bit key): titles for which ``same_title`` holds share a key, one of them perhaps under
+    another reading (see ``Titles.other_readings``).
 
-    Not covered are two titles that each have a damaged common word of the other as a name, and names in
-    both halves of which characters are lost.
+    Not covered are names in both halves of which characters are lost.
     """
     common, series, names = title
     if not names:
         return
     if len(names) > 1:
-        yield PERFORMER, f"P|{series}|{' '.join(sorted(names))}"
+        yield PERFORMER, _hash(f"P|{series}|{' '.join(sorted(names))}")
+    base = _hash(f"L|{series}|{len(names)}|{common}")
     for k in _name_keys(names):
-        yield LIKE, f"L|{series}|{len(names)}|{common}|{k}"
-    words = common.split()
-    # One name of the title that lacks a word is looked up among all of the other's; with two errors in the
-    # shortest, which then is a long one, the next is whole.
-    pivots = sorted(names, key=lambda x: (len(x), x))
-    tried = _ends(pivots[0]) | (_pieces(pivots[0]) if len(names) == 1 else {"=" + pivots[1]} if len(pivots[0]) >= 8 else set())
-    for w in words:
-        if len(w) > 4:
-            rest = " ".join(x for x in words if x != w)
-            for k in tried:
-                yield LACKING, f"D|{series}|{len(names)}|{rest}|{k}"
-    if len(names) > 1:
-        for k in {k for x in names for k in _ends(x) | (_pieces(x) if len(names) == 2 else {"=" + x} if len(x) >= 8 else set())}:
-            yield DAMAGED, f"D|{series}|{len(names) - 1}|{common}|{k}"
+        yield LIKE, (base + k * _ODD) & _MASK
 
 
 def near_sets(sets: list[frozenset[str]]) -> Iterator[tuple[int, int]]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablado.io import cut, table
 from tablado.llm.canonical import MAX_BROADCAST_NAMES, map_values, url_sections, with_meaning
 from tablado.llm.content import Model, fit, main_content, page_furniture
-from tablado.llm.dedup_history import repeats_in_backlog, take_apart, title_parser
+from tablado.llm.dedup_history import repeats_by_batches, take_apart, title_parser
 from tablado.llm.encoding import damaged_fields
 from tablado.llm.leakage import leaked_passages
 from tablado.llm.mixing import mix
@@ -36,26 +36,33 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 # 2. New batches against all history.
 
+#: Batches of arrival that are merged at a time.
+MERGED_AT_ONCE = 10
 
-def _apart(spark: SparkSession, d: str, model: Model) -> tuple[DataFrame, DataFrame]:
-    """Rows of plan_history and of normalizer with their keys."""
+
+def _apart(spark: SparkSession, d: str, model: Model, more: Callable | None = None, schema: str = "", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of plan_history and of normalizer with their keys, the latter with their batch."""
     history, rows, sources = table(spark, d, "plan_history"), table(spark, d, "normalizer"), table(spark, d, "source_catalog")
     parser = title_parser(history.select("titulo"), rows.select("titulo"), history.select("categoria"), table(spark, d, "venue_catalog").select("venue_id", "name"), model)
-    listings = {page_key(r.url) for r in sources.select("url").limit(10_000).collect()}
-    cols = lambda df: df.select("row_id", "id", F.col("enlace").alias("page"), F.col("titulo").alias("title"))
-    return take_apart(cols(history), parser, listings), take_apart(cols(rows), parser, listings)
+    listings = {page_key(r.url) for r in sources.select("url").where("url <> ''").distinct().collect()}
+    cols = lambda df, *rest: df.select("row_id", "id", F.col("enlace").alias("page"), F.col("titulo").alias("title"), *rest)
+    keep = keep or []
+    return take_apart(cols(history), parser, listings), take_apart(cols(rows, "batch_no", *keep), parser, listings, more, schema, ["batch_no", *keep])
 
 
-def _plans(spark: SparkSession, d: str, model: Model) -> DataFrame:
-    """(row_id, first_row_id) of every row that repeats an earlier one."""
-    return repeats_in_backlog(*_apart(spark, d, model))
+def _plans(spark: SparkSession, history: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row_id, first_row_id) of every row that repeats an earlier one; the rows are merged by batches."""
+    last = rows.agg(F.max("batch_no")).first()[0] or 0
+    number = F.coalesce("batch_no", F.lit(last))
+    groups = [rows.where((number > a) & (number <= a + MERGED_AT_ONCE)) for a in range(0, last, MERGED_AT_ONCE)] or [rows]
+    return repeats_by_batches(spark, history, groups)
 
 
 @query()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every normalizer row whose plan occurred before, with that plan's first row."""
-    found = _plans(spark, d, _page_model(spark, d))
-    return found.join(table(spark, d, "normalizer").select("row_id"), "row_id", "left_semi").select("first_row_id", "row_id")
+    history, rows = (cut(x) for x in _apart(spark, d, _page_model(spark, d)))
+    return _plans(spark, history, rows).join(rows.select("row_id"), "row_id", "left_semi").select("first_row_id", "row_id")
 
 
 # 3. Page boilerplate.

@@ -17,19 +17,24 @@ def _counted(e: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (seen.get["n"], seen.get["s"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def normal(links: DataFrame) -> DataFrame:
+    """Distinct links (a, b) with a > b, cut."""
+    a, b = links.columns[:2]
+    e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("bigint").alias("a"), F.least(a, b).cast("bigint").alias("b"))
+    return cut(e.distinct())
+
+
+def components(links: DataFrame, *, is_normal: bool = False) -> DataFrame:
     """(node, root) for every node of ``links`` (two bigint columns) that is not its component's least node.
 
     Each round gives every node's larger neighbours the least node it knows, then every node's smaller ones;
     the number of rounds grows with the logarithm of a component's size, and the links left by a round that
     changes nothing are stars.  Minima are aggregated before they are joined back, so that a hot node's
     neighbours are never in one group, and adaptive joins split them.
-    No links give no rows; self-links and NULLs are left out.
+    No links give no rows; self-links and NULLs are left out.  ``is_normal`` links come from ``normal``.
     """
-    a, b = links.columns[:2]
-    e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("bigint").alias("a"), F.least(a, b).cast("bigint").alias("b")).distinct()
-    e, before = _counted(e)
-    for _ in range(MAX_ROUNDS if before[0] else 0):
+    e, before = links if is_normal else normal(links), None
+    for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -38,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
         last = e
         e, now = _counted(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         discard(last)
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -36,8 +36,8 @@ from tablado.io import cut, delete, discard, names_in, shared_dir, write_text
 from tablado.llm.canonical import Dictionary
 from tablado.llm.content import Model
 from tablado.llm.encoding import fold
-from tablado.llm.plan_keys import LIKE, PERFORMER, REWORDED, Titles, block_keys, may_be_same, near_sets, page_key, parsed, same_title, signature, sort_keys
-from tablado.operators.graph import components
+from tablado.llm.plan_keys import LIKE, PERFORMER, REWORDED, Titles, block_keys, may_be_same, near_sets, of_sort_key, page_key, parsed, same_title, signature, sort_keys
+from tablado.operators.graph import components, normal
 
 WINDOW = 8
 PASSES = 4
@@ -126,21 +126,25 @@ def _cut_points(sigs: list[str], total: int) -> list[list[str]]:
 
 #: Pass and number of a range in one number.
 _PASS = 1_000_000
-_RECORD = "range_no int, key string, sig string, first bigint, node bigint"
+_RECORD = "range_no int, key string, sig string, node bigint"
 
 
 def _keyed(sigs: DataFrame, points: list[list[str]]) -> DataFrame:
-    """(range_no, key, sig, first, node): every title under the key of every pass and reading, in its range."""
+    """(range_no, key, sig, node): every title under the key of every pass and reading, in its range.
+
+    ``sig`` is NULL where it can be read from the key.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for sig, other, first, node in zip(b["sig"], b["other"], b["first"], b["node"], strict=True):
-                for reading in [sig, *other.split("\n")] if other else [sig]:
-                    out += [(k * _PASS + bisect.bisect_right(points[k], key), key, sig, first, node) for k, key in enumerate(sort_keys(reading))]
-            yield pd.DataFrame(out, columns=["range_no", "key", "sig", "first", "node"])
+            for sig, other, node in zip(b["sig"], b["other"], b["node"], strict=True):
+                out += [(k * _PASS + bisect.bisect_right(points[k], key), key, None, node) for k, key in enumerate(sort_keys(sig))]
+                for reading in other.split("\n") if other else ():
+                    out += [(k * _PASS + bisect.bisect_right(points[k], key), key, sig, node) for k, key in enumerate(sort_keys(reading))]
+            yield pd.DataFrame(out, columns=["range_no", "key", "sig", "node"])
 
-    return sigs.select("sig", "other", "first", "node").mapInPandas(run, _RECORD)
+    return sigs.select("sig", "other", "node").mapInPandas(run, _RECORD)
 
 
 _PAIRS = "a bigint, b bigint, range_no int, key string, sig string, node bigint, fresh boolean"
@@ -202,7 +206,8 @@ def _slide(batches: Iterator[pd.DataFrame], across: bool) -> Iterator[pd.DataFra
         df = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
         rng = df["range_no"].to_numpy()
         group = rng // _PASS if across else rng
-        node, fresh, sigs = df["node"].to_numpy(), df["fresh"].to_numpy(dtype=bool), df["sig"].tolist()
+        node, fresh = df["node"].to_numpy(), df["fresh"].to_numpy(dtype=bool)
+        sigs = [x or of_sort_key(r // _PASS, key) for x, r, key in zip(df["sig"], rng.tolist(), df["key"], strict=True)]
         x = traits(sigs)
         label = dict(zip(node.tolist(), node.tolist(), strict=True))
 
@@ -263,7 +268,7 @@ def window_pairs(keyed: DataFrame) -> DataFrame:
 
 
 def blocked(sigs: DataFrame) -> DataFrame:
-    """(block, kind, first, node): every title under each of its block keys, as numbers."""
+    """(block, kind, node): every title under each of its block keys, as numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -275,10 +280,9 @@ def blocked(sigs: DataFrame) -> DataFrame:
                 keys += found
                 kinds += found.values()
                 sizes.append(len(found))
-            repeat = lambda c: np.repeat(b[c].to_numpy(), sizes)
-            yield pd.DataFrame({"block": np.array(keys, dtype=np.uint64).view(np.int64), "kind": np.array(kinds, dtype=np.int8), "first": repeat("first"), "node": repeat("node")})
+            yield pd.DataFrame({"block": np.array(keys, dtype=np.uint64).view(np.int64), "kind": np.array(kinds, dtype=np.int8), "node": np.repeat(b["node"].to_numpy(), sizes)})
 
-    return sigs.select("sig", "other", "first", "node").mapInPandas(run, "block bigint, kind tinyint, first bigint, node bigint")
+    return sigs.select("sig", "other", "node").mapInPandas(run, "block bigint, kind tinyint, node bigint")
 
 
 def _star(firsts: list[int]) -> list[tuple[int, int]]:
@@ -335,7 +339,7 @@ def _of_block(block: list[tuple]) -> list[tuple[int, int]]:
 def block_pairs(blocks: DataFrame, titles: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b): nodes of two titles of a block that name the same event, at least one of them new, a > b.
 
-    ``blocks`` has (block, kind, first, node, fresh), ``titles`` the (first, sig) of all of them.  ``pairs`` are
+    ``blocks`` has (block, kind, node, fresh), ``titles`` the (node, sig) of all of them.  ``pairs`` are
     links already found: blocks whose records are all tied to one node by them need no comparing.
     """
 
@@ -357,18 +361,20 @@ def block_pairs(blocks: DataFrame, titles: DataFrame, pairs: DataFrame) -> DataF
     labelled = blocks.join(tied, "node", "left").withColumn("low", F.coalesce("low", "node"))
     w = Window.partitionBy("block")
     met = labelled.select("*", F.max("fresh").over(w).alias("any"), F.min("low").over(w).alias("least"), F.max("low").over(w).alias("most")).where("any and least < most")
-    some = met.select("block", "kind", "first", "node", "fresh").join(titles, "first")
+    some = met.select("block", "kind", "node", "fresh").join(titles, "node")
     return some.repartition("block").sortWithinPartitions("block", "node").mapInPandas(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
 class RunStore:
     """Accepted plans in a shared folder: key ranges of titles, hashed exact and block keys, and the rows' plans.
 
-    ``node`` in the tables is the plan's first row when the record was accepted; plans that a later batch ties
-    together are links (node, root), read only for the nodes a batch touches.
+    A title is known by the least row that has it, its node.  ``links`` has (node, root) of every row that
+    repeats an earlier one; roots that a later batch ties together are links too, so that a chain of them leads
+    to a plan's first row.  Only the links of nodes that a batch touches are read.
     """
 
-    _TABLES = {"titles": "key string, sig string, first bigint, node bigint, range_no int", "blocks": "block bigint, kind tinyint, first bigint, node bigint, bucket int", "keys": "k bigint, node bigint, bucket int", "sigs": "first bigint, sig string, other string, node bigint, bucket int", "links": "a bigint, b bigint, bucket int", "members": "row_id bigint, node bigint"}
+    _TABLES = {"titles": "key string, sig string, node bigint, range_no int", "blocks": "block bigint, kind tinyint, node bigint, bucket int", "keys": "k bigint, node bigint, bucket int", "sigs": "node bigint, sig string, other string, bucket int", "links": "a bigint, b bigint, bucket int"}
+    _KEYS = {"titles": "range_no", "blocks": "block", "keys": "k", "sigs": "node", "links": "a"}
 
     def __init__(self, spark: SparkSession, folder: str, max_runs: int = 6) -> None:
         self.spark, self.folder, self.max_runs = spark, folder.rstrip("/"), max_runs
@@ -376,8 +382,8 @@ class RunStore:
         self.points: list[list[str]] | None = None
         self.buckets = LEAST_BUCKETS
         self.titles = self.made = 0
-        #: What the last merge read: folders of each table.
-        self.touched: dict[str, int] = {}
+        #: The folders of each table that the last merge read.
+        self.touched: dict[str, list[int]] = {}
         if states := [n for n in names_in(spark, f"{self.folder}/states") if n.endswith(".json")]:
             state = json.loads(spark.read.text(f"{self.folder}/states/{states[-1]}", wholetext=True).first()[0])
             self.runs, self.points, self.buckets, self.titles, self.made = (state[k] for k in ("runs", "points", "buckets", "titles", "made"))
@@ -386,80 +392,100 @@ class RunStore:
         state = {"runs": self.runs, "points": self.points, "buckets": self.buckets, "titles": self.titles, "made": self.made}
         write_text(self.spark, f"{self.folder}/states/{self.made:09d}.json", json.dumps(state))
 
-    def _read(self, part: str, only: list[int] | None = None) -> DataFrame | None:
+    def _of_run(self, run: str, part: str) -> DataFrame:
+        return self.spark.read.schema(self._TABLES[part]).parquet(f"{self.folder}/{run}/{part}")
+
+    def _read(self, part: str, only: list[int] | None = None) -> DataFrame:
         """A table of all runs; with ``only`` just those of its folders (ranges or buckets)."""
         out = None
         by = "range_no" if part == "titles" else "bucket"
         for r in self.runs:
-            f = self.spark.read.schema(self._TABLES[part]).parquet(f"{self.folder}/{r}/{part}")
+            f = self._of_run(r, part)
             if only is not None:
                 f = f.where(F.col(by).isin(only))
             out = f if out is None else out.unionByName(f)
         if only is not None:
-            self.touched[part] = len(only)
+            self.touched[part] = only
         return out
 
+    def _folders(self, run: str, part: str) -> list[int]:
+        """Numbers of the folders that a run has of a table."""
+        return [int(n.split("=")[1]) for n in names_in(self.spark, f"{self.folder}/{run}/{part}") if "=" in n]
+
+    def _write(self, run: str, part: str, df: DataFrame) -> None:
+        # Ranges and buckets are folders, so that a later batch reads only those it touches.
+        if part != "titles":
+            df = df.withColumn("bucket", self._bucket(self._KEYS[part]))
+        by = "range_no" if part == "titles" else "bucket"
+        df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(f"{self.folder}/{run}/{part}")
+
     def _bucket(self, c: str) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
 
-    def _looked_up(self, part: str, wanted: DataFrame, key: str) -> DataFrame | None:
-        """Records of a table whose key is among ``wanted``, from the buckets that these lie in."""
-        if not self.runs:
-            return None
-        only = [r[0] for r in wanted.select(self._bucket(key).alias("b")).distinct().collect()]  # at most the buckets
-        return self._read(part, only).join(wanted.select(key).distinct(), key, "left_semi").drop("bucket")
+    def _looked_up(self, part: str, wanted: DataFrame, only: list[int] | None = None) -> DataFrame:
+        """Records of a table whose key is among ``wanted`` (one column), from the buckets that these lie in."""
+        key = self._KEYS[part]
+        wanted = wanted.toDF(key).distinct()
+        if only is None:
+            only = [r[0] for r in wanted.select(self._bucket(key).alias("b")).distinct().collect()]  # at most the buckets
+        return self._read(part, only).join(wanted, key, "left_semi").drop("bucket")
 
-    def merge(self, batch: DataFrame, *, keep: bool = True, trusted: bool = False) -> DataFrame:
+    def merge(self, batch: DataFrame, *, trusted: bool = False) -> DataFrame:
         """(row_id, first_row_id) for the batch rows (from ``take_apart``) that repeat an earlier row.
 
-        Accepts the batch afterwards unless ``keep`` is false.  The cost follows the batch: of the accepted
-        titles only the touched key ranges are read, of keys and links only the touched buckets.  With
-        ``trusted`` like titles within the batch, a list of different plans, are not compared.
+        Accepts the batch.  The cost follows the batch: of the accepted titles only the touched key ranges are
+        read, of keys and links only the touched buckets.  With ``trusted`` like titles within the batch, a
+        list of different plans, are not compared.  What is written before the state counts only after it.
         """
         self.touched = {}
-        new = F.lit(not trusted)
+        number = self.made + 1
+        run = f"run-{number:09d}"
         # One record a title; hot titles are aggregated before they move.
-        sigs = cut(batch.where("sig <> ''").groupBy("sig", "other").agg(F.min("row_id").alias("first")).withColumn("node", F.col("first")))
+        sigs = cut(batch.where("sig <> ''").groupBy("sig", "other").agg(F.min("row_id").alias("node")))
         if self.points is None:
             self._aim(sigs)
-        keyed, blocks = cut(_keyed(sigs, self.points)), cut(blocked(sigs))
-        pairs = None
+        for part, df in (("titles", _keyed(sigs, self.points)), ("blocks", blocked(sigs)), ("sigs", sigs)):
+            self._write(run, part, df)
+        found = []
         if self.runs or not trusted:
-            near = keyed.withColumn("fresh", new)
+            new = F.lit(not trusted)
+            near = self._of_run(run, "titles").withColumn("fresh", new)
             if self.runs:
-                ranges = [r[0] for r in keyed.select("range_no").distinct().collect()]  # at most the ranges
-                near = near.unionByName(self._read("titles", ranges).withColumn("fresh", F.lit(False)).select(near.columns))
+                near = near.unionByName(self._read("titles", self._folders(run, "titles")).withColumn("fresh", F.lit(False)))
             pairs = cut(window_pairs(near))
-            near, known = blocks.withColumn("fresh", new), sigs.select("first", "sig")
+            blocks, known = self._of_run(run, "blocks").drop("bucket"), sigs.select("node", "sig")
+            near = blocks.withColumn("fresh", new)
             if self.runs:
-                held = self._looked_up("blocks", blocks, "block").withColumn("fresh", F.lit(False))
-                known = known.unionByName(self._looked_up("sigs", held.select("first"), "first").select("first", "sig"))
-                near = near.unionByName(held.select(near.columns))
-            pairs = pairs.unionByName(block_pairs(near, known, pairs))
+                held = self._looked_up("blocks", blocks.select("block"), self._folders(run, "blocks"))
+                near = near.unionByName(held.withColumn("fresh", F.lit(False)))
+                known = known.unionByName(self._looked_up("sigs", held.select("node")).select("node", "sig"))
+            found = [pairs, block_pairs(near, known, pairs)]
 
         # Exact keys: a row is tied to the least row of its id, page and title, accepted ones included.
-        long = batch.select("row_id", F.explode(F.array_distinct(F.array("k_id", "k_page", "k_sig"))).alias("k")).where("k is not null")
+        long = batch.select("row_id", F.explode(F.array("k_id", "k_page", "k_sig")).alias("k")).where("k is not null")
         mine = long.groupBy("k").agg(F.min("row_id").alias("m"), F.count("*").alias("n"))
         if self.runs:
             mine = cut(mine)
-            accepted = self._looked_up("keys", mine, "k").groupBy("k").agg(F.min("node").alias("old"), F.max("node").alias("older"))
-            mine = mine.join(accepted, "k", "left").select("k", F.least("m", "old").alias("m"), F.when(F.col("old").isNull(), F.col("n")).otherwise(2).alias("n"), "old", "older")
+            accepted = self._looked_up("keys", mine.select("k")).groupBy("k").agg(F.min("node").alias("old"))
+            mine = mine.join(accepted, "k", "left")
+            found.append(mine.where("old <> m").select("m", "old"))
         else:
-            mine = mine.select("*", F.lit(None).cast("bigint").alias("old"), F.lit(None).cast("bigint").alias("older"))
-        met = mine.where("n > 1")
-        links = long.join(met.select("k", "m"), "k").where("row_id <> m").select(F.col("row_id").alias("a"), F.col("m").alias("b"))
-        links = links.unionByName(met.where("old is not null and old <> m").select("old", "m").toDF("a", "b")).unionByName(met.where("older <> old").select("older", "old").toDF("a", "b"))
-        if pairs is not None:
-            links = links.unionByName(pairs)
-        if self.runs:
-            links = cut(links)
-            links = links.unionByName(self._earlier(links))
-        roots = components(links)
-        result = batch.select("row_id").join(roots, F.col("row_id") == F.col("node")).select("row_id", F.col("root").alias("first_row_id")).distinct()
-        if keep:
-            result = cut(result)
-            self._accept(batch, sigs, keyed, blocks, mine, roots, result)
-        return result
+            mine = mine.withColumn("old", F.lit(None).cast("bigint"))
+        # A plan of which some key is new still has its rows tied to the least of the batch.
+        links = long.join(mine.where("n > 1").select("k", "m"), "k").where("row_id <> m").select("row_id", "m")
+        for f in found:
+            links = links.union(f)
+        links = normal(links)
+        roots = components(self._with_earlier(links) if self.runs else links, is_normal=True)
+        self._write(run, "links", roots.toDF("a", "b"))
+        self._write(run, "keys", mine.where("old is null").select("k", F.col("m").alias("node")))
+        self.titles += sigs.count() if self.runs else 0
+        self.runs, self.made = [*self.runs, run], number
+        self._commit()
+        discard(sigs)
+        if len(self.runs) > self.max_runs:
+            self.compact()
+        return batch.select("row_id").join(roots, F.col("row_id") == F.col("node")).select("row_id", F.col("root").alias("first_row_id")).distinct()
 
     def _aim(self, sigs: DataFrame) -> None:
         """Cuts the ranges at quantiles of a bounded sample, and sets the number of buckets, for these titles."""
@@ -467,73 +493,44 @@ class RunStore:
         self.points = _cut_points(bounded_sample(sigs, "sig", max(SAMPLE_TITLES, min(16 * MAX_RANGES, 16 * self.titles // RANGE_RECORDS)), self.titles), self.titles)
         self.buckets = max(LEAST_BUCKETS, -(-8 * self.titles // BUCKET_KEYS))
 
-    def _earlier(self, links: DataFrame) -> DataFrame:
-        """Accepted links that lead on from the nodes that ``links`` touch, step by step."""
-        at = links.select(F.explode(F.array("a", "b")).alias("a")).distinct()
-        out = links.limit(0)
+    def _with_earlier(self, links: DataFrame) -> DataFrame:
+        """``links`` with the accepted links that lead on from the nodes they touch, step by step."""
+        at, parts = links.select(F.explode(F.array("a", "b")).alias("a")), [links]
         while True:
-            step = cut(self._looked_up("links", at, "a").select("a", "b"))
+            step = cut(self._looked_up("links", at).select("a", "b"))
             if step.isEmpty():
-                return out
-            out = out.unionByName(step)
-            at = step.select(F.col("b").alias("a")).distinct()
-
-    def _write(self, run: str, **parts: DataFrame) -> None:
-        # Ranges and buckets are folders, so that a later batch reads only those it touches.
-        for part, df in parts.items():
-            at = f"{self.folder}/{run}/{part}"
-            if part == "titles":
-                df.repartition("range_no").sortWithinPartitions("range_no", "key").write.mode("overwrite").partitionBy("range_no").parquet(at)
-            elif part == "members":
-                df.write.mode("overwrite").parquet(at)
-            else:
-                df = df.withColumn("bucket", self._bucket({"blocks": "block", "keys": "k", "sigs": "first", "links": "a"}[part]))
-                df.repartition("bucket").sortWithinPartitions("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
-
-    def _accept(self, batch: DataFrame, sigs: DataFrame, keyed: DataFrame, blocks: DataFrame, mine: DataFrame, roots: DataFrame, members: DataFrame) -> None:
-        named = roots.withColumnRenamed("node", "n")
-        rooted = lambda df, c: df.join(named, F.col(c) == F.col("n"), "left").withColumn("node", F.coalesce("root", c)).drop("root", "n")
-        self.made += 1
-        run = f"run-{self.made:09d}"
-        held = cut(rooted(sigs.drop("node"), "first"))
-        of = held.select("first", "node")
-        ties = roots.join(batch.select("row_id"), F.col("node") == F.col("row_id"), "left_anti").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        self._write(
-            run, titles=keyed.drop("node").join(of, "first"), blocks=blocks.drop("node").join(of, "first"), keys=rooted(mine.where("old is null").select("k", "m"), "m").select("k", "node"),
-            sigs=held, links=ties, members=members.select("row_id", F.col("first_row_id").alias("node")),
-        )
-        self.runs.append(run)
-        self.titles += held.count() if len(self.runs) > 1 else 0
-        self._commit()
-        discard(held)
-        if len(self.runs) > self.max_runs:
-            self.compact()
+                break
+            parts.append(step)
+            at = step.select("b")
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.distinct() if len(parts) > 1 else out
 
     def compact(self) -> None:
         """All runs as one, with ranges and buckets cut anew for what the store has grown to, links resolved."""
-        links = components(self._read("links").select("a", "b"))
-        now = lambda df: df.join(links.toDF("node", "root"), "node", "left").withColumn("node", F.coalesce("root", "node")).drop("root", "bucket")
-        sigs = cut(now(self._read("sigs")).groupBy("sig", "other").agg(F.min("first").alias("first"), F.min("node").alias("node")))
-        blocks, keys, members = now(self._read("blocks")), now(self._read("keys")), now(self._read("members"))
-        same = self._read("sigs").select("sig", F.col("first").alias("was")).join(sigs.select("sig", "first"), "sig").select("was", "first")
-        blocks = blocks.withColumnRenamed("first", "was").join(same, "was").groupBy("block", "kind", "first").agg(F.min("node").alias("node"))
-        old = self.runs
+        sigs, blocks, keys = self._read("sigs").drop("bucket"), self._read("blocks").drop("bucket"), self._read("keys").drop("bucket")
+        links, old = components(self._read("links")), self.runs
+        sigs = cut(sigs.groupBy("sig", "other").agg(F.min("node").alias("node")))
         self._aim(sigs)
         self.made += 1
         run = f"run-{self.made:09d}"
-        self._write(run, titles=_keyed(sigs, self.points), blocks=blocks, keys=keys.groupBy("k").agg(F.min("node").alias("node")), sigs=sigs, links=links.toDF("a", "b"), members=members)
+        for part, df in {"titles": _keyed(sigs, self.points), "blocks": blocks.join(sigs.select("node"), "node", "left_semi"), "keys": keys, "sigs": sigs, "links": links.toDF("a", "b")}.items():
+            self._write(run, part, df)
         self.runs = [run]
         self._commit()
+        discard(sigs)
         for r in old:
             delete(self.spark, f"{self.folder}/{r}")
 
     def members(self) -> DataFrame:
         """(row_id, first_row_id) of all accepted rows that repeat an earlier one, as known now: rows whose
         plan a later batch tied to an older one are given that one's first row."""
-        links = components(self._read("links").select("a", "b")).toDF("node", "root")
-        of = self._read("members")
-        out = of.join(links, "node", "left").select("row_id", F.coalesce("root", "node").alias("first_row_id"))
-        return out.unionByName(links.join(of.select("row_id"), F.col("node") == F.col("row_id"), "left_anti").select("node", "root").toDF("row_id", "first_row_id"))
+        if not self.runs:
+            return self.spark.createDataFrame([], "row_id bigint, first_row_id bigint")
+        if len(self.runs) == 1:  # resolved
+            return self._read("links").select(F.col("a").alias("row_id"), F.col("b").alias("first_row_id"))
+        return components(self._read("links")).toDF("row_id", "first_row_id")
 
 
 def repeats_by_batches(spark: SparkSession, history: DataFrame, batches: list[DataFrame], *, folder: str | None = None) -> DataFrame:

@@ -319,6 +319,16 @@ def sort_keys(sig: str) -> list[str]:
     return [head + joined, head + joined[::-1], f"{joined}|{head}", f"{' '.join(names[::-1])}|{head}"]
 
 
+def of_sort_key(number: int, key: str) -> str:
+    """The signature of which ``key`` is the sort key of a pass."""
+    a, b, c = key.split("|")[:3]
+    if number == 0:
+        return key
+    if number == 1:
+        return f"{a}|{b}|{c[::-1]}"
+    return f"{b}|{c}|{a if number == 2 else ' '.join(a.split()[::-1])}"
+
+
 #: What the titles under a block key share: all proper names; or all common words and like names.
 PERFORMER, LIKE = range(2)
 _MASK = (1 << 64) - 1

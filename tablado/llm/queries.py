@@ -37,7 +37,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # 2. New batches against all history.
 
 #: Batches of arrival that are merged at a time.
-MERGED_AT_ONCE = 10
+MERGED_AT_ONCE = 30
 
 
 def _apart(spark: SparkSession, d: str, model: Model, more: Callable | None = None, schema: str = "", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

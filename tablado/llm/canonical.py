@@ -172,9 +172,11 @@ class Dictionary:
             self.memo[value] = self._match(value)
         return self.memo[value]
 
-    def _match(self, value: str) -> int:
+    def candidates(self, value: str) -> list[tuple[bool, float, int, int, int, str]]:
+        """(bare, distance, reading, -frequency, id, folded form) of each entry that a value may mean, the best
+        being the least; -1 stands for several entries of one bare name.  Bare names count after all full ones."""
         options = readings(value, self.decorations)
-        best: list[tuple[float, int, int, int]] = []
+        out = []
         for rank, phrase in enumerate(options):
             for w, n in self.near(phrase, True):
                 ids = self.full[n]
@@ -184,22 +186,31 @@ class Dictionary:
                 # A kind that the value states must be the entry's kind, typing errors aside.
                 if self.kinds and (k := kind_of(phrase)) and not (kind_of(self.folded[i]) + " ").startswith(k + " "):
                     continue
-                best.append((w, rank, -self.frequency.get(i, 0), i))
-            if best and best[0][0] == 0:
-                break
-        if not best and self.kinds:
+                out.append((False, w, rank, -self.frequency.get(i, 0), i, n))
+        if self.kinds and not out:
             for rank, phrase in enumerate(options):
                 if not kind_of(phrase):
                     for w, n in self.near(phrase, False):
                         ids = self.bare[n]
-                        best.append((w, rank, 0, next(iter(ids)) if len(ids) == 1 else -1))
-        return min(best)[3] if best else -1
+                        out.append((True, w, rank, 0, next(iter(ids)) if len(ids) == 1 else -1, n))
+        return out
+
+    def _match(self, value: str) -> int:
+        return min(self.candidates(value), default=(True, 0.0, 0, 0, -1, ""))[4]
 
 
 def _entries(catalog: DataFrame, key: str, name: str) -> DataFrame:
     return catalog.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{name}`").alias("name")).where("id is not null and trim(name) <> ''").distinct()
 
 
+def source_names(df: DataFrame, field: str, catalog: DataFrame, catalog_key: str, catalog_name: str) -> tuple[list[tuple[int, str]], dict[int, int]]:
+    """The names of a list and how often ``field`` spells each exactly, for a ``Dictionary`` on the executors."""
+    entries = _entries(catalog, catalog_key, catalog_name)
+    spelled = df.select(F.col(f"`{field}`").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    rows = entries.join(spelled, "name", "left").collect()
+    return sorted((r.id, r.name) for r in rows), {r.id: r.n or 0 for r in rows}
+
+
 def map_values(
     df: DataFrame, key: str, field: str, catalog: DataFrame, catalog_key: str, catalog_name: str, *, decorations: list[str] | None = None, kinds: bool = False, ref: str = "ref_id", keep_exact: bool = False
 ) -> DataFrame:
@@ -209,30 +220,13 @@ def map_values(
     """
     entries = _entries(catalog, catalog_key, catalog_name)
     rows = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{field}`").alias("value")).where("value <> ''")
-    small = entries.limit(MAX_BROADCAST_NAMES + 1).collect()
-    if len(small) <= MAX_BROADCAST_NAMES:
-        names = [(r.id, r.name) for r in small]
-        spelled = rows.where(F.col("value").isin(*[n for _, n in names])) if names else rows.limit(0)
-        counts = {r.value: r.n for r in spelled.groupBy("value").agg(F.count("*").alias("n")).collect()}
-        frequency = {i: counts.get(n, 0) for i, n in names}
-        if not keep_exact and names:
-            rows = rows.where(~F.col("value").isin(*[n for _, n in names]))
-        make = lambda: Dictionary(names, frequency, decorations or (), kinds)
-        return rows.select(key, "value", _matcher(make)(F.col("value")).alias(ref))
-    return _map_by_join(rows, key, entries, decorations or [], kinds, ref, keep_exact)
-
-
-def with_meaning(df: DataFrame, field: str, out: str, catalog: DataFrame, catalog_key: str, catalog_name: str, *, decorations: list[str] | None = None, kinds: bool = False) -> DataFrame:
-    """``df`` with the entry that each value means in ``out``: -1 for none, NULL for NULL and ``''``.
-
-    For lists of at most ``MAX_BROADCAST_NAMES`` names, in the same pass as whatever reads ``df``.
-    """
-    small = _entries(catalog, catalog_key, catalog_name).limit(MAX_BROADCAST_NAMES + 1).collect()
-    if len(small) > MAX_BROADCAST_NAMES:
-        raise ValueError("the list is too long to broadcast; use map_values")
-    names = [(r.id, r.name) for r in small]
-    make = lambda: Dictionary(names, {}, decorations or (), kinds)
-    return df.withColumn(out, F.when(F.col(f"`{field}`") != "", _matcher(make)(F.coalesce(F.col(f"`{field}`"), F.lit("")))))
+    if entries.limit(MAX_BROADCAST_NAMES + 1).count() > MAX_BROADCAST_NAMES:
+        return _map_by_join(rows, key, entries, decorations or [], kinds, ref, keep_exact)
+    names, frequency = source_names(rows, "value", catalog, catalog_key, catalog_name)
+    if not keep_exact and names:
+        rows = rows.where(~F.col("value").isin(*[n for _, n in names]))
+    make = lambda: Dictionary(names, frequency, decorations or (), kinds)
+    return rows.select(key, "value", _matcher(make)(F.col("value")).alias(ref))
 
 
 def _matcher(make: Callable[[], Dictionary]) -> Callable[[Column], Column]:
@@ -246,38 +240,56 @@ def _matcher(make: Callable[[], Dictionary]) -> Callable[[Column], Column]:
 
 
 def _map_by_join(rows: DataFrame, key: str, entries: DataFrame, decorations: list[str], kinds: bool, ref: str, keep_exact: bool) -> DataFrame:
-    """The same for a list too long to broadcast: delete keys are joined, and each distinct value gets the
-    small dictionary of the entries that any of its readings touches."""
-    exact = entries.select(F.col("name").alias("value"))
+    """The same for a list too long to broadcast: delete keys are joined, and each distinct value is measured
+    against the entries that any of its readings touches, one pair a row."""
+    exact = entries.select(F.col("name").alias("value")).distinct()
+    # How often the table spells each entry, before those rows are left out.
+    frequency = rows.join(exact, "value", "left_semi").groupBy("value").agg(F.count("*").alias("n")).withColumnRenamed("value", "name")
     if not keep_exact:
         rows = rows.join(exact, "value", "left_anti")
 
-    def keys(phrases: list[str]) -> list[str]:
-        return sorted({d for p in phrases for d in deletes(_compact(p), edits_allowed(len(_compact(p))))})
+    def keys(phrases: list[str], longest: int) -> list[str]:
+        """Delete keys; a phrase longer than the longest name by more than the edits is near none."""
+        return sorted({d for p in phrases if len(c := _compact(p)) <= longest + MAX_EDITS for d in deletes(c, edits_allowed(len(c)))})
+
+    longest = entries.agg(F.max(F.length("name"))).first()[0] or 0  # folding can lengthen letters, at most threefold
+    bound = 3 * longest
 
     def value_keys(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: keys(readings(v, decorations)))
+        return s.map(lambda v: keys(readings(v, decorations), bound))
 
     def name_keys(s: pd.Series) -> pd.Series:
-        return s.map(lambda n: keys([f := fold(n), *([f[len(k) :]] if kinds and (k := kind_of(f)) else [])]))
+        return s.map(lambda n: keys([f := fold(n), *([f[len(k) :]] if kinds and (k := kind_of(f)) else [])], bound))
 
     values = rows.select("value").distinct()
     v = values.select("value", F.explode(F.pandas_udf(value_keys, "array<string>")("value")).alias("k"))
     e = entries.select("id", "name", F.explode(F.pandas_udf(name_keys, "array<string>")("name")).alias("k"))
-    frequency = rows.join(exact, "value", "left_semi").groupBy("value").agg(F.count("*").alias("n")).withColumnRenamed("value", "name")
-    near = v.join(e, "k").select("value", "id", "name").distinct().join(frequency, "name", "left").groupBy("value").agg(F.collect_list(F.struct("id", "name", F.coalesce("n", F.lit(0)).alias("n"))).alias("near"))
+    near = v.join(e, "k").select("value", "id", "name").distinct().join(frequency, "name", "left")
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b[ref] = [Dictionary([(x["id"], x["name"]) for x in near], {x["id"]: x["n"] for x in near}, decorations, kinds).match(value) for value, near in zip(b["value"], b["near"], strict=True)]
-            yield b[["value", ref]]
-
-    meant = near.mapInPandas(decide, f"value string, {ref} bigint")
+            out = [(value, *c) for value, i, name, n in zip(b["value"], b["id"], b["name"], b["n"], strict=True) for c in Dictionary([(i, name)], {i: 0 if pd.isna(n) else int(n)}, decorations, kinds).candidates(value)]
+            yield pd.DataFrame(out, columns=["value", "bare", "w", "rank", "n", "id", "form"])
+
+    found = near.mapInPandas(measure, "value string, bare boolean, w double, rank int, n bigint, id bigint, form string")
+    # Entries that share a folded form are ambiguous: as full names they are passed over, as bare ones they mean none.
+    shared = entries.select("id", F.explode(F.pandas_udf(_forms(kinds), "array<struct<bare:boolean,form:string>>")("name")).alias("f")).select("f.bare", "f.form", "id").groupBy("bare", "form").agg(F.countDistinct("id").alias("ids"))
+    told = found.join(shared, ["bare", "form"]).where("bare or ids = 1").withColumn("id", F.when(F.col("ids") > 1, F.lit(-1).cast("bigint")).otherwise(F.col("id")))
+    best = F.min(F.struct("bare", "w", "rank", "n", "id"))
+    meant = told.groupBy("value").agg(best.alias("b")).select("value", F.col("b.id").alias(ref))
     return rows.join(meant, "value", "left").select(key, "value", F.coalesce(ref, F.lit(-1).cast("bigint")).alias(ref))
 
 
+def _forms(kinds: bool) -> Callable[[pd.Series], pd.Series]:
+    def of(name: str) -> list[dict]:
+        f = fold(name)
+        return [{"bare": False, "form": _compact(f)}, *([{"bare": True, "form": _compact(f[len(k) :])}] if kinds and (k := kind_of(f)) else [])]
+
+    return lambda s: s.map(of)
+
+
 def url_sections(catalog: DataFrame, url: str) -> list[str]:
     """Names of the sections that listing pages lie in, from the last part of each url, as decorations."""
     last = F.regexp_replace(F.regexp_extract(F.col(f"`{url}`"), r"/([^/?#]+)/?(?:[?#].*)?$", 1), "[-_]+", " ")
-    found = catalog.select(last.alias("s")).where("s <> ''").distinct().limit(1000).collect()
+    found = catalog.select(last.alias("s")).where("s <> ''").distinct().collect()  # at most one a source
     return sorted(fold(r.s) for r in found)

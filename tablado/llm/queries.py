@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablado.io import cut, table
-from tablado.llm.canonical import MAX_BROADCAST_NAMES, map_values, url_sections, with_meaning
+from tablado.llm.canonical import Dictionary, map_values, source_names, url_sections
 from tablado.llm.content import Model, fit, main_content, page_furniture
 from tablado.llm.dedup_history import repeats_by_batches, take_apart, title_parser
 from tablado.llm.encoding import damaged_fields
@@ -16,7 +17,7 @@ from tablado.llm.leakage import leaked_passages
 from tablado.llm.mixing import mix
 from tablado.llm.plan_keys import page_key
 from tablado.llm.residue import residue_documents
-from tablado.llm.survivors import best_values, measured
+from tablado.llm.survivors import MEASURED, best_values, measured
 from tablado.operators.timestamps import madrid_day, normalise_timestamps, parse_instant_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,14 +41,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 MERGED_AT_ONCE = 30
 
 
-def _apart(spark: SparkSession, d: str, model: Model, more: Callable | None = None, schema: str = "", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _apart(spark: SparkSession, d: str, model: Model, more: Callable | None = None, schema: str = "", keep: list[str] | None = None, read: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of plan_history and of normalizer with their keys, the latter with their batch."""
     history, rows, sources = table(spark, d, "plan_history"), table(spark, d, "normalizer"), table(spark, d, "source_catalog")
     parser = title_parser(history.select("titulo"), rows.select("titulo"), history.select("categoria"), table(spark, d, "venue_catalog").select("venue_id", "name"), model)
     listings = {page_key(r.url) for r in sources.select("url").where("url <> ''").distinct().collect()}
     cols = lambda df, *rest: df.select("row_id", "id", F.col("enlace").alias("page"), F.col("titulo").alias("title"), *rest)
     keep = keep or []
-    return take_apart(cols(history), parser, listings), take_apart(cols(rows, "batch_no", *keep), parser, listings, more, schema, ["batch_no", *keep])
+    return take_apart(cols(history), parser, listings), take_apart(cols(rows, "batch_no", *keep, *(read or [])), parser, listings, more, schema, ["batch_no", *keep])
 
 
 def _plans(spark: SparkSession, history: DataFrame, rows: DataFrame) -> DataFrame:
@@ -103,44 +104,48 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
 # 5. Best representative.
 
 
-def _best(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(first_row_id, field_name, row_id) of the winners, and the rows of plans that occur at least twice."""
+def _best(spark: SparkSession, d: str) -> DataFrame:
+    """(first_row_id, field_name, row_id, size, trust, seen) of the values that compete for each field of the
+    plans that occur at least twice."""
     model = _page_model(spark, d)
-    normalizer, sources = table(spark, d, "normalizer"), table(spark, d, "source_catalog")
-    roots = _plans(spark, d, model)
+    sources = table(spark, d, "source_catalog")
+    dictionary = Dictionary(*source_names(table(spark, d, "normalizer"), "fuente", sources, "source_id", "name"), SOURCE_DECORATIONS + url_sections(sources, "url"))
+    trust = {r.source_id: r.trust or 0 for r in sources.select("source_id", "trust").collect()}
+
+    def more(b: pd.DataFrame) -> pd.DataFrame:
+        """What a row's values are worth, read in the pass that takes titles apart."""
+        said = [trust.get(dictionary.match(v), 0) if v else 0 for v in b["fuente"]]
+        return measured(b["title"], b["descripcion"], b["precio"], model).assign(trust=said)
+
+    # The texts are read once, and no text is moved: what competes is numbers.
+    history, rows = _apart(spark, d, model, more, f"{MEASURED}, trust int", ["fecha_inicio", "fecha_fin", "_extracted_at"], ["fuente", "descripcion", "precio"])
+    rows = cut(rows)
+    roots = _plans(spark, cut(history), rows)
+    at = parse_instant_text(F.col("_extracted_at"))
+    own = rows.select("row_id", "length", "priced", "trust", "fecha_inicio", "fecha_fin", at.alias("at"), F.coalesce(F.unix_micros(at), F.lit(0).cast("bigint")).alias("seen"))
     # A plan is named by its root until its rows are known; hot plans are counted by partial aggregation.
-    named = normalizer.select("row_id").join(roots, "row_id", "left").select("row_id", F.coalesce("first_row_id", "row_id").alias("root"))
+    named = own.join(roots, "row_id", "left").withColumn("root", F.coalesce("first_row_id", "row_id")).drop("first_row_id")
     plans = named.groupBy("root").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n")).where("n > 1").select("root", "first_row_id")
-    # Only rows that compete are read in full from here on.
-    rows = normalizer.join(named.join(plans, "root").select("row_id", "first_row_id"), "row_id").select("first_row_id", "row_id", "titulo", "descripcion", "precio", "fecha_inicio", "fecha_fin", "fuente", "_extracted_at")
-    seen = parse_instant_text(F.col("_extracted_at"))
-    meant = with_meaning(rows, "fuente", "source_id", sources, "source_id", "name", decorations=SOURCE_DECORATIONS + url_sections(sources, "url"))
-    trusted = meant.join(F.broadcast(sources.select("source_id", "trust").limit(MAX_BROADCAST_NAMES)), "source_id", "left")
-    ranked = trusted.withColumns({"trust": F.coalesce("trust", F.lit(0)), "at": seen, "seen": F.coalesce(F.unix_micros(seen), F.lit(0).cast("bigint"))})
+    named = cut(named.join(plans, "root"))
     keys = ["first_row_id", "row_id", "trust", "seen"]
-    ranked = cut(ranked.select(*keys, "at", "titulo", "descripcion", "precio", "fecha_inicio", "fecha_fin"))
-    # Texts and prices in one pass, both dates stacked in another; neither moves a row.
-    sized = measured(ranked, "titulo", "descripcion", "precio", keys, model)
     entry = lambda name, usable, size: F.struct(F.lit(name).alias("field_name"), usable.alias("usable"), size.alias("size"))
-    texts = sized.select(*keys, F.explode(F.array(entry("descripcion", F.col("length").isNotNull(), F.coalesce("length", F.lit(0))), entry("precio", F.col("priced"), F.lit(0)))).alias("x")).where("x.usable")
+    texts = named.select(*keys, F.explode(F.array(entry("descripcion", F.col("length").isNotNull(), F.coalesce("length", F.lit(0))), entry("precio", F.col("priced"), F.lit(0)))).alias("x")).where("x.usable")
     both = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in ("fecha_inicio", "fecha_fin")]))
-    dates = normalise_timestamps(ranked.select(*keys, "at", both.alias("x")).select(*keys, "at", "x.field_name", "x.value"), "value", anchor=madrid_day(F.col("at")), only_read=True)
-    competing = texts.select("first_row_id", "x.field_name", "row_id", "x.size", "trust", "seen").unionByName(dates.select("first_row_id", "field_name", "row_id", F.lit(0).alias("size"), "trust", "seen"))
-    return competing, ranked
+    dates = normalise_timestamps(named.select(*keys, "at", both.alias("x")).select(*keys, "at", "x.field_name", "x.value"), "value", anchor=madrid_day(F.col("at")), only_read=True)
+    return texts.select("first_row_id", "x.field_name", "row_id", "x.size", "trust", "seen").unionByName(dates.select("first_row_id", "field_name", "row_id", F.lit(0).alias("size"), "trust", "seen"))
 
 
 @query()
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """For every plan with several rows and every field, the row whose value is best in every respect."""
-    competing, _ = _best(spark, d)
-    return best_values(competing, "first_row_id", "field_name", "row_id", [F.col("size"), F.col("trust"), F.col("seen")]).select("first_row_id", "field_name", "row_id")
+    return best_values(_best(spark, d), "first_row_id", "field_name", "row_id", [F.col("size"), F.col("trust"), F.col("seen")]).select("first_row_id", "field_name", "row_id")
 
 
 @query()
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
     """One record for every plan with several rows: each field's first value in the ranking and its row."""
-    competing, rows = _best(spark, d)
-    best = best_values(competing, "first_row_id", "field_name", "row_id", [F.col("size"), F.col("trust"), F.col("seen")], dominant=False)
+    rows = table(spark, d, "normalizer")
+    best = best_values(_best(spark, d), "first_row_id", "field_name", "row_id", [F.col("size"), F.col("trust"), F.col("seen")], dominant=False)
     fields = ["descripcion", "precio", "fecha_inicio", "fecha_fin"]
     value = F.coalesce(*[F.when(F.col("field_name") == f, F.col(f)) for f in fields])
     taken = best.join(rows.select("row_id", *fields), "row_id").select("first_row_id", "field_name", "row_id", value.alias("value"))

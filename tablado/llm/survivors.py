@@ -14,7 +14,6 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,21 +42,17 @@ def states_price(text: str | None) -> bool:
     return bool(text) and (bool(re.search(r"\d", text)) or bool(FREE.search(fold(repair(text)[1]))))
 
 
-def measured(rows: DataFrame, title: str, description: str, price: str, keep: list[str], model: Model) -> DataFrame:
-    """The ``keep`` columns with length and priced: characters of the main text, NULL if it says nothing, and
-    whether the price states one."""
+MEASURED = "length int, priced boolean"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            lengths = []
-            for t, x in zip(b["__t"], b["__x"], strict=True):
-                text = model.main_text(x, t)
-                lengths.append(len(text) if text and usable_text(text) else None)
-            yield b[keep].assign(length=pd.array(lengths, dtype="Int32"), priced=[states_price(p) for p in b["__p"]])
 
-    cols = rows.select(*keep, F.col(f"`{title}`").alias("__t"), F.col(f"`{description}`").alias("__x"), F.col(f"`{price}`").alias("__p"))
-    schema = ", ".join(f"`{c}` {cols.schema[c].dataType.simpleString()}" for c in keep)
-    return cols.mapInPandas(run, f"{schema}, length int, priced boolean")
+def measured(titles: pd.Series, descriptions: pd.Series, prices: pd.Series, model: Model) -> pd.DataFrame:
+    """(length, priced) of a batch of rows: characters of the main text, NULL if it says nothing, and whether
+    the price states one."""
+    lengths = []
+    for t, x in zip(titles, descriptions, strict=True):
+        text = model.main_text(x, t)
+        lengths.append(len(text) if text and usable_text(text) else None)
+    return pd.DataFrame({"length": pd.array(lengths, dtype="Int32"), "priced": [states_price(p) for p in prices]}, index=titles.index)
 
 
 def best_values(candidates: DataFrame, group: str, field: str, key: str, rank: list[Column], *, dominant: bool = True) -> DataFrame:

@@ -35,6 +35,7 @@ SAMPLE_ROWS = 2_000
 TRAINING_PAGES = 1_500
 FEATURES = 60_000
 _WORD = re.compile(r"[^\W\d_]+|\d+")
+_MAY_HAVE_SIGNS = re.compile(r"[-|/>·•»]\s")
 _DIGIT = re.compile(r"\d")
 _SIGNS = re.compile(r"\s[-|/>·•»]\s|\s{2,}")
 _TIME = re.compile(r"^\W*\d{1,2}[:.]\d{2}\b")
@@ -52,18 +53,31 @@ def _words(text: str) -> list[str]:
 class _Line:
     """What a line shows by itself; the same for every page it stands on."""
 
-    __slots__ = ("blank", "ends", "heads", "short", "strange", "sum", "title_words", "words")
+    __slots__ = ("blank", "ends", "heads", "joined", "n", "short", "strange", "sum", "title_words")
 
     def __init__(self, raw: str, vocabulary: set[str], scorer: _Scorer | None = None) -> None:
         text = raw.strip()
-        self.words = _words(text)
-        self.blank = not self.words and not text
-        self.ends = text.endswith((".", "…", "!", "?", "]")) and len(self.words) > 3
-        self.heads = text.endswith(":") and len(self.words) <= 4
+        words = _words(text)
+        self.n = n = len(words)
+        self.blank = not words and not text
+        self.ends = n > 3 and text.endswith((".", "…", "!", "?", "]"))
+        self.heads = n <= 4 and text.endswith(":")
         self.short = len(text) < 110
-        self.title_words = {w for w in self.words if len(w) > 3} if len(self.words) <= 16 else set()
+        self.joined = " ".join(words) if n <= 16 else ""
+        self.title_words = {w for w in words if len(w) > 3} if n <= 16 else set()
         self.strange = self.title_words - vocabulary
-        self.sum = scorer.line(text, self.words) if scorer else 0.0
+        self.sum = scorer.line(text, words) if scorer else 0.0
+
+
+class _Known(dict):
+    """Weights by word, with that of unknown words for the rest."""
+
+    def __init__(self, weights: dict[str, float], other: float) -> None:
+        super().__init__(weights)
+        self.other = other
+
+    def __missing__(self, word: str) -> float:
+        return self.other
 
 
 class _Scorer:
@@ -72,23 +86,17 @@ class _Scorer:
     def __init__(self, weights: dict[str, float], vocabulary: set[str]) -> None:
         get = weights.get
         self.vocabulary, self.get = vocabulary, get
-        self.one = {w: get("w:" + w, 0.0) for w in vocabulary}
-        self.first = {w: get("first:" + w, 0.0) for w in vocabulary}
-        self.last = {w: get("last:" + w, 0.0) for w in vocabulary}
-        self.other = tuple(get(k, 0.0) for k in ("w:?", "first:?", "last:?"))
-        self.two = {tuple(k[2:].split(" ")): v for k, v in weights.items() if k.startswith("b:")}
+        self.one, self.first, self.last = (_Known({w: get(k + w, 0.0) for w in vocabulary}, get(k + "?", 0.0)).__getitem__ for k in ("w:", "first:", "last:"))
+        self.two = _Known({tuple(k[2:].split(" ")): v for k, v in weights.items() if k.startswith("b:")}, 0.0).__getitem__
 
     def line(self, text: str, words: list[str]) -> float:
         get, n = self.get, len(words)
         z = get("bias", 0.0)
         if n:
-            other, first, last = self.other
-            one = self.one
-            some = sum([one.get(w, other) for w in words])
+            some = sum(map(self.one, words))
             if n <= 24:
-                two = self.two
-                some += sum([two.get(p, 0.0) for p in zip(words, words[1:])])
-            z += some / math.sqrt(n) + self.first.get(words[0], first) + self.last.get(words[-1], last)
+                some += sum(map(self.two, zip(words, words[1:])))
+            z += some / math.sqrt(n) + self.first(words[0]) + self.last(words[-1])
             if n <= 4:
                 z += 2.0 * get("all:" + " ".join(words), 0.0)
         z += get(_size(n), 0.0)
@@ -100,7 +108,7 @@ class _Scorer:
             z += get("colon", 0.0)
         if _TIME.match(text):
             z += get("time", 0.0)
-        if (signs := len(_SIGNS.findall(text))) >= 2:
+        if (_MAY_HAVE_SIGNS.search(text) or "  " in text or not text.isprintable()) and (signs := len(_SIGNS.findall(text))) >= 2:
             z += min(2.0, signs / 2) * get("signs", 0.0)
         if text and text[0] in "«»©•":
             z += get("sign:" + text[0], 0.0)
@@ -197,17 +205,16 @@ def blocks_of(lines: list[_Line], heads: set[str]) -> list[list[int]]:
         if x.blank:
             is_open = menu = False
             continue
-        joined = " ".join(x.words)
-        if x.heads or joined in heads:
+        if x.heads or x.joined in heads:
             out.append([i])
             is_open, menu = True, False
         elif is_open and x.short and not x.ends:
             out[-1].append(i)
-        elif menu and len(x.words) <= 2:
+        elif menu and x.n <= 2:
             out[-1].append(i)
         else:
             out.append([i])
-            is_open, menu = False, len(x.words) <= 2
+            is_open, menu = False, x.n <= 2
     return out
 
 
@@ -221,15 +228,16 @@ class Model:
         self.placed = {k: weights.get(k, 0.0) for k in ("at:first", "at:last", "at:second", "at:end", "at:mid", "own:2", "own:1", "own:0", "name:own", "name:other")}
         self.memo: dict[str, _Line] = {}
         self.named: dict[str, bool] = {}
+        self.cleaned: dict[str | None, str] = {}
         self.scorer: _Scorer | None = None
 
     def __getstate__(self) -> dict:
         """What is sent to the executors: no memos and nothing that is made from the weights."""
-        return self.__dict__ | {"memo": {}, "named": {}, "scorer": None}
+        return self.__dict__ | {"memo": {}, "named": {}, "cleaned": {}, "scorer": None}
 
     def line(self, raw: str) -> _Line:
         if (x := self.memo.get(raw)) is None:
-            if len(self.memo) > 50_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             if self.scorer is None:
                 self.scorer = _Scorer(self.weights, self.vocabulary)
@@ -253,11 +261,10 @@ class Model:
 
     def content(self, description: str, title: str) -> list[float]:
         """The probability of each line to be furniture; blank lines have 0."""
-        raw = description.split("\n")
-        lines = [self.line(r) for r in raw]
+        lines = [self.line(r) for r in description.split("\n")]
         logits = self.odds(lines, {w for w in _words(title) if len(w) > 3})
         blocks = blocks_of(lines, self.heads)
-        like = [(1 / (1 + math.exp(min(30.0, z))), 1 / (1 + math.exp(min(30.0, -z)))) for z in logits]
+        like = [(1 - y, y) for y in (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z in logits)]
         # Upward: lines to blocks, blocks to the page.
         (a0, a1), (b0, b1) = self.line_given_block
         (p0, p1), (q0, q1) = self.block_given_page
@@ -315,6 +322,13 @@ class Model:
         return any(site for _, site in self.title_parts(title))
 
     def clean_title(self, title: str | None) -> str:
+        if (hit := self.cleaned.get(title)) is None:
+            if len(self.cleaned) > 20_000:  # a batch's titles are asked for twice
+                self.cleaned.clear()
+            hit = self.cleaned[title] = self._clean_title(title)
+        return hit
+
+    def _clean_title(self, title: str | None) -> str:
         parts = self.title_parts(title)
         kept = [p for p, site in parts if not site]
         if len(kept) == len(parts) or not kept:
@@ -424,7 +438,7 @@ def train(examples: list[tuple[str, str]], sites: Iterable[str], seed: int = 7)
         lines = [_Line(x, vocabulary) for x, _ in page]
         own = {w for w in _words(title) if len(w) > 3}
         for i, ((x, y), line) in enumerate(zip(page, lines, strict=True)):
-            rows.append((line_features(x.strip(), line.words, vocabulary) | page_features(line, own, i, len(page) - 1), y))
+            rows.append((line_features(x.strip(), _words(x.strip()), vocabulary) | page_features(line, own, i, len(page) - 1), y))
         kind = int(any(y for _, y in page))
         page_kind[kind] += 1
         for block in blocks_of(lines, heads):

@@ -58,6 +58,12 @@ def test_canonical(spark, monkeypatch, bound):
     assert got == {i: r for i, (_, r) in enumerate(VALUES) if r is not None}
     assert canonical.map_values(df.limit(0), "k", "v", cat, "id", "name").count() == 0
     assert {r.ref_id for r in canonical.map_values(df.select("k", "v"), "k", "v", cat.limit(0), "id", "name").collect()} == {-1}
+    # Of two entries equally near, the one that the table spells more often.
+    near = spark.createDataFrame([(1, "Sala Rona"), (2, "Sala Ronx"), (3, "Sala Ronx.")][:2] + [(9, "Otra")], "id long, name string")
+    rows = spark.createDataFrame([(0, "Sala Ronz")] + [(i, "Sala Ronx") for i in range(1, 6)], "k long, v string")
+    assert [(r.k, r.ref_id) for r in canonical.map_values(rows, "k", "v", near, "id", "name", kinds=True).collect()] == [(0, 2)]
+    twins = spark.createDataFrame([(1, "Sala Rona"), (2, "SALA RONA"), (3, "Otra")], "id long, name string")
+    assert [r.ref_id for r in canonical.map_values(rows.limit(1), "k", "v", twins, "id", "name", kinds=True).collect()] == [-1]
 
 
 # 3. Main content.
@@ -183,19 +189,38 @@ def test_batches_and_backlog(spark):
     old, new = _plans(rng, 40, 0), _plans(rng, 160, 1000)
     apart = lambda rows: dedup_history.take_apart(spark.createDataFrame(rows, schema), parser, {page_key("https://a.example/agenda")})
     want = _brute(old + new, parser)
-    got = {r.row_id: r.first_row_id for r in dedup_history.repeats_in_backlog(apart(old), apart(new)).collect()}
-    assert got == want
+    batches = [apart(new[i : i + 40]) for i in range(0, 160, 40)]
+    got = {r.row_id: r.first_row_id for r in dedup_history.repeats_by_batches(spark, apart(old), batches).collect()}
+    assert {k: v for k, v in got.items() if k >= 1000} == {k: v for k, v in want.items() if k >= 1000}
     store = dedup_history.new_store(spark, max_runs=2)
+    assert store.members().count() == 0
     store.merge(apart(old))
     seen = set()
-    for i in range(0, 160, 40):
-        batch = new[i : i + 40]
-        found = {r.row_id: r.first_row_id for r in store.merge(apart(batch)).collect()}
-        so_far = _brute(old + new[: i + 40], parser)
-        assert found == {r[0]: so_far[r[0]] for r in batch if r[0] in so_far}
+    for i, batch in enumerate(batches):
+        # Every batch is merged by a store opened anew, as another process would.
+        store = dedup_history.RunStore(spark, store.folder, max_runs=2)
+        found = {r.row_id: r.first_row_id for r in store.merge(batch).collect()}
+        so_far = _brute(old + new[: 40 * i + 40], parser)
+        assert found == {r[0]: so_far[r[0]] for r in new[40 * i : 40 * i + 40] if r[0] in so_far}
         seen |= set(found)
     assert len(store.runs) <= 2 and seen <= set(want)
-    assert store.merge(apart(new[:1]).limit(0)).count() == 0
+    assert {r.row_id: r.first_row_id for r in store.members().collect()} == want
+    assert store.merge(batches[0].limit(0)).count() == 0
+
+
+def test_store_reads_what_a_batch_touches(spark, monkeypatch):
+    monkeypatch.setattr(dedup_history, "RANGE_RECORDS", 20)
+    monkeypatch.setattr(dedup_history, "BUCKET_KEYS", 20)
+    rng, parser = random.Random(9), _titles()
+    apart = lambda rows: dedup_history.take_apart(spark.createDataFrame(rows, "row_id long, id string, page string, title string"), parser, set())
+    store = dedup_history.new_store(spark, max_runs=1)
+    store.merge(apart(_plans(rng, 60, 0)))
+    ranges, buckets = len(store.points[0]), store.buckets
+    store.merge(apart(_plans(rng, 200, 1000)))  # compacts, and cuts ranges and buckets for four times as many
+    assert len(store.runs) == 1 and len(store.points[0]) > ranges and store.buckets > buckets
+    store.merge(apart(_plans(rng, 1, 5000)))
+    assert len(store.touched["titles"]) <= dedup_history.PASSES * 2 < dedup_history.PASSES * (len(store.points[0]) + 1)
+    assert len(store.touched["keys"]) <= 3 and len(store.touched["blocks"]) < store.buckets
 
 
 def _skewed(spark):
@@ -203,15 +228,20 @@ def _skewed(spark):
     rng, letters = random.Random(8), "abcdefghijklmnopqrstuvwxyz"
     word = lambda n: "".join(rng.choices(letters, k=n))
     shows = [f"{a} {b}" for a, b in (sorted((word(8), word(7))) for _ in range(60))]
+    parser = Titles({w for c in shows for w in c.split()}, set(), set(), canonical.Dictionary([], {}, (), True), content.train([], []))
     sigs = [f"{c}||vulebo tricagu" for c in shows]
     sigs += ["~llega||vulebo tricagu", f"{shows[7]}||tricagu vulebo", f"{shows[9]}||xulebo tricagx"]
+    readings = {}
     for c in shows[20:30]:
         a, b = c.split()
-        sigs.append(f"{b}||tricagu vulebo {a[:2]}zz{a[4:]}")
-        sigs.append(f"{a}||{b[:1]}qq{b[3:]} vulebo tricagu")
+        for common, word, damaged in ((b, a, f"{a[:2]}zz{a[4:]}"), (a, b, f"{b[:1]}qq{b[3:]}")):
+            sigs.append(f"{common}||tricagu vulebo {damaged}")
+            readings[sigs[-1]] = parser.other_readings((common, "", ["tricagu", "vulebo", damaged]))
+            assert (" ".join(sorted((common, word))), "", ["tricagu", "vulebo"]) in readings[sigs[-1]]
+    other = {k: "\n".join("|".join((c, e, " ".join(n))) for c, e, n in v) for k, v in readings.items()}
     parts = [tuple(x.split("|")[:2]) + (x.split("|")[2].split(),) for x in sigs]
     want = {(i, j) for i in range(len(sigs)) for j in range(i) if same_title(parts[i], parts[j]) or same_title(parts[j], parts[i])}
-    return spark.createDataFrame([(x, i, True) for i, x in enumerate(sigs)], "sig string, first long, fresh boolean"), want
+    return spark.createDataFrame([(x, other.get(x, ""), i) for i, x in enumerate(sigs)], "sig string, other string, node long"), want
 
 
 def _roots(pairs, n):
@@ -231,10 +261,11 @@ def _roots(pairs, n):
 def test_titles_of_a_hot_performer(spark):
     sigs, want = _skewed(spark)
     # Without the rewording, which joins everything, every single link counts.
+    none = spark.createDataFrame([], "a long, b long")
     for df, pairs in ((sigs, want), (sigs.where("sig not like '~%'"), {p for p in want if 60 not in p})):
-        found = {(r.a, r.b) for r in dedup_history.block_pairs(dedup_history.blocked(df)).collect()}
+        found = {(r.a, r.b) for r in dedup_history.block_pairs(dedup_history.blocked(df).withColumn("fresh", F.lit(True)), df.select("node", "sig"), none).collect()}
         assert found and _roots(found, 83) == _roots(pairs, 83)
-    apart = sigs.select(F.col("first").alias("row_id"), F.lit(None).cast("long").alias("k_id"), F.lit(None).cast("long").alias("k_page"), "sig", F.xxhash64("sig").alias("k_sig"))
+    apart = sigs.select(F.col("node").alias("row_id"), F.lit(None).cast("long").alias("k_id"), F.lit(None).cast("long").alias("k_page"), "sig", "other", F.xxhash64("sig").alias("k_sig"))
     store = dedup_history.new_store(spark)
     store.merge(apart.where("row_id < 60"))
     got = {r.row_id: r.first_row_id for r in store.merge(apart.where("row_id >= 60")).collect()}
@@ -372,3 +403,13 @@ def test_residue_in_a_third_of_the_documents(spark):
         texts = [f"{t} {notice}" if i % 3 == 0 else t for i, t in enumerate(plain)]
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         assert sorted(r.doc_id for r in residue.residue_documents(df, "doc_id", "text").collect()) == list(range(0, 300, 3)), notice
+
+
+def test_scorer_equals_features():
+    """The quick score of a line is that of its features."""
+    model = content.train([], ["La Revista"])
+    scorer = content._Scorer(model.weights, model.vocabulary)
+    for text in ["", "Compartir", "Inicio - Agenda - Planes", "• 12:30 Taller de cerámica", "Una tarde de música en la plaza. La entrada es libre.", "a  b  c", "x " * 40 + "…", "« Anterior"]:
+        t = text.strip()
+        words = content._words(t)
+        assert abs(scorer.line(t, words) - content._score(content.line_features(t, words, model.vocabulary), model.weights)) < 1e-9

@@ -170,7 +170,7 @@ def normalise_timestamps(
     for pattern, order in [*_CASCADE, (_COMPACT, (1, 2, 3))]:
         read = F.regexp_replace(read, pattern, _MARK + "~".join(f"${i}" for i in (*order, 4, 5, 6, 7, 8, 9, 10)))
     df = df.withColumn(n("r"), read)
-    parts = F.when(F.col(n("r")).startswith(_MARK), F.split(F.substring(n("r"), 2, 10_000), "~", -1))
+    parts = F.when(F.col(n("r")).startswith(_MARK), F.split(F.right(F.col(n("r")), F.length(n("r")) - 1), "~", -1))
     df = df.withColumn(n("p"), parts)
     p = lambda i: F.col(n("p"))[i]
 

@@ -121,11 +121,15 @@ def news_recency(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(filters.not_older(F.col("pub_date"), F.expr(NOW), "30 HOURS")).select("article_id", "title", "source")
 
 
-@query(f"SELECT article_id, {_SQUEEZE.format('regexp_replace(coalesce(description, ' + chr(39) * 2 + '), ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} AS clean FROM news_articles WHERE NOT contains(coalesce(description, ''), '&')")
+_BARE_DESCRIPTION = "coalesce(description, '')"
+for _ref, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+    _BARE_DESCRIPTION = f"replace({_BARE_DESCRIPTION}, '{_ref}', '{_sign}')"
+
+
+@query(f"SELECT article_id, {_SQUEEZE.format(f'regexp_replace({_BARE_DESCRIPTION}, {chr(39)}<[^>]+>{chr(39)}, {chr(39) * 2}, {chr(39)}g{chr(39)})')} AS clean FROM news_articles")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    """Tags dropped and white space squeezed, where no character references have to be resolved."""
-    rows = table(spark, d, "news_articles").where(~F.coalesce("description", F.lit("")).contains("&"))
-    return rows.select("article_id", T.squeeze(T.strip_tags(F.coalesce("description", F.lit("")))).alias("clean"))
+    """References resolved, tags dropped and white space squeezed in every description."""
+    return table(spark, d, "news_articles").select("article_id", T.clean_markup(F.coalesce("description", F.lit(""))).alias("clean"))
 
 
 @query()
@@ -227,16 +231,18 @@ def _sql_day(y: str, m: str, d: str) -> str:
 
 
 def _event_date_sql() -> str:
-    part = lambda p, g: f"nullif(regexp_extract(t, '{p}', {g}), '')::INT"
-    iso, long, short = r"(\d{4})-(\d{2})-(\d{2})", r"(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})", r"(\d{1,2})[/\-](\d{1,2})[/\-](\d{2})(?:\D|$)"
-    full, bare = r"(\d{1,2})\s+(?:de\s+)?([a-záéíóúü]+)\s+(?:de\s+)?(\d{4})", r"(\d{1,2})\s+(?:de\s+)?([a-záéíóúü]{3,})(?:\s*[-–,]|$)"
-    month = lambda p: _MONTH_SQL.format(f"regexp_extract(t, '{p}', 2)")
-    this = _sql_day("2026", month(bare), part(bare, 1))
-    following = _sql_day("2027", month(bare), part(bare, 1))
-    return (
-        f"WITH x AS (SELECT concert_id, lower({_SQUEEZE.format('date_str')}) AS t FROM concerts) SELECT concert_id, coalesce({_sql_day(part(iso, 1), part(iso, 2), part(iso, 3))}, {_sql_day(part(long, 3), part(long, 2), part(long, 1))},"
-        f" {_sql_day(part(short, 3) + ' + 2000', part(short, 2), part(short, 1))}, {_sql_day(part(full, 3), month(full), part(full, 1))}, CASE WHEN {this} < {TODAY} THEN {following} ELSE {this} END) AS day FROM x"
-    )
+    found = []
+    for form in D.READINGS:
+        p, at = D.written(form)
+        part = lambda g, p=p: f"nullif(regexp_extract(t, '{p}', {g}), '')::INT"
+        month = _MONTH_SQL.format(f"regexp_extract(t, '{p}', {at['N']})") if "N" in at else part(at["M"])
+        day = part(at["D"])
+        if "Y" in at or "y" in at:
+            found.append(_sql_day(part(at["Y"]) if "Y" in at else part(at["y"]) + " + 2000", month, day))
+        else:
+            this, following = _sql_day("2026", month, day), _sql_day("2027", month, day)
+            found.append(f"CASE WHEN {this} < {TODAY} THEN {following} ELSE {this} END")
+    return f"WITH x AS (SELECT concert_id, lower({_SQUEEZE.format('date_str')}) AS t FROM concerts) SELECT concert_id, coalesce({', '.join(found)}) AS day FROM x"
 
 
 @query(_event_date_sql())
@@ -630,17 +636,10 @@ def bullet_points(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "normalizer").select("row_id", F.array_join(T.bullets(none, F.col("descripcion"), F.lit("")), "|").alias("bullets"))
 
 
-
-
-@query(
-    """WITH a AS (SELECT concert_id, lower(trim(regexp_replace(artist, '\\s+20\\d{2}\\s*$', ''))) AS t FROM concerts WHERE artist IS NOT NULL AND NOT regexp_matches(lower(artist), '\\sen\\s|tour|gira|presenta|live|show|[-–]')),
-    b AS (SELECT concert_id, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(t, '^concierto\\s+de\\s+', '')), '^entradas\\s+para\\s+', '')), '\\s*\\(.*?\\)\\s*$', '')) AS t FROM a)
-    SELECT concert_id, trim(regexp_split_to_array(t, '\\s*[,/+&]\\s*|\\s+con\\s+|\\s+with\\s+|\\s+y\\s+')[1]) AS name FROM b"""
-)
+@query(f"SELECT concert_id, {T.headliner_sql('artist', CITIES)} AS name FROM concerts WHERE artist IS NOT NULL")
 def headliners(spark: SparkSession, d: str) -> DataFrame:
-    """The first act in normal form, where no tour name or place has to be taken off."""
-    rows = table(spark, d, "concerts").where("artist is not null and not lower(artist) rlike '\\\\sen\\\\s|tour|gira|presenta|live|show|[-–]'")
-    return rows.select("concert_id", T.headliner(F.col("artist"), CITIES).alias("name"))
+    """The first act of every bill in normal form."""
+    return table(spark, d, "concerts").where("artist is not null").select("concert_id", T.headliner(F.col("artist"), CITIES).alias("name"))
 
 
 @query("SELECT concert_id, trim(regexp_replace(trim(regexp_replace(venue, '\\s+\\d{1,2}[/\\-]\\d{1,2}[/\\-]\\d{4}\\s*$', ''), ' '), '\\s+\\d{4}-\\d{2}-\\d{2}\\s*$', ''), ' ') AS venue FROM concerts WHERE venue IS NOT NULL")

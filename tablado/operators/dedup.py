@@ -2,12 +2,13 @@
 
 Exact forms keep the first row of a key.  The fuzzy forms reproduce an ordered greedy pass: rows are taken in
 order, and each is compared with the leaders kept so far.  Greedy on the whole equals greedy within each
-connected component of the match relation, so the plan is: candidate pairs by a lossless prefix filter,
-verified by the exact measure, components, and the pass within each component.
+connected component of the match relation, so the plan is: matching pairs are found first, and the pass
+is then settled in rounds over the pairs.
 
-Lossless filter: two texts of likeness 2M/(a+b) >= t share at least t/(2-t) of either's characters as a
-multiset.  Ordering a text's numbered characters from rare to frequent, its first 1 - t/(2-t) part must hold
-a shared one; rows meet on that character and a length band only.
+Candidate pairs: the rows that ask are taken in blocks of ``QUERY_ROWS``, each against all rows.  What is
+matched is in both texts, so the difference of their letters as multisets bounds the likeness; that bound is
+computed for a row against a whole block at once, and only what passes is measured.  The work is still
+rows x rows, at some nanoseconds a pair: it is meant for batches (a crawl's rows), not for a corpus.
 
 Defined results
     * NULL texts count as ''.  Ties in order are broken by the key columns given as order; order must be total.
@@ -17,9 +18,9 @@ Defined results
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from tablado.functions.similarity import indel_text, ratcliff_text
 from tablado.io import cut
 from tablado.operators.graph import components
 
-#: Letters from rare to frequent in Spanish and English text; others count as rarer still.
-RARE_TO_FREQUENT = "wkxñqjzyfhgvbpmudctlnrisoae "
+#: Rows that ask at a time; their texts are sent to every task.
+QUERY_ROWS = 20_000
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -53,54 +54,71 @@ def completeness(text: Column, weighted: list[tuple[Column, int]]) -> Column:
     return out
 
 
-def _prefix(text: str, share: float) -> list[str]:
-    """The numbered characters of which any partner of enough likeness shares at least one."""
-    seen: Counter = Counter()
-    numbered = []
-    for c in text:
-        seen[c] += 1
-        numbered.append((RARE_TO_FREQUENT.find(c), -seen[c], f"{c}{seen[c]}"))
-    numbered.sort()
-    keep = len(text) - math.ceil(len(text) * share - 1e-9) + 1
-    return [x for _, _, x in numbered[: max(0, keep)]] or ["∅"]
+def _bags(texts: list[str]) -> np.ndarray:
+    """How often each text has each of 32 classes of letters."""
+    out = np.zeros((len(texts), 32), dtype=np.int16)
+    for i, t in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) & 31, minlength=32)
+    return out
+
+
+class _Queries:
+    """Texts in order of length, with their letters."""
+
+    def __init__(self, keys: list[int], texts: list[str], within: list[str]) -> None:
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        self.texts = [texts[i] for i in order]
+        self.keys = np.array([keys[i] for i in order], dtype=np.int64)
+        self.codes: dict[str, int] = {}
+        self.within = np.array([self.codes.setdefault(within[i], len(self.codes)) for i in order], dtype=np.int64)
+        self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.bags = _bags(self.texts)
+
+    def near(self, key: int, bag: np.ndarray, length: int, within: str, least: float) -> np.ndarray:
+        """Places of the queries with a greater key whose letters allow a likeness of ``least``."""
+        ratio = least / (2 - least)
+        a, b = np.searchsorted(self.lengths, [math.floor(length * ratio - 1e-9), math.ceil(length / ratio + 1e-9) + 1])
+        good = np.abs(self.bags[a:b] - bag).sum(1) <= (1 - least) * (self.lengths[a:b] + length) + 1e-9
+        good &= (self.keys[a:b] > key) & (self.within[a:b] == self.codes.get(within, -1))
+        return np.flatnonzero(good) + a
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, measure: Callable[[str, str], bool], least: float, *, within: list[str] | None = None, contained_from: int | None = None) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, text: str, measure: Callable[[str, str], bool], least: float, *, within: list[str] | None = None, contained_from: int | None = None, later: str = "true", earlier: str = "true") -> DataFrame:
     """(later, earlier): pairs of keys whose texts match under ``measure(later, earlier)``, later > earlier.
 
     ``least`` is a lower bound of the likeness (0 to 1) of matching pairs, ``within`` columns that must be
     equal.  With ``contained_from`` pairs of which one text (longer than it) holds the other are compared too:
-    those meet on every start of a word in the longer text, as nothing bounds their lengths.
+    those meet on the start of the shorter, as nothing bounds their lengths.  ``later`` and ``earlier`` are
+    conditions on the key ``k`` of either side, so that two tables meet without pairs of their own.
     """
-    share = least / (2 - least)
-    within = within or []
-    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), *[F.col(c).alias(f"w{i}") for i, c in enumerate(within)])
-    ws = [f"w{i}" for i in range(len(within))]
-    prefixes = F.pandas_udf(lambda s: s.map(lambda t: _prefix(t, share)), "array<string>")
-    marked = rows.withColumn("n", F.length("t")).withColumn("x", F.explode(prefixes("t")))
-    # Length bands of ratio 1/share: partners lie in the same band or a neighbouring one.
-    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(math.log(1 / share) if share < 1 else 1.0)).cast("int")
-    a = marked.withColumn("b", band)
-    b = a.withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
-    on = [*ws, "b", "x"]
-    left = a.select(*on, F.col("k").alias("later"), F.col("n").alias("ln"))
-    right = b.select(*on, F.col("k").alias("earlier"), F.col("n").alias("en"))
-    near = left.join(right, on).where((F.col("later") > F.col("earlier")) & (F.least("ln", "en") >= F.greatest("ln", "en") * share - 1e-9))
-    pairs = near.select("later", "earlier").distinct()
+    rows = df.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in within or []]).alias("w"))
+    rows = cut(rows)
+    asking = rows.where(later)
+    blocks = -(-asking.count() // QUERY_ROWS)
+    # A row is a small task's work, whatever its size.
+    spread = rows.where(earlier).repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+    pairs = spread.select(F.col("k").alias("later"), F.col("k").alias("earlier")).limit(0)
+    for n in range(blocks):
+        block = asking.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == n).collect()  # some QUERY_ROWS
+
+        def run(batches: Iterator[pd.DataFrame], block: list = block) -> Iterator[pd.DataFrame]:
+            q = _Queries([r.k for r in block], [r.t for r in block], [r.w for r in block])
+            for b in batches:
+                out = []
+                for k, t, w, bag in zip(b["k"], b["t"], b["w"], _bags(b["t"].tolist()), strict=True):
+                    out += [(int(q.keys[i]), k) for i in q.near(k, bag, len(t), w, least) if measure(q.texts[i], t)]
+                yield pd.DataFrame(out, columns=["later", "earlier"], dtype="int64")
+
+        pairs = pairs.unionByName(spread.mapInPandas(run, "later bigint, earlier bigint"))
     if contained_from is not None:
         long = rows.where(F.length("t") > contained_from)
         head = F.substring("t", 1, contained_from + 1)
         starts = F.transform(F.sequence(F.lit(1), F.length("t") - contained_from), lambda i: F.substring(F.col("t"), i, F.lit(contained_from + 1)))
-        inner = long.select(*ws, head.alias("h"), F.col("k").alias("ik"), F.col("t").alias("it"))
-        outer = long.select(*ws, F.explode(F.array_distinct(starts)).alias("h"), F.col("k").alias("ok"), F.col("t").alias("ot"))
-        held = inner.join(outer, [*ws, "h"]).where((F.col("ik") != F.col("ok")) & F.expr("contains(ot, it)"))
-        pairs = pairs.unionByName(held.select(F.greatest("ik", "ok").alias("later"), F.least("ik", "ok").alias("earlier"))).distinct()
-    texts = rows.select("k", "t").distinct()
-    pairs = pairs.join(texts.toDF("later", "lt"), "later").join(texts.toDF("earlier", "et"), "earlier")
-    # Pairs are few bytes and much work, so their number of tasks is not left to their size.
-    pairs = pairs.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "later", "earlier")
-    match = F.pandas_udf(lambda x, y: pd.Series([measure(p, q) for p, q in zip(x, y, strict=True)], dtype="boolean"), "boolean")
-    return pairs.where(match("lt", "et")).select("later", "earlier")
+        inner = long.select("w", head.alias("h"), F.col("k").alias("ik"), F.col("t").alias("it"))
+        outer = long.select("w", F.explode(F.array_distinct(starts)).alias("h"), F.col("k").alias("ok"), F.col("t").alias("ot"))
+        held = inner.join(outer, ["w", "h"]).where((F.col("ik") != F.col("ok")) & F.expr("contains(ot, it)"))
+        pairs = pairs.unionByName(held.select(F.greatest("ik", "ok").alias("later"), F.least("ik", "ok").alias("earlier")).where(F.expr(later.replace("k", "later")) & F.expr(earlier.replace("k", "earlier"))))
+    return pairs.distinct()
 
 
 def greedy(rows: list[dict], match: Callable[[dict, dict], bool], better: Callable[[dict, dict], bool] | None, moving: bool, same: Callable[[dict], object] | None = None) -> list[dict]:
@@ -133,7 +151,7 @@ def greedy_dedup(df: DataFrame, order: str, pairs: DataFrame, columns: list[str]
 
     ``pairs`` (later, earlier) of order values has every pair that ``match`` can hold for; ``columns`` are
     what ``match`` and ``better`` read.  Rows without a partner are kept without entering Python.  A component
-    is read as a stream in order, and only its leaders are held.
+    is one task's work and is held there, so that this is for batches of bounded size.
     """
     roots = components(pairs.select("later", "earlier"))
     # The least node of a component is its root and has no row of its own there.
@@ -152,29 +170,65 @@ def greedy_dedup(df: DataFrame, order: str, pairs: DataFrame, columns: list[str]
     return alone.unionByName(taken)
 
 
+def first_leaders(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leaders, followers) of the ordered pass over ``pairs`` (later, earlier) of matching rows: (k) of rows
+    with a partner that are kept, and (k, leader) of the others with the first kept row they match.
+
+    Rounds: a row without an undecided earlier partner is kept, what matches a kept row is not.  No group is
+    brought together, so a component of any size is spread over all tasks.
+    """
+    open_ = all_pairs = cut(pairs.distinct())
+    leaders = pairs.select(F.col("later").alias("k")).limit(0)
+    while True:
+        later = open_.select(F.col("later").alias("k")).distinct()
+        kept = cut(open_.select(F.col("earlier").alias("k")).distinct().join(later, "k", "left_anti"))
+        if kept.isEmpty():
+            break
+        leaders = leaders.unionByName(kept)
+        out = cut(open_.join(kept, F.col("earlier") == F.col("k"), "left_semi").select(F.col("later").alias("k")).distinct())
+        left = open_.join(kept, F.col("earlier") == F.col("k"), "left_anti").join(out, F.col("later") == F.col("k"), "left_anti")
+        # Rows that lost all their partners are kept in the end.
+        nxt = cut(left.join(out, F.col("earlier") == F.col("k"), "left_anti"))
+        freed = left.select(F.col("later").alias("k")).distinct().join(nxt.select(F.explode(F.array("later", "earlier")).alias("k")).distinct(), "k", "left_anti")
+        leaders, open_ = leaders.unionByName(cut(freed)), nxt
+    leaders = cut(leaders.distinct())
+    followers = all_pairs.join(leaders, F.col("earlier") == F.col("k"), "left_semi").join(leaders, F.col("later") == F.col("k"), "left_anti")
+    return leaders, followers.groupBy(F.col("later").alias("k")).agg(F.min("earlier").alias("leader"))
+
+
 def dedup_by_title(df: DataFrame, order: str, title: str, least: float = 0.72) -> DataFrame:
     """Rows of which no kept earlier row has a title more than ``least`` alike (Ratcliff-Obershelp)."""
     low = keep_first(df.withColumn("__t", F.lower(F.coalesce(F.col(title), F.lit("")))), [F.col("__t")], [F.col(order)])  # copies share the first one's fate
     # The longest common subsequence bounds the matched letters and is much cheaper.
     alike = lambda later, earlier: indel_text(later, earlier) >= 100 * least - 1e-9 and ratcliff_text(later, earlier) > least
     pairs = similar_pairs(low, order, "__t", alike, least)
-    return greedy_dedup(low, order, pairs, ["__t"], lambda r, u: alike(r["__t"], u["__t"])).drop("__t")
+    followers = first_leaders(pairs)[1]
+    return low.join(followers, F.col(order) == F.col("k"), "left_anti").drop("__t")
 
 
-def dedup_keep_fullest(df: DataFrame, order: str, key: str, title: str, score: Column, least: float = 85.0, held_from: int = 8) -> DataFrame:
+def dedup_keep_fullest(df: DataFrame, order: str, key: str, title: str, score: Column, least: float = 85.0, held_from: int = 8, run: Column | None = None) -> DataFrame:
     """One row of each group of like titles (Indel ratio from ``least`` on, or one holding the other), the
     fullest by ``score``; a row whose key a leader had is skipped.  Later rows are compared with the title
-    of the group's first row, also after it was replaced."""
-    low = df.withColumns({"__t": F.trim(F.lower(F.coalesce(F.col(title), F.lit("")))), "__s": score, "__key": F.col(key).cast("string")})
+    of the group's first row, also after it was replaced.  With ``run`` rows of each run are taken by themselves."""
+    low = df.withColumns({"__t": F.trim(F.lower(F.coalesce(F.col(title), F.lit("")))), "__s": score, "__run": F.coalesce(run.cast("string"), F.lit("")) if run is not None else F.lit("")})
+    low = low.withColumn("__key", F.concat("__run", F.lit("|"), F.col(key).cast("string")))
 
     def alike(a: str, b: str) -> bool:
         return indel_text(a, b) >= least or (len(a) > held_from and len(b) > held_from and (a in b or b in a))
 
-    pairs = similar_pairs(low, order, "__t", alike, least / 100, contained_from=held_from)
-    first = low.groupBy("__key").agg(F.min(order).alias("earlier"))
-    same = low.join(first, "__key").where(F.col(order) > F.col("earlier")).select(F.col(order).alias("later"), "earlier")
-    out = greedy_dedup(low, order, pairs.unionByName(same).distinct(), ["__t", "__s", "__key"], lambda r, u: alike(r["__t"], u["__t"]), lambda r, u: r["__s"] > u["__s"], same=lambda r: r["__key"])
-    return out.drop("__t", "__s", "__key")
+    low = cut(low)
+    pairs = similar_pairs(low, order, "__t", alike, least / 100, within=["__run"], contained_from=held_from)
+    # A row whose key a kept row has is skipped; only rows that match by title compete.
+    rows = low.select(F.col(order).alias("k"), "__key", "__s")
+    same = rows.join(rows.withColumnRenamed("k", "earlier").drop("__s"), "__key").where("k > earlier").select(F.col("k").alias("later"), "earlier")
+    followers = cut(first_leaders(pairs.unionByName(same))[1])
+    held = rows.join(followers.select("k"), "k", "left_anti").groupBy("__key").agg(F.min("k").alias("holder"))
+    skipped = followers.join(rows, "k").join(held, "__key").where("holder < k").select("k")
+    # The fullest of a leader's rows, the first of equals; the leader itself included.
+    joined = followers.join(skipped, "k", "left_anti").unionByName(rows.join(followers, "k", "left_anti").select("k", F.col("k").alias("leader")))
+    best = joined.join(rows, "k").groupBy("leader").agg(F.max_by("k", F.struct("__s", (-F.col("k")).alias("n"))).alias("k"))
+    out = low.join(best, F.col(order) == F.col("k")).withColumn(order, F.col("leader")).select(*low.columns)
+    return out.drop("__t", "__s", "__run", "__key")
 
 
 def dedup_in_band(df: DataFrame, order: str, name: str, day: str, better: Column, days: int = 3, least: float = 0.85, held: float = 0.70) -> DataFrame:

@@ -81,9 +81,13 @@ def runs_within(start_text: Column, end_text: Column, now: Column, weeks: int =
     )
 
 
-def open_ended(title: Column, text: Column) -> Column:
+# Wordings of a run without an end.
+OPEN_ENDED = ["a partir de", "desde el", "permanente", "todo el año", "todo el verano", "hasta nuevo aviso"]
+
+
+def open_ended(title: Column, text: Column, wordings: list[str] | None = None) -> Column:
     """Wording of a run without an end."""
-    return _sure(F.lower(F.concat_ws(" ", title, text)).rlike(r"a\s+partir\s+de|desde\s+el|permanente|todo\s+el\s+(año|verano)|hasta\s+nuevo\s+aviso"))
+    return _sure(F.lower(F.concat_ws(" ", title, text)).rlike("|".join(w.replace(" ", r"\s+") for w in wordings or OPEN_ENDED)))
 
 
 def not_ended(end_text: Column, today: Column) -> Column:

@@ -30,7 +30,7 @@ def match_history(df: DataFrame, history: DataFrame, order: str, key: str, url:
         low = lambda c: F.trim(F.lower(F.coalesce(F.col(c), F.lit(""))))
         left = rest.join(by_url.select(order), order, "left_anti").select(F.col(order).cast("bigint").alias("k"), low(title).alias("t"))
         past = history.select((-F.col(hist_order) - 1).cast("bigint").alias("k"), low(title).alias("t"))
-        pairs = similar_pairs(left.unionByName(past), "k", "t", alike, least / 100, contained_from=held_from).where("later >= 0 and earlier < 0")
+        pairs = similar_pairs(left.unionByName(past), "k", "t", alike, least / 100, contained_from=held_from, later="k >= 0", earlier="k < 0").where("later >= 0 and earlier < 0")
         near = pairs.groupBy(F.col("later").alias(order)).agg((-F.max("earlier") - 1).alias(hist_order))
         out = out.unionByName(near.select(order, hist_order, F.lit(3).alias("tier")))
     return out

@@ -18,18 +18,22 @@ class Topic:
     keywords: tuple[str, ...]
 
 
-def topic_columns(title: Column, text: Column, category: Column, topics: list[Topic], lead: int = 300) -> dict[str, Column]:
-    """``score``: the weights of all matching topics, each once; ``topic`` and ``label``: the one of the
-    greatest weight, the first declared among equals, '' for none."""
+def with_topics(df: DataFrame, title: Column, text: Column, category: Column, topics: list[Topic], lead: int = 300) -> DataFrame:
+    """``df`` with ``score``: the weights of all matching topics, each once; ``topic`` and ``label``: the one of
+    the greatest weight, the first declared among equals, '' for none.
+
+    The text is folded once and every topic matched once, each in a projection of its own.
+    """
     hay = T.haystack(title, category, F.substring(F.coalesce(text, F.lit("")), 1, lead))
+    matched = F.array(*[F.col("__hay").rlike(T.keyword_pattern(list(t.keywords))) for t in topics])
+    df = df.withColumn("__hay", hay).withColumn("__hits", matched)
     score = F.lit(0)
-    for t in topics:
-        score = score + F.when(hay.rlike(T.keyword_pattern(list(t.keywords))), t.weight).otherwise(0)
     name = label = F.when(F.lit(False), F.lit(""))
-    for t in sorted(topics, key=lambda t: -t.weight):
-        hit = hay.rlike(T.keyword_pattern(list(t.keywords)))
+    for i, t in sorted(enumerate(topics), key=lambda x: -x[1].weight):
+        hit = F.col("__hits")[i]
+        score = score + F.when(hit, t.weight).otherwise(0)
         name, label = name.when(hit, F.lit(t.name)), label.when(hit, F.lit(t.label))
-    return {"score": score, "topic": name.otherwise(""), "label": label.otherwise("")}
+    return df.withColumns({"score": score, "topic": name.otherwise(""), "label": label.otherwise("")}).drop("__hay", "__hits")
 
 
 def counted_score(c: Column, high: list[str], medium: list[str]) -> Column:

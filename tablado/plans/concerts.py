@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablado.functions import text as T
 from tablado.functions.dates import card_date_es
 from tablado.operators import dedup, filters
-from tablado.sinks.export import envelope
+from tablado.sinks.export import export_lines
 
 DEFAULTS = {"venue": "", "address": "", "price": "", "buy_link": "", "source": "", "notes": "", "image_url": "", "genre": ""}
 
@@ -44,7 +44,7 @@ def finish(rows: DataFrame, tiers: list[tuple[int, list[str]]]) -> DataFrame:
     return rows.withColumns({"artist": T.title_case(F.col("artist")), "lineup": T.title_case(F.col("lineup")), "taste_score": T.tiered(F.coalesce("genre", F.lit("")), tiers)})
 
 
-def export_concerts(rows: DataFrame, now: Column, today: Column, days: int = 56, most: int = 1000, order: str = "ord") -> DataFrame:
+def export_concerts(rows: DataFrame, now: Column, today: Column, days: int = 56, order: str = "ord") -> DataFrame:
     fields = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("artist", "lineup", "date_str", "venue", "address", "price", "buy_link", "genre", "notes", "image_url")} | {"date_iso": F.coalesce(F.col("date_obj").cast("string"), F.lit("")), "taste_score": F.col("taste_score")}
     extra = {"generated": now.cast("string"), "from_date": today.cast("string"), "to_date": F.date_add(today, days).cast("string")}
-    return envelope(rows, fields, [-F.col("taste_score"), F.col("date_obj"), F.col(order)], extra, "concerts", most)
+    return export_lines(rows.withColumn("__all", F.lit("concerts")), "__all", fields, [-F.col("taste_score"), F.col("date_obj"), F.col(order)], extra).withColumnRenamed("__all", "part")

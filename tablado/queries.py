@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablado.functions import dates as D
+from tablado.functions import listing as L
 from tablado.functions import text as T
 from tablado.io import table
 from tablado.operators import dedup, enrich, filters, history, rank
-from tablado.operators.score import Topic, count_reasons, counted_score, topic_columns
+from tablado.operators.score import Topic, count_reasons, counted_score, with_topics
 from tablado.operators.split_values import delimiter_report, split_values
 from tablado.operators.timestamps import madrid_day, normalise_timestamps, parse_instant_text
 from tablado.plans import concerts as concert_plans
@@ -132,9 +133,9 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "news_articles").select("article_id", T.clean_markup(F.coalesce("description", F.lit(""))).alias("clean"))
 
 
-@query()
+@query(f"SELECT article_id, CASE WHEN description IS NOT NULL THEN {_SQUEEZE.format(f'regexp_replace({_BARE_DESCRIPTION}, {chr(39)}<[^>]+>{chr(39)}, {chr(39) * 2}, {chr(39)}g{chr(39)})')} END AS clean FROM news_articles")
 def clean_markup(spark: SparkSession, d: str) -> DataFrame:
-    """The same with character references resolved first."""
+    """The same with missing descriptions left missing."""
     return table(spark, d, "news_articles").select("article_id", T.clean_markup(F.col("description")).alias("clean"))
 
 
@@ -151,7 +152,7 @@ def _topic_sql() -> str:
 @query(_topic_sql())
 def topic_score(spark: SparkSession, d: str) -> DataFrame:
     """Topic scores and the best topic of every plan."""
-    return table(spark, d, "normalizer").select("row_id", *[c.alias(n) for n, c in topic_columns(F.col("titulo"), F.col("descripcion"), F.col("categoria"), TOPICS).items()])
+    return with_topics(table(spark, d, "normalizer"), F.col("titulo"), F.col("descripcion"), F.col("categoria"), TOPICS).select("row_id", "score", "topic", "label")
 
 
 @query(f"WITH s AS ({_topic_sql()}) SELECT row_id, score, topic FROM s WHERE score >= 5 ORDER BY score DESC, row_id LIMIT 100")
@@ -189,7 +190,7 @@ def category_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 _START, _END = _sql_display_date("fecha_inicio"), _sql_display_date("fecha_fin")
-_OPEN_SQL = "regexp_matches(lower(concat_ws(' ', titulo, descripcion)), 'a\\s+partir\\s+de|desde\\s+el|permanente|todo\\s+el\\s+(año|verano)|hasta\\s+nuevo\\s+aviso')"
+_OPEN_SQL = "regexp_matches(lower(concat_ws(' ', titulo, descripcion)), '" + "|".join(w.replace(" ", "\\s+") for w in filters.OPEN_ENDED) + "')"
 _WINDOW_SQL = f"""CASE WHEN s IS NULL AND e IS NULL THEN true WHEN s IS NULL THEN e >= {TODAY}
     WHEN e IS NULL THEN s <= {TODAY} + INTERVAL 56 DAY AND (s >= {TODAY} OR {TODAY} - s <= 56 OR open_ended)
     ELSE s <= {TODAY} + INTERVAL 56 DAY AND e >= {TODAY} END"""
@@ -568,11 +569,11 @@ PLAN_JUNK_PATTERNS = [
 
 
 def _plans_known(spark: SparkSession, d: str) -> DataFrame:
-    """Plans normalised and filtered, one row each, with their status against history."""
+    """Plans normalised and filtered, one row each in every run (arrival batch), with their status against history."""
     raw = table(spark, d, "normalizer").withColumnRenamed("row_id", "ord")
     proper = plan_plans.normalise(raw, F.expr(TODAY)).where(filters.proper_title(F.col("titulo"), PLAN_JUNK, PLAN_JUNK_PATTERNS))
     chosen = plan_plans.select_plans(proper, F.expr(NOW), TOPICS, REFUSED)
-    return plan_plans.deduplicate(chosen, _plans_past(spark, d))
+    return plan_plans.deduplicate(chosen, _plans_past(spark, d), run=F.col("batch_no"))
 
 
 def _plans_past(spark: SparkSession, d: str) -> DataFrame:
@@ -655,3 +656,165 @@ def venue_without_date(spark: SparkSession, d: str) -> DataFrame:
 def category_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts of each category."""
     return table(spark, d, "normalizer").groupBy(F.col("categoria").alias("category")).agg(F.count("*").alias("n"), F.countDistinct("enlace").alias("pages"), F.sum(F.when(F.coalesce("precio", F.lit("")) == "", 1).otherwise(0)).alias("unpriced"), F.max(F.length("titulo")).alias("longest"))
+
+
+# Prices, categories, notes, places and the viewer's dates.
+
+
+def _sql_any(c: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+@query(
+    f"""SELECT row_id, CASE WHEN {_sql_any("lower(coalesce(precio, ''))", L.FREE_TEXTS)} THEN 'Gratis' WHEN regexp_matches(coalesce(precio, ''), '{L.AMOUNT_SIGN}') THEN regexp_extract(precio, '{L.AMOUNT_SIGN}')
+    WHEN {_sql_any("lower(coalesce(precio, ''))", L.PRICED_WORDS)} THEN 'Consultar' ELSE '' END AS label, CASE WHEN {_sql_any("lower(coalesce(precio, ''))", L.FREE_PRICES)} THEN 'Gratis' ELSE precio END AS canon FROM normalizer"""
+)
+def price_labels(spark: SparkSession, d: str) -> DataFrame:
+    """What every price says: free, an amount, to be asked for; and its one form."""
+    return table(spark, d, "normalizer").select("row_id", L.price_label(F.col("precio")).alias("label"), L.price_canon(F.col("precio")).alias("canon"))
+
+
+# The ordered keyword cascades of categories, by title and then by context.
+BY_TITLE = [
+    ("Exposición", ["exposición", "expo", "muestra", "retrospectiva", "instalación artística"]), ("Museo", ["museo", "sala "]), ("Teatro", ["teatro", "obra de teatro", "función", "representación", "dramaturgia"]),
+    ("Teatro", ["comedia", "monólogo", "humor", "stand-up", "stand up"]), ("Concierto", ["concierto", "actuación musical", "recital"]), ("Festival", ["festival", "feria", "congreso"]),
+    ("Taller", ["taller", "workshop", "curso", "masterclass"]), ("Cine", ["cine", "película", "film", "proyección", "ciclo de cine"]), ("Mercado", ["mercado", "mercadillo", "rastro"]),
+    ("Ruta", ["ruta", "paseo ", "tour "]), ("Gastronomía", ["gastronomía", "gastronómico", "food", "chef"]),
+]
+BY_CONTEXT = [("Experiencia", ["inmersiv", "experiencia interactiva", "escape room"]), ("Teatro", ["teatro", "obra", "escena", "actores"]), ("Exposición", ["exposición", "galería", "pintura", "escultura", "arte"])]
+_TITLED_SQL = "CASE " + " ".join(
+    [f"WHEN starts_with(lower(titulo), '{k.lower()}: ') THEN '{k}'" for k in T.CATEGORIES]
+    + [f"WHEN {_sql_any('lower(titulo)', w)} THEN '{k}'" for k, w in BY_TITLE]
+    + [f"WHEN {_sql_any(chr(108) + 'ower(coalesce(descripcion, ' + chr(39) * 2 + '))', w)} THEN '{k}'" for k, w in BY_CONTEXT]
+) + " ELSE 'Evento' END"
+
+
+@query(f"SELECT row_id, {_TITLED_SQL} AS category FROM normalizer WHERE titulo IS NOT NULL")
+def titled_categories(spark: SparkSession, d: str) -> DataFrame:
+    """The category of every plan by its title, else by its text."""
+    rows = table(spark, d, "normalizer").where("titulo is not null")
+    return rows.select("row_id", L.titled_category(F.col("titulo"), F.col("descripcion"), BY_TITLE, BY_CONTEXT).alias("category"))
+
+
+_NO_PREFIX = "lower(coalesce(titulo, ''))"
+for _k in T.CATEGORIES:
+    _NO_PREFIX = f"replace({_NO_PREFIX}, '{_k.lower()}:', '')"
+
+
+@query(f"SELECT row_id, trim({_NO_PREFIX}) AS title FROM normalizer")
+def titles_without_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Titles as duplicates are compared: in small letters, with no category prefix anywhere."""
+    return table(spark, d, "normalizer").select("row_id", L.without_categories(F.col("titulo")).alias("title"))
+
+
+_NOTES = "coalesce(notes, '') || CASE concert_id % 5 WHEN 0 THEN ' Sold  out' WHEN 1 THEN ' ¡¡ Nueva fecha !!' WHEN 2 THEN ' POSPUESTO' ELSE '' END"
+
+
+@query(
+    f"""WITH n AS (SELECT concert_id, {_NOTES} AS t FROM concerts) SELECT concert_id, CASE WHEN {_sql_any("regexp_replace(lower(t), '[ ]+', ' ', 'g')", L.SOLD_OUT)} THEN 'ENTRADAS AGOTADAS'
+    WHEN contains(t, '¡¡') THEN trim(regexp_extract(t, '¡¡(.+?)!!', 1)) WHEN contains(lower(t), 'pospuesto') THEN 'POSPUESTO' ELSE '' END AS note FROM n"""
+)
+def status_notes(spark: SparkSession, d: str) -> DataFrame:
+    """What every concert's notes say of its state (the modulus adds a wording, all rows stay)."""
+    return table(spark, d, "concerts").select("concert_id", L.status_note(F.expr(_NOTES)).alias("note"))
+
+
+_LISTED = "concat(coalesce(artist, ''), CASE WHEN concert_id % 2 = 0 THEN concat(' (', coalesce(venue, '?'), ')') ELSE ', sala Clamores' END, CASE WHEN concert_id % 3 = 0 THEN ' 12,50 euros gastos incluidos' WHEN concert_id % 3 = 1 THEN ' 20 Euros' ELSE '' END)"
+
+
+@query(
+    f"""WITH l AS (SELECT concert_id, {_LISTED} AS t FROM concerts), p AS (SELECT concert_id, t, trim(regexp_extract(t, '[(]([^)]+)[)]', 1)) AS inside, trim(regexp_extract(t, '(?i)sala +([A-Za-záéíóúü ]+)', 1)) AS after_,
+    regexp_extract(t, '(?i){L.AMOUNT_WORD}', 1) AS amount FROM l)
+    SELECT concert_id, CASE WHEN inside <> '' THEN inside WHEN after_ <> '' THEN 'Sala ' || after_ ELSE '' END AS place, CASE WHEN amount = '' THEN 'Consultar' ELSE amount || '€' || CASE WHEN contains(lower(t), '{L.CHARGES}') THEN ' (gastos incl.)' ELSE '' END END AS price FROM p"""
+)
+def places_and_prices(spark: SparkSession, d: str) -> DataFrame:
+    """The place and the price that a list item states (the moduli choose its form, all rows stay)."""
+    rows = table(spark, d, "concerts").select("concert_id", F.expr(_LISTED).alias("t"))
+    return rows.select("concert_id", L.place_named(F.col("t")).alias("place"), L.price_in_words(F.col("t")).alias("price"))
+
+
+@query(r"SELECT concert_id, trim(regexp_split_to_array(regexp_replace(coalesce(lineup, ''), '(?i)^(gira\s+de|conciertos\s+de|concierto\s+de)\s+', ''), '(?i)\s*\+\s*|\bcon\b')[1]) AS act FROM concerts")
+def main_acts(spark: SparkSession, d: str) -> DataFrame:
+    """The first act of every heading."""
+    return table(spark, d, "concerts").select("concert_id", L.main_act(F.col("lineup"), ["conciertos de", "concierto de", "gira de"]).alias("act"))
+
+
+#: Test vocabulary: words in the names of Spanish sources.
+SPANISH = ["diario", "gaceta", "madrid", "la "]
+
+
+@query(f"SELECT article_id, CASE WHEN {_sql_any(chr(108) + 'ower(coalesce(source, ' + chr(39) * 2 + '))', SPANISH)} THEN 'es' ELSE 'en' END AS spoken FROM news_articles")
+def source_language(spark: SparkSession, d: str) -> DataFrame:
+    """The language that a source's name tells."""
+    return table(spark, d, "news_articles").select("article_id", L.spoken_in(F.col("source"), SPANISH).alias("spoken"))
+
+
+@query("SELECT row_id, substr(coalesce(titulo, ''), 1, 120) AS title, substr(coalesce(descripcion, ''), 1, 400) AS lead FROM normalizer")
+def card_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What a card shows of every plan (the lengths are the card's format)."""
+    return table(spark, d, "normalizer").select("row_id", L.shown(F.col("titulo"), 120).alias("title"), L.shown(F.col("descripcion"), 400).alias("lead"))
+
+
+@query(f"SELECT o_orderkey, date_diff('day', {TODAY}, o_orderdate::DATE + 10000) AS days, date_diff('day', {TODAY}, o_orderdate::DATE + 10000) BETWEEN 0 AND 7 AS urgent, weekofyear(o_orderdate)::INT AS week FROM orders")
+def days_left(spark: SparkSession, d: str) -> DataFrame:
+    """Days to an end, whether that is urgent, and the ISO week."""
+    end = F.date_add(F.to_date("o_orderdate"), 10000)
+    return table(spark, d, "orders").select("o_orderkey", L.days_left(end, F.expr(TODAY)).cast("bigint").alias("days"), L.urgent(end, F.expr(TODAY)).alias("urgent"), F.weekofyear("o_orderdate").alias("week"))
+
+
+_ISO, _FIG, _NAMED = r"(\d{4})-(\d{2})-(\d{2})", r"(\d{1,2})/(\d{1,2})/(\d{4})", r"(\d{1,2})\s+(\w+)\s+(\d{4})"
+_MONTH_ES = "CASE {0} " + " ".join(f"WHEN '{n}' THEN {i}" for i, (a, b) in enumerate(zip(D.MONTHS, D.SHORT_MONTHS, strict=True), 1) for n in (a, b)) + " END"
+
+
+def _sql_shown(c: str) -> str:
+    part = lambda p, g: f"nullif(regexp_extract({c}, '{p}', {g}), '')::INT"
+    return f"CASE WHEN regexp_matches({c}, '{_ISO}') THEN {_sql_day(part(_ISO, 1), part(_ISO, 2), part(_ISO, 3))} WHEN regexp_matches({c}, '{_FIG}') THEN {_sql_day(part(_FIG, 3), part(_FIG, 2), part(_FIG, 1))} WHEN regexp_matches({c}, '{_NAMED}') THEN {_sql_day(part(_NAMED, 3), _MONTH_ES.format(f'lower(regexp_extract({c}, {chr(39)}{_NAMED}{chr(39)}, 2))'), part(_NAMED, 1))} END"
+
+
+@query(f"SELECT row_id, {_sql_shown('fecha_fin')} AS ends, coalesce({_sql_shown('fecha_fin')} < {TODAY}, false) AS ended FROM normalizer")
+def shown_dates(spark: SparkSession, d: str) -> DataFrame:
+    """The viewer's reading of every end date, and whether it is over; unreadable ones never are."""
+    end = L.shown_date(F.col("fecha_fin"))
+    return table(spark, d, "normalizer").select("row_id", end.alias("ends")).select("row_id", "ends", F.coalesce(F.col("ends") < F.expr(TODAY), F.lit(False)).alias("ended"))
+
+
+#: Test vocabulary: words of titles that offer vouchers.
+COUPONS = "coupon|promo code|discount|noche de"
+
+
+@query(f"SELECT article_id FROM news_articles WHERE NOT regexp_matches(coalesce(title, ''), '(?i){COUPONS}')")
+def without_coupons(spark: SparkSession, d: str) -> DataFrame:
+    """Articles whose title offers no voucher."""
+    return table(spark, d, "news_articles").where(~F.coalesce("title", F.lit("")).rlike(f"(?i){COUPONS}")).select("article_id")
+
+
+@query("SELECT row_id, _relevance + CASE WHEN lower(coalesce(precio, '')) IN ('gratis', 'free') THEN 1 ELSE 0 END + CASE WHEN coalesce(_is_new, false) THEN 2 ELSE 0 END AS score, coalesce(_relevance + CASE WHEN lower(coalesce(precio, '')) IN ('gratis', 'free') THEN 1 ELSE 0 END + CASE WHEN coalesce(_is_new, false) THEN 2 ELSE 0 END >= 15, false) AS priority FROM plan_history")
+def tie_breakers(spark: SparkSession, d: str) -> DataFrame:
+    """Relevance with its small bonuses, and what has priority by it."""
+    score = L.bonus(F.col("_relevance"), F.col("precio"), F.col("_is_new"))
+    return table(spark, d, "plan_history").select("row_id", score.alias("score"), F.coalesce(score >= 15, F.lit(False)).alias("priority"))
+
+
+@query("SELECT row_id, array_to_string(list_filter(list_transform(coalesce(points, []), lambda x: trim(x)), lambda x: length(x) > 0), '|') AS points FROM plan_history WHERE coalesce(why_go, '') <> '' OR len(list_filter(list_transform(coalesce(points, []), lambda x: trim(x)), lambda x: length(x) > 0)) > 0")
+def summaries_that_say_something(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries' points trimmed, empty ones out; plans with neither points nor reason are dropped."""
+    points = L.said(F.col("points"))
+    return table(spark, d, "plan_history").where((F.coalesce("why_go", F.lit("")) != "") | (F.size(points) > 0)).select("row_id", F.array_join(points, "|").alias("points"))
+
+
+_WRAPPED = "CASE event_id % 3 WHEN 0 THEN concat('[', event_id, ']') WHEN 1 THEN concat('{\"items\": [', event_id, ', 1], \"n\": 2}') ELSE '{\"n\": 2}' END"
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '[' || event_id || ']' WHEN 1 THEN '[' || event_id || ', 1]' END AS list FROM events")
+def lists_in_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The list of an answer that is one, or that wraps one (the modulus chooses the form, all rows stay)."""
+    return table(spark, d, "events").select("event_id", L.list_inside(F.expr(_WRAPPED)).alias("list"))
+
+
+_BOX = "concat('{{Infobox\\n| name = x\\n| genre = ', coalesce(genre, ''), '\\n| label = y\\n}}')"
+
+
+@query("SELECT concert_id, CASE WHEN coalesce(genre, '') = '' THEN '| label = y' ELSE genre END AS genre FROM concerts")
+def infobox_genres(spark: SparkSession, d: str) -> DataFrame:
+    """The genre out of an information box made of every concert; an empty field reads on to the next line."""
+    return table(spark, d, "concerts").select("concert_id", L.infobox_value(F.expr(_BOX), "genre").alias("genre"))

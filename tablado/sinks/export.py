@@ -17,6 +17,21 @@ def envelope(df: DataFrame, fields: dict[str, Column], order: list[Column], extr
     return listed.select(F.to_json(F.struct(*[c.alias(n) for n, c in extra.items()], F.size("all").alias("count"), F.transform("all", lambda x: x["v"]).alias(name))).alias("json"))
 
 
+def export_lines(df: DataFrame, part: str, fields: dict[str, Column], order: list[Column], extra: dict[str, Column]) -> DataFrame:
+    """(part, place, json): every row of a part as a JSON line in order, behind a head (place 0) with the extra
+    values and the count.  Parts may be of any size: places are counted over sorted partitions.  Parts without
+    rows have no head.
+    """
+    from tablado.operators.rank import numbered
+
+    cols = {f"__o{i}": o for i, o in enumerate(order)} | {"__json": F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))}
+    rows = numbered(df.withColumns(cols).select(part, *cols), [F.col(part), *[F.col(f"__o{i}") for i in range(len(order))]], "__n")
+    heads = rows.groupBy(part).agg(F.min("__n").alias("__first"), F.count("*").alias("count"))
+    items = rows.join(F.broadcast(heads), part).select(part, (F.col("__n") - F.col("__first") + 1).alias("place"), F.col("__json").alias("json"))
+    head = heads.select(part, F.lit(0).cast("bigint").alias("place"), F.to_json(F.struct(*[c.alias(n) for n, c in extra.items()], "count")).alias("json"))
+    return head.unionByName(items)
+
+
 def write_json(envelope_row: DataFrame, path: str) -> None:
     """The envelope as one text file in a folder."""
     envelope_row.coalesce(1).write.mode("overwrite").text(path)

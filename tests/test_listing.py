@@ -10,7 +10,7 @@ from tablado.functions import html as H
 from tablado.functions import text as T
 from tablado.functions.similarity import indel_text, ratcliff_text
 from tablado.operators import dedup, enrich, filters, history, rank
-from tablado.operators.score import Topic, topic_columns
+from tablado.operators.score import Topic, with_topics
 from tablado.sinks import export
 from tablado.sources import extract, feeds, pages
 
@@ -74,7 +74,7 @@ def test_keywords(spark):
     kept = df.where(filters.without_keywords(F.col("t"), F.col("d"), ["golf", "ufc", "en la liga"])).collect()
     assert [r.t for r in kept] == ["ufceta", None]
     topics = [Topic("a", "A", 5, ("comic",)), Topic("b", "B", 5, ("robot",)), Topic("c", "C", 2, ("arte",))]
-    row = spark.createDataFrame([("Comic y robot",)], "t string").select(*[c.alias(n) for n, c in topic_columns(F.col("t"), F.lit(""), F.lit(""), topics).items()]).first()
+    row = spark.createDataFrame([("Comic y robot",)], "t string").transform(lambda x: with_topics(x, F.col("t"), F.lit(""), F.lit(""), topics)).first()
     assert (row.score, row.topic) == (10, "a")
 
 

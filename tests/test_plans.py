@@ -17,7 +17,7 @@ def _tables(spark, at):
     cols = "row_id long, titulo string, descripcion string, enlace string"
     empty = {c: F.lit("") for c in ("precio", "fecha_inicio", "fecha_fin")}
     df = spark.createDataFrame([(i, t, x or f"{words} sala", u) for i, t, x, u in rows], cols)
-    df.withColumns({**empty, "categoria": F.lit("Teatro"), "fuente": F.lit("a"), "_extracted_at": F.lit("2026-11-16T08:00:00")}).write.parquet(f"{at}/normalizer.parquet")
+    df.withColumns({**empty, "batch_no": F.lit(1), "categoria": F.lit("Teatro"), "fuente": F.lit("a"), "_extracted_at": F.lit("2026-11-16T08:00:00")}).write.parquet(f"{at}/normalizer.parquet")
     past = spark.createDataFrame([(1, "Mapas de la sierra nortes", "", "https://b.example/9")], cols).withColumns({**empty, "id": F.lit("other"), "_first_seen": F.lit("2026-01-02T08:00:00"), "_extracted_at": F.lit("2026-01-02T08:00:00")})
     past.write.parquet(f"{at}/plan_history.parquet")
     return str(at)

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablado.io import cut
+
 # Candidate delimiters.
 SIGNS = ["+", "/", ",", "|", ";", "&", "·", "•", "×", "\n", "\t", "\\", "‖", "¦", "●", "▪", "►", "→", "*", "~", "_"]
 #: Signs that occur inside words and so count only between blanks.
@@ -190,16 +192,17 @@ def split_values(
     rows = df.select(F.col(f"`{key}`").alias("k"), F.coalesce(src.cast("string"), F.lit("")).alias("source"), F.col(f"`{field}`").alias("field")).where(F.trim("field") != "")
     fields = rows.select("source", "field").distinct()
     atomise = F.pandas_udf(_atomise, "array<struct<start:int,end:int,quoted:string,delimiter:string>>")
-    fields = fields.withColumn("atoms", atomise("field"))
+    # Read four times below, so it is taken apart once.
+    fields = cut(fields.withColumn("atoms", atomise("field")))
 
     if known is not None:
         names = known.select(known_form(F.col(f"`{known.columns[0]}`")).alias("name")).where(F.col("name") != "").distinct()
         # A known name of s atoms needs spans of up to s atoms only; s comes from all names.
-        longest = names.select(F.size(atomise("name")).alias("s")).agg(F.max("s").alias("longest"))
+        longest = names.select(F.size(atomise("name")).alias("s")).agg(F.max("s")).first()[0] or 1
         spans = (
-            fields.join(F.broadcast(longest))
+            fields
             .withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.size("atoms") - 1, F.lit(0)))))
-            .withColumn("j", F.explode(F.sequence(F.col("i"), F.least(F.size("atoms") - 1, F.col("i") + F.coalesce("longest", F.lit(1)) - 1))))
+            .withColumn("j", F.explode(F.sequence(F.col("i"), F.least(F.size("atoms") - 1, F.col("i") + F.lit(longest - 1)))))
             .where((F.col("j") >= F.col("i")) & (F.size("atoms") > 0))
             .select("source", "field", "i", "j", known_form(F.expr("coalesce(if(i = j, atoms[i].quoted, null), substring(field, atoms[i].start + 1, atoms[j].end - atoms[i].start))")).alias("name"))
         )

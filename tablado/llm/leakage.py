@@ -5,8 +5,9 @@ that any run of GRAM + WINDOW - 1 = 6 equal words shares a fingerprint.  A passa
 with up to one word in ten changed has such a run, so joining the fingerprints finds every one; each hit is
 then extended along its diagonal and measured exactly.
 
-Scale: fingerprints of whole texts are joined on their hash; the items' side is broadcast only up to
-``MAX_BROADCAST`` fingerprints, else the join shuffles.  Only documents with a hit are read a second time.
+Scale: up to ``MAX_BROADCAST`` fingerprints of items (some 50 MB with their texts) are sent to the tasks, and
+whole texts are read, looked up and extended in one pass without a shuffle.  With more items fingerprints are
+joined on their hash, and only documents with a hit are read a second time.
 
 Defined results
     * NULL and empty texts and items, and items shorter than ``LEAST`` words, leak nothing.
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablado.io import cut
+
 GRAM, WINDOW = 5, 2
 LEAST, ONE_IN = 20, 10
 MAX_BROADCAST = 500_000
@@ -106,11 +109,12 @@ def longest_span(doc: np.ndarray, item: np.ndarray, shift: int) -> int:
     at = np.flatnonzero(same)
     if len(at) < LEAST - LEAST // ONE_IN:
         return 0
-    # For ends i < j of equal words: length L = at[j] - at[i] + 1 and L - (j - i + 1) differing words.
-    length = at[None, :] - at[:, None] + 1
-    equal = np.arange(len(at))[None, :] - np.arange(len(at))[:, None] + 1
-    good = (length >= LEAST) & ((length - equal) * ONE_IN <= length)
-    return int(length[good].max()) if good.any() else 0
+    # For ends i <= j of equal words, at most one word in ONE_IN differs if f[j] <= f[i] + 1; the best start of
+    # an end is the first place where the running greatest f reaches that.
+    f = (ONE_IN - 1) * at - ONE_IN * np.arange(len(at))
+    start = np.searchsorted(np.maximum.accumulate(f), f - 1)
+    best = int((at - at[start]).max()) + 1
+    return best if best >= LEAST else 0
 
 
 def _fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -133,6 +137,52 @@ def _fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInPandas(run, f"`{key}` bigint, h bigint, at int")
 
 
+class _Items:
+    """Test items with their fingerprints in order, for a look-up of many hashes at once."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        code = _Coder()
+        self.codes = [(i, code(words_of(t))) for i, t in items]
+        prints = [(h[at].view(np.int64), n, at) for n, (_, c) in enumerate(self.codes) for h in [grams(c)] for at in [winnow(h)]]
+        hashes = np.concatenate([p[0] for p in prints]) if prints else np.empty(0, dtype=np.int64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.numbers = np.concatenate([np.full(len(p[0]), p[1]) for p in prints])[order] if prints else order
+        self.places = np.concatenate([p[2] for p in prints])[order] if prints else order
+
+    def leaks(self, words: np.ndarray) -> list[tuple[int, int]]:
+        """(item, longest passage) of a document."""
+        h = grams(words)
+        at = winnow(h)
+        own = h[at].view(np.int64)
+        a, b = np.searchsorted(self.hashes, own, "left"), np.searchsorted(self.hashes, own, "right")
+        met = np.flatnonzero(b > a)
+        if not len(met):
+            return []
+        # One diagonal of an item a pair, however many fingerprints lie on it.
+        n = b[met] - a[met]
+        which = np.repeat(a[met], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        diagonals = {(int(i), int(s)) for i, s in zip(self.numbers[which], np.repeat(at[met], n) - self.places[which], strict=True)}
+        best: dict[int, int] = {}
+        for i, shift in diagonals:
+            item, codes = self.codes[i]
+            if (k := longest_span(words, codes, shift)) > best.get(item, 0):
+                best[item] = k
+        return list(best.items())
+
+
+def _in_one_pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    """(doc, item, n_words) of (doc, text) rows: fingerprints are looked up and hits extended where a text is read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tests, code = _Items(items), _Coder()
+        for b in batches:
+            out = [(doc, *x) for doc, text in zip(b["doc"], b["text"], strict=True) for x in tests.leaks(code(words_of(text)))]
+            yield pd.DataFrame(out, columns=["doc", "item", "n_words"])
+
+    return docs.mapInPandas(run, "doc bigint, item bigint, n_words int")
+
+
 def leaked_passages(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(doc, item, n_words): every document that contains a passage of an item and the passage's length.
 
@@ -140,31 +190,33 @@ def leaked_passages(docs: DataFrame, doc_key: str, doc_text: str, items: DataFra
     """
     tests = _fingerprints(items.select(F.col(f"`{item_key}`").alias("item"), F.col(f"`{item_text}`").alias("text")), "item", "text")
     tests = tests.select("item", "h", F.col("at").alias("item_at")).distinct()
+    wanted = items.select(F.col(f"`{item_key}`").cast("bigint").alias("item"), F.col(f"`{item_text}`").alias("item_text")).where("item is not null and item_text <> ''")
+    texts = docs.select(F.col(f"`{doc_key}`").cast("bigint").alias("doc"), F.col(f"`{doc_text}`").alias("text")).where("doc is not null and text <> ''")
     if tests.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        tests = F.broadcast(tests)
+        found = _in_one_pass(texts, [(r.item, r.item_text) for r in wanted.distinct().collect()])
+        return found.groupBy("doc", "item").agg(F.max("n_words").alias("n_words"))
     prints = _fingerprints(docs.select(F.col(f"`{doc_key}`").alias("doc"), F.col(f"`{doc_text}`").alias("text")), "doc", "text")
     # A diagonal a row: repeated hits of a pair on the same diagonal are one.
     hits = prints.join(tests, "h").select("doc", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    texts = docs.select(F.col(f"`{doc_key}`").cast("bigint").alias("doc"), F.col(f"`{doc_text}`").alias("text")).where("text <> ''")
     hits = hits.groupBy("doc", "item").agg(F.collect_set("shift").alias("shifts"))  # at most a text's length
-    wanted = items.select(F.col(f"`{item_key}`").cast("bigint").alias("item"), F.col(f"`{item_text}`").alias("item_text"))
-    pairs = hits.join(wanted, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "item_text", "shifts")).alias("near"))
+    # One row a pair of document and item, so that a document or an item with many hits is not brought together;
+    # texts without a hit are left out before they are moved.
+    pairs = cut(hits.join(wanted, "item"))
+    texts = texts.join(pairs.select("doc").distinct(), "doc", "left_semi")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = _Coder()
         memo: dict[str, np.ndarray] = {}
         for b in batches:
             out = []
-            for doc, text, near in zip(b["doc"], b["text"], b["near"], strict=True):
+            for doc, item, text, item_text, shifts in zip(b["doc"], b["item"], b["text"], b["item_text"], b["shifts"], strict=True):
                 words = code(words_of(text))
-                for x in near:
-                    if (item := memo.get(x["item_text"])) is None:
-                        if len(memo) > 5_000:
-                            memo.clear()
-                        item = memo[x["item_text"]] = code(words_of(x["item_text"]))
-                    n = max(longest_span(words, item, int(s)) for s in x["shifts"])
-                    if n:
-                        out.append((doc, x["item"], n))
+                if (codes := memo.get(item_text)) is None:
+                    if len(memo) > 5_000:
+                        memo.clear()
+                    codes = memo[item_text] = code(words_of(item_text))
+                if n := max(longest_span(words, codes, int(s)) for s in shifts):
+                    out.append((doc, item, n))
             yield pd.DataFrame(out, columns=["doc", "item", "n_words"])
 
     found = texts.join(pairs, "doc").mapInPandas(extend, "doc bigint, item bigint, n_words int")

@@ -317,7 +317,9 @@ def test_usable():
 # 8. Leakage.
 
 
-def test_leakage_finds_every_passage(spark):
+@pytest.mark.parametrize("bound", [500_000, 3])
+def test_leakage_finds_every_passage(spark, monkeypatch, bound):
+    monkeypatch.setattr(leakage, "MAX_BROADCAST", bound)
     rng = random.Random(6)
     words = ["w" + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
     items = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(8)] + [(98, ""), (99, None)]
@@ -340,6 +342,17 @@ def test_leakage_finds_every_passage(spark):
     assert leakage.leaked_passages(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").count() == 0
 
 
+def test_longest_span_against_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        item = rng.integers(0, 1 << 40, 70).astype(np.uint64)
+        doc = item.copy()
+        doc[rng.random(70) < rng.choice([0.03, 0.1, 0.2])] = 1
+        at = np.flatnonzero(doc == item)
+        want = max((b - a + 1 for i, a in enumerate(at) for j, b in enumerate(at[i:], i) if (b - a + 1 - (j - i + 1)) * 10 <= b - a + 1), default=0)
+        assert leakage.longest_span(doc, item, 0) == (want if want >= leakage.LEAST else 0)
+
+
 def test_winnow_guarantee():
     rng = np.random.default_rng(0)
     for _ in range(200):

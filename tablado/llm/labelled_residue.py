@@ -1,7 +1,7 @@
 """Hand-labelled sentences: residue by family, and prose that only mentions, quotes or explains such things.
 
-All lists are fixed values: example sentences as they stand in texts.  Numbers, proper names and the inside of
-placeholders are slots and carry no weight.
+All lists are fixed values: example sentences as they stand in texts.  Numbers, proper names (``{name}``) and the inside
+of placeholders are slots and carry no weight.
 """
 
 RESIDUE = {
@@ -26,9 +26,9 @@ RESIDUE = {
     "error": [
         "404 Not Found — the requested event page could not be located", "503 Service Unavailable: backend fetch failed", "502 Bad Gateway", "500 Internal Server Error", "Error 504 al abrir /planes/",
         "Error interno del servidor (500)", "Fatal error: Uncaught TypeError in /agenda/plan.php on line 88", "Warning: undefined index 'sala' in /srv/agenda/30/ficha.php", "Tiempo de espera agotado al conectar con la base de datos",
-        "Acceso denegado.", "No tienes permiso para ver este plan.", "Demasiadas peticiones desde tu dirección.", "La sesión ha caducado, inicia sesión otra vez", "La ficha de Ana Ruiz ya no está publicada.", "Prueba con el buscador.",
-        "404: no encontramos lo que buscas en Madrid", "La página que buscas no existe o ha cambiado de sitio.", "This listing is no longer available.", "Please return to the home page.", "Oops! The server answered 503 for this concert.", "The server answered 404 for this concert.", "Go back",
-        "HTTP 404 - Ana Ruiz no disponible", "Código de incidencia: a9f3", "Lo sentimos, el servidor no está disponible.", "Lo sentimos, este plan no responde", "Lo sentimos, la ficha del concierto ha dejado de existir en nuestra web", "Lo sentimos, el servidor no se ha encontrado",
+        "Acceso denegado.", "No tienes permiso para ver este plan.", "Demasiadas peticiones desde tu dirección.", "La sesión ha caducado, inicia sesión otra vez", "La ficha de {name} ya no está publicada.", "Prueba con el buscador.",
+        "404: no encontramos lo que buscas en {name}", "La página que buscas no existe o ha cambiado de sitio.", "This listing is no longer available.", "Please return to the home page.", "Oops! The server answered 503 for this concert.", "The server answered 404 for this concert.", "Go back",
+        "HTTP 404 - {name} no disponible", "Código de incidencia: a9f3", "Lo sentimos, el servidor no está disponible.", "Lo sentimos, este plan no responde", "Lo sentimos, la ficha del concierto ha dejado de existir en nuestra web", "Lo sentimos, el servidor no se ha encontrado",
         "Ups, la página solicitada no está disponible", "Vaya, este plan ha dejado de existir en nuestra web.", "Vaya, la ficha del concierto no responde", "Atención, el servidor no está disponible", "Atención, la página solicitada no se ha encontrado", "Vaya, el servidor no responde.",
         "Estamos de mantenimiento.", "La agenda volverá pronto.", "Sitio en mantenimiento, vuelve más tarde.", "We are down for maintenance.", "Access denied.", "Page not found.", "Something went wrong, please try again later.", "Too many requests.", "Your session has expired, log in again.",
     ],
@@ -46,9 +46,9 @@ RESIDUE = {
 MENTIONS = [
     "El museo cerró por mantenimiento el lunes y reabrió el martes con las salas recién pintadas.", "Una charla sobre tipografía recuerda que el Lorem ipsum nació como texto de relleno para impresores.",
     "En el curso de programación se explica por qué JavaScript sigue siendo la lengua común del navegador.", "El taller enseña a escribir plantillas: quien ponga {{ titulo }} entre llaves verá aparecer el título de cada obra.",
-    "La poeta Ana Ruiz copia a mano el aviso que pide activar los scripts y lo convierte en una canción sobre sal.", "Ana Ruiz abre su novela con un ordenador que repite undefined hasta que alguien le contesta.",
-    "La compañía Ana Ruiz estrena Acceso denegado, una comedia sobre puertas que no se abren.", "El archivo guarda los carteles con nombres como [[SALA]] o %%NOMBRE%%, un sistema que Ana Ruiz inventó para catalogar semillas.",
-    "Cada asistente recibe una tarjeta con las palabras [tu nombre aquí] bordadas en hilo, obra de Ana Ruiz.", "Visitors laugh at the sign reading Your city here, painted by Ana Ruiz on a wall of glass.",
-    "The essay asks why Ana Ruiz named the album Page Not Found and printed a fake server error on the sleeve.", "La muestra «Error 404» reúne carteles de páginas perdidas que Ana Ruiz fotografió durante años.",
+    "La poeta {name} copia a mano el aviso que pide activar los scripts y lo convierte en una canción sobre sal.", "{name} abre su novela con un ordenador que repite undefined hasta que alguien le contesta.",
+    "La compañía {name} estrena Acceso denegado, una comedia sobre puertas que no se abren.", "El archivo guarda los carteles con nombres como [[SALA]] o %%NOMBRE%%, un sistema que {name} inventó para catalogar semillas.",
+    "Cada asistente recibe una tarjeta con las palabras [tu nombre aquí] bordadas en hilo, obra de {name}.", "Visitors laugh at the sign reading Your city here, painted by {name} on a wall of glass.",
+    "The essay asks why {name} named the album Page Not Found and printed a fake server error on the sleeve.", "La muestra «Error 404» reúne carteles de páginas perdidas que {name} fotografió durante años.",
     "El ensayo explica que los huecos como {{nombre}} marcan en una plantilla lo que falta por rellenar.", "The lecture explains what placeholders such as {{name}} mean in a template.", "El robot del escenario pregunta a cada espectador si es una persona.",
 ]

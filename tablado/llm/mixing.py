@@ -70,12 +70,8 @@ def _thresholds(sized: DataFrame, rests: dict[str, float]) -> dict[str, int]:
             break
         rows = sized
         if level:
-            at = F.expr(f"shiftright(h, {63 - BITS * level})")
-            inside = None
-            for s, (prefix, _) in open_.items():
-                one = (F.col("source") == s) & (at == prefix)
-                inside = one if inside is None else inside | one
-            rows = rows.where(inside)
+            wanted = sized.sparkSession.createDataFrame([(s, prefix) for s, (prefix, _) in open_.items()], "source string, prefix bigint")
+            rows = rows.join(F.broadcast(wanted), "source").where(F.expr(f"shiftright(h, {63 - BITS * level})") == F.col("prefix"))
         counted = rows.where(F.col("source").isin(*open_)).groupBy("source", _bucket(level).alias("b")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()
         by: dict[str, list] = {}
         for r in counted:

@@ -5,10 +5,9 @@ order, and each is compared with the leaders kept so far.  Greedy on the whole e
 connected component of the match relation, so the plan is: matching pairs are found first, and the pass
 is then settled in rounds over the pairs.
 
-Candidate pairs: the rows that ask are taken in blocks of ``QUERY_ROWS``, each against all rows.  What is
-matched is in both texts, so the difference of their letters as multisets bounds the likeness; that bound is
-computed for a row against a whole block at once, and only what passes is measured.  The work is still
-rows x rows, at some nanoseconds a pair: it is meant for batches (a crawl's rows), not for a corpus.
+Candidate pairs: rows are dealt into blocks of ``BLOCK_ROWS``, and every two blocks meet in a task of their own
+(``functions.blocks``); nothing is collected.  The work is still rows x rows, at some nanoseconds a pair: it is
+meant for batches (a crawl's rows), not for a corpus.
 
 Defined results
     * NULL texts count as ''.  Ties in order are broken by the key columns given as order; order must be total.
@@ -17,20 +16,20 @@ Defined results
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablado.functions.blocks import Block, held, like
 from tablado.functions.similarity import indel_text, ratcliff_text
 from tablado.io import cut
 from tablado.operators.graph import components
 
-#: Rows that ask at a time; their texts are sent to every task.
-QUERY_ROWS = 20_000
+#: Rows of a block; a row is sent to as many tasks as the other side has blocks.
+BLOCK_ROWS = 20_000
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -54,71 +53,49 @@ def completeness(text: Column, weighted: list[tuple[Column, int]]) -> Column:
     return out
 
 
-def _bags(texts: list[str]) -> np.ndarray:
-    """How often each text has each of 32 classes of letters."""
-    out = np.zeros((len(texts), 32), dtype=np.int16)
-    for i, t in enumerate(texts):
-        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) & 31, minlength=32)
-    return out
-
-
-class _Queries:
-    """Texts in order of length, with their letters."""
-
-    def __init__(self, keys: list[int], texts: list[str], within: list[str]) -> None:
-        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-        self.texts = [texts[i] for i in order]
-        self.keys = np.array([keys[i] for i in order], dtype=np.int64)
-        self.codes: dict[str, int] = {}
-        self.within = np.array([self.codes.setdefault(within[i], len(self.codes)) for i in order], dtype=np.int64)
-        self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
-        self.bags = _bags(self.texts)
-
-    def near(self, key: int, bag: np.ndarray, length: int, within: str, least: float) -> np.ndarray:
-        """Places of the queries with a greater key whose letters allow a likeness of ``least``."""
-        ratio = least / (2 - least)
-        a, b = np.searchsorted(self.lengths, [math.floor(length * ratio - 1e-9), math.ceil(length / ratio + 1e-9) + 1])
-        good = np.abs(self.bags[a:b] - bag).sum(1) <= (1 - least) * (self.lengths[a:b] + length) + 1e-9
-        good &= (self.keys[a:b] > key) & (self.within[a:b] == self.codes.get(within, -1))
-        return np.flatnonzero(good) + a
-
-
 def similar_pairs(df: DataFrame, key: str, text: str, measure: Callable[[str, str], bool], least: float, *, within: list[str] | None = None, contained_from: int | None = None, later: str = "true", earlier: str = "true") -> DataFrame:
     """(later, earlier): pairs of keys whose texts match under ``measure(later, earlier)``, later > earlier.
 
     ``least`` is a lower bound of the likeness (0 to 1) of matching pairs, ``within`` columns that must be
-    equal.  With ``contained_from`` pairs of which one text (longer than it) holds the other are compared too:
-    those meet on the start of the shorter, as nothing bounds their lengths.  ``later`` and ``earlier`` are
-    conditions on the key ``k`` of either side, so that two tables meet without pairs of their own.
+    equal.  With ``contained_from`` pairs of which one text (longer than it) holds the other are compared too.
+    ``later`` and ``earlier`` are conditions on the key ``k`` of either side, so that two tables meet without
+    pairs of their own.
     """
     rows = df.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in within or []]).alias("w"))
-    rows = cut(rows)
-    asking = rows.where(later)
-    blocks = -(-asking.count() // QUERY_ROWS)
-    # A row is a small task's work, whatever its size.
-    spread = rows.where(earlier).repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
-    pairs = spread.select(F.col("k").alias("later"), F.col("k").alias("earlier")).limit(0)
-    for n in range(blocks):
-        block = asking.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == n).collect()  # some QUERY_ROWS
-
-        def run(batches: Iterator[pd.DataFrame], block: list = block) -> Iterator[pd.DataFrame]:
-            q = _Queries([r.k for r in block], [r.t for r in block], [r.w for r in block])
-            for b in batches:
-                out = []
-                for k, t, w, bag in zip(b["k"], b["t"], b["w"], _bags(b["t"].tolist()), strict=True):
-                    out += [(int(q.keys[i]), k) for i in q.near(k, bag, len(t), w, least) if measure(q.texts[i], t)]
-                yield pd.DataFrame(out, columns=["later", "earlier"], dtype="int64")
-
-        pairs = pairs.unionByName(spread.mapInPandas(run, "later bigint, earlier bigint"))
-    if contained_from is not None:
-        long = rows.where(F.length("t") > contained_from)
-        head = F.substring("t", 1, contained_from + 1)
-        starts = F.transform(F.sequence(F.lit(1), F.length("t") - contained_from), lambda i: F.substring(F.col("t"), i, F.lit(contained_from + 1)))
-        inner = long.select("w", head.alias("h"), F.col("k").alias("ik"), F.col("t").alias("it"))
-        outer = long.select("w", F.explode(F.array_distinct(starts)).alias("h"), F.col("k").alias("ok"), F.col("t").alias("ot"))
-        held = inner.join(outer, ["w", "h"]).where((F.col("ik") != F.col("ok")) & F.expr("contains(ot, it)"))
-        pairs = pairs.unionByName(held.select(F.greatest("ik", "ok").alias("later"), F.least("ik", "ok").alias("earlier")).where(F.expr(later.replace("k", "later")) & F.expr(earlier.replace("k", "earlier"))))
-    return pairs.distinct()
+    rows = cut(rows.withColumns({"a": F.expr(later), "b": F.expr(earlier)}).where("a or b"))
+    # Blocks of BLOCK_ROWS on either side of each group; every two of them meet in one task.
+    count = lambda c: F.ceil(F.count_if(c) / BLOCK_ROWS).cast("int")
+    sizes = rows.groupBy("w").agg(count("a").alias("na"), count("b").alias("nb"), (F.count_if("a") + F.count_if("b") == 2 * F.count_if(F.col("a") & F.col("b"))).alias("one"))
+    placed = rows.join(sizes.where("na > 0 and nb > 0"), "w")
+    own = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # A table that meets itself has each two blocks once; rows of the block i are the left ones.
+    other = F.when(F.col("one"), F.filter(upto("nb"), lambda j: j >= own("na"))).otherwise(upto("nb"))
+    one = F.when(F.col("one"), F.filter(upto("na"), lambda i: i < own("nb"))).otherwise(upto("na"))
+    same = F.col("one")
+    left = placed.where("a").select("w", own("na").alias("i"), F.explode(other).alias("j"), F.lit(True).alias("left"), "one", "k", "t")
+    right = placed.where("b").select("w", F.explode(one).alias("i"), own("nb").alias("j"), F.lit(False).alias("left"), same, "k", "t")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf[pdf["left"]]
+        itself = bool(pdf["one"].iloc[0]) and pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        second = first if itself else pdf[~pdf["left"]]
+        x, y = Block(first["k"], first["t"]), Block(second["k"], second["t"])
+        found = like(x, y, least)
+        if contained_from is not None:
+            found = np.unique(np.concatenate([found, held(x, y, contained_from), held(y, x, contained_from)[:, ::-1]]), axis=0)
+        k, m = x.keys[found[:, 0]], y.keys[found[:, 1]]
+        good = k != m if pdf["one"].iloc[0] and not itself else k > m
+        out = []
+        for p, q, n, o in zip(*found[good].T.tolist(), k[good].tolist(), m[good].tolist(), strict=True):
+            if measure(x.texts[p], y.texts[q]) if n > o else measure(y.texts[q], x.texts[p]):
+                out.append((max(n, o), min(n, o)))
+        return pd.DataFrame(out, columns=["later", "earlier"], dtype="int64")
+
+    # As many tasks as there are pairs of blocks, so that one holds few of them.
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, min(sizes.agg(F.sum(F.col("na") * F.col("nb"))).first()[0] or 0, 10_000))
+    met = left.unionByName(right).repartition(tasks, "w", "i", "j")
+    return met.groupBy("w", "i", "j").applyInPandas(run, "later bigint, earlier bigint").distinct()
 
 
 def greedy(rows: list[dict], match: Callable[[dict, dict], bool], better: Callable[[dict, dict], bool] | None, moving: bool, same: Callable[[dict], object] | None = None) -> list[dict]:

@@ -4,7 +4,9 @@ import random
 
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
+from test_plans import _tables
 
+from tablado import queries
 from tablado.functions.blocks import Block, held, like
 from tablado.functions.similarity import indel_text
 from tablado.operators import dedup, history
@@ -62,3 +64,10 @@ def test_blocks_leave_nothing_out(least, size):
     assert {(i, j) for i, j in like(a, b, least).tolist() if alike(a.texts[i], b.texts[j])} == {(i, j) for i, t in enumerate(a.texts) for j, u in enumerate(b.texts) if alike(t, u)}
     for x in (a, b):
         assert {tuple(p) for p in held(a, x, 8).tolist()} == {(i, j) for i, t in enumerate(a.texts) for j, u in enumerate(x.texts) if len(t) > 8 and t in u and (x is not a or i != j)}
+
+
+@pytest.mark.parametrize("query", ["plans_pipeline"])
+def test_queries_of_plans_collect_nothing(spark, tmp_path, to_driver, query):
+    d = _tables(spark, tmp_path)
+    assert len(list(queries.QUERIES[query](spark, d).toLocalIterator())) > 0
+    assert max(to_driver) <= 1

@@ -66,7 +66,7 @@ def test_blocks_leave_nothing_out(least, size):
         assert {tuple(p) for p in held(a, x, 8).tolist()} == {(i, j) for i, t in enumerate(a.texts) for j, u in enumerate(x.texts) if len(t) > 8 and t in u and (x is not a or i != j)}
 
 
-@pytest.mark.parametrize("query", ["plans_pipeline"])
+@pytest.mark.parametrize("query", ["plans_pipeline", "fuzzy_dedup_plans"])
 def test_queries_of_plans_collect_nothing(spark, tmp_path, to_driver, query):
     d = _tables(spark, tmp_path)
     assert len(list(queries.QUERIES[query](spark, d).toLocalIterator())) > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,18 +23,27 @@ def with_topics(df: DataFrame, title: Column, text: Column, category: Column, to
     """``df`` with ``score``: the weights of all matching topics, each once; ``topic`` and ``label``: the one of
     the greatest weight, the first declared among equals, '' for none.
 
-    The text is folded once and every topic matched once, each in a projection of its own.
+    The text is folded once and every topic matched once, also where a filter on the score is pushed below its
+    column: what is used several times is bound by ``_with``.  Patterns are run where a keyword stands at all.
     """
     hay = T.haystack(title, category, F.substring(F.coalesce(text, F.lit("")), 1, lead))
-    matched = F.array(*[F.col("__hay").rlike(T.keyword_pattern(list(t.keywords))) for t in topics])
-    df = df.withColumn("__hay", hay).withColumn("__hits", matched)
-    score = F.lit(0)
-    name = label = F.when(F.lit(False), F.lit(""))
-    for i, t in sorted(enumerate(topics), key=lambda x: -x[1].weight):
-        hit = F.col("__hits")[i]
-        score = score + F.when(hit, t.weight).otherwise(0)
-        name, label = name.when(hit, F.lit(t.name)), label.when(hit, F.lit(t.label))
-    return df.withColumns({"score": score, "topic": name.otherwise(""), "label": label.otherwise("")}).drop("__hay", "__hits")
+    hits = _with(hay, lambda h: F.array(*[T.contains_any(h, T.folded_keywords(list(t.keywords))) & h.rlike(T.keyword_pattern(list(t.keywords))) for t in topics]))
+
+    def found(x: Column) -> Column:
+        score = F.lit(0)
+        name = label = F.when(F.lit(False), F.lit(""))
+        for i, t in sorted(enumerate(topics), key=lambda y: -y[1].weight):
+            score = score + F.when(x[i], t.weight).otherwise(0)
+            name, label = name.when(x[i], F.lit(t.name)), label.when(x[i], F.lit(t.label))
+        return F.struct(score.alias("score"), name.otherwise("").alias("topic"), label.otherwise("").alias("label"))
+
+    df = df.withColumn("__found", _with(hits, found))
+    return df.withColumns({c: F.col(f"__found.{c}") for c in ("score", "topic", "label")}).drop("__found")
+
+
+def _with(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` uses it and wherever the optimizer moves it."""
+    return F.transform(F.array(c), lambda x: f(x))[0]
 
 
 def counted_score(c: Column, high: list[str], medium: list[str]) -> Column:

@@ -38,9 +38,10 @@ def score(plans: DataFrame, topics: list[Topic]) -> DataFrame:
 
 def select_plans(plans: DataFrame, now: Column, topics: list[Topic], refused: list[str], *, least_score: int = 2, weeks: int = 8) -> DataFrame:
     """Scored plans that say enough, use no refused word and touch the coming weeks."""
-    keeps = (F.col("score") >= least_score) & filters.without_words(F.col("titulo"), F.col("descripcion"), refused)
+    without = filters.without_words(F.col("titulo"), F.col("descripcion"), refused)
     window = filters.runs_within(F.col("fecha_inicio"), F.col("fecha_fin"), now, weeks, filters.open_ended(F.col("titulo"), F.col("descripcion")))
-    return score(plans, topics).where(keeps & window)
+    # What costs least comes first.
+    return score(plans.where(window & without), topics).where(F.col("score") >= least_score)
 
 
 def deduplicate(plans: DataFrame, past: DataFrame, order: str = "ord", *, hist_order: str = "hist_ord", with_titles: bool = True, run: Column | None = None) -> DataFrame:

@@ -23,6 +23,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,7 +45,35 @@ _NAMES = re.compile(r"\b[A-ZÁÉÍÓÚÑ][^\W\d_]+ [A-ZÁÉÍÓÚÑ][^\W\d_]+")
 _TITLE_PARTS = re.compile(r"\s+(?:»|::|\||-|–|—|·|>|›|@|•)\s+")
 
 
+class _Odd(Exception):
+    """A piece of text with a sign that is a digit only by some measures."""
+
+
+class _Pieces(dict):
+    """The folded words of a piece of text without blanks, numbers as "0"; most pieces recur, so they are kept."""
+
+    def __missing__(self, piece: str) -> tuple[str, ...]:
+        found = _WORD.findall(unaccented(piece))
+        digits = [w.isdigit() for w in found]
+        if any(d and not _DIGIT.match(w) for w, d in zip(found, digits, strict=True)):
+            raise _Odd
+        if len(self) > 200_000:
+            self.clear()
+        words = self[piece] = tuple("0" if d else w for w, d in zip(found, digits, strict=True))
+        return words
+
+
+_words_of = _Pieces().__getitem__
+
+
 def _words(text: str) -> list[str]:
+    try:
+        return list(chain.from_iterable(map(_words_of, text.split())))  # no word reaches over a blank
+    except _Odd:
+        return _words_at_once(text)
+
+
+def _words_at_once(text: str) -> list[str]:
     folded = unaccented(text)
     words = _WORD.findall(folded)
     return ["0" if w.isdigit() else w for w in words] if _DIGIT.search(folded) else words

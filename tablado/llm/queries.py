@@ -17,7 +17,7 @@ from tablado.llm.leakage import leaked_passages
 from tablado.llm.mixing import mix
 from tablado.llm.plan_keys import page_key
 from tablado.llm.residue import residue_documents
-from tablado.llm.survivors import MEASURED, best_values, measured
+from tablado.llm.survivors import MEASURED, best_values, measured, measured_rows
 from tablado.operators.timestamps import madrid_day, normalise_timestamps, parse_instant_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,14 +41,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 MERGED_AT_ONCE = 30
 
 
-def _apart(spark: SparkSession, d: str, model: Model, more: Callable | None = None, schema: str = "", keep: list[str] | None = None, read: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _apart(spark: SparkSession, d: str, model: Model) -> tuple[DataFrame, DataFrame]:
     """Rows of plan_history and of normalizer with their keys, the latter with their batch."""
     history, rows, sources = table(spark, d, "plan_history"), table(spark, d, "normalizer"), table(spark, d, "source_catalog")
     parser = title_parser(history.select("titulo"), rows.select("titulo"), history.select("categoria"), table(spark, d, "venue_catalog").select("venue_id", "name"), model)
     listings = {page_key(r.url) for r in sources.select("url").where("url <> ''").distinct().collect()}
     cols = lambda df, *rest: df.select("row_id", "id", F.col("enlace").alias("page"), F.col("titulo").alias("title"), *rest)
-    keep = keep or []
-    return take_apart(cols(history), parser, listings), take_apart(cols(rows, "batch_no", *keep, *(read or [])), parser, listings, more, schema, ["batch_no", *keep])
+    return take_apart(cols(history), parser, listings), take_apart(cols(rows, "batch_no"), parser, listings, keep=["batch_no"])
 
 
 def _plans(spark: SparkSession, history: DataFrame, rows: DataFrame) -> DataFrame:
@@ -112,21 +111,33 @@ def _best(spark: SparkSession, d: str) -> DataFrame:
     dictionary = Dictionary(*source_names(table(spark, d, "normalizer"), "fuente", sources, "source_id", "name"), SOURCE_DECORATIONS + url_sections(sources, "url"))
     trust = {r.source_id: r.trust or 0 for r in sources.select("source_id", "trust").collect()}
 
-    def more(b: pd.DataFrame) -> pd.DataFrame:
-        """What a row's values are worth, read in the pass that takes titles apart."""
-        said = [trust.get(dictionary.match(v), 0) if v else 0 for v in b["fuente"]]
-        return measured(b["title"], b["descripcion"], b["precio"], model).assign(trust=said)
+    known: dict[str, int] = {}
 
-    # The texts are read once, and no text is moved: what competes is numbers.
-    history, rows = _apart(spark, d, model, more, f"{MEASURED}, trust int", ["fecha_inicio", "fecha_fin", "_extracted_at"], ["fuente", "descripcion", "precio"])
-    rows = cut(rows)
-    roots = _plans(spark, cut(history), rows)
-    at = parse_instant_text(F.col("_extracted_at"))
-    own = rows.select("row_id", "length", "priced", "trust", "fecha_inicio", "fecha_fin", at.alias("at"), F.coalesce(F.unix_micros(at), F.lit(0).cast("bigint")).alias("seen"))
+    def trusted(source: str | None) -> int:
+        """The trust of a source, however its name is spelled; names recur."""
+        if not source:
+            return 0
+        if (hit := known.get(source)) is None:
+            if len(known) > 100_000:
+                known.clear()
+            hit = known[source] = trust.get(dictionary.match(source), 0)
+        return hit
+
+    def worth(b: pd.DataFrame) -> pd.DataFrame:
+        return measured(b["titulo"], b["descripcion"], b["precio"], model).assign(trust=[trusted(v) for v in b["fuente"]])
+
+    history, rows = (cut(x) for x in _apart(spark, d, model))
     # A plan is named by its root until its rows are known; hot plans are counted by partial aggregation.
-    named = own.join(roots, "row_id", "left").withColumn("root", F.coalesce("first_row_id", "row_id")).drop("first_row_id")
-    plans = named.groupBy("root").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n")).where("n > 1").select("root", "first_row_id")
-    named = cut(named.join(plans, "root"))
+    rooted = rows.select("row_id").join(_plans(spark, history, rows), "row_id", "left").select("row_id", F.coalesce("first_row_id", "row_id").alias("root"))
+    plans = rooted.groupBy("root").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n")).where("n > 1").select("root", "first_row_id")
+    members = cut(rooted.join(plans, "root").select("row_id", "first_row_id").distinct())
+    # Texts are read for the rows of these plans only and not moved: what competes is numbers.
+    kept = ["fecha_inicio", "fecha_fin", "_extracted_at"]
+    texts = table(spark, d, "normalizer").select("row_id", *kept, "titulo", "descripcion", "precio", "fuente")
+    own = measured_rows(texts, members.select("row_id"), worth, f"{MEASURED}, trust int", kept)
+    at = parse_instant_text(F.col("_extracted_at"))
+    own = own.withColumns({"at": at, "seen": F.coalesce(F.unix_micros(at), F.lit(0).cast("bigint"))}).drop("_extracted_at")
+    named = cut(own.join(members, "row_id"))
     keys = ["first_row_id", "row_id", "trust", "seen"]
     entry = lambda name, usable, size: F.struct(F.lit(name).alias("field_name"), usable.alias("usable"), size.alias("size"))
     texts = named.select(*keys, F.explode(F.array(entry("descripcion", F.col("length").isNotNull(), F.coalesce("length", F.lit(0))), entry("precio", F.col("priced"), F.lit(0)))).alias("x")).where("x.usable")

@@ -14,8 +14,11 @@ Defined results
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,14 @@ NO_DESCRIPTION = {
 FREE = re.compile(r"\b(?:gratis|gratuit[oa]s?|entrada libre|acceso libre|libre|free|sin coste|invitacion)\b")
 
 
+_PLAIN = re.compile("[A-Za-z0-9]+")
+_LONGEST = max(map(len, NO_DESCRIPTION))
+
+
 def usable_text(text: str) -> bool:
     """Whether a main text says something: no bare sign and no notice that there is no description yet."""
+    if sum(map(len, _PLAIN.findall(text, 0, 4 * _LONGEST))) > _LONGEST:  # longer than every notice, however it is folded
+        return True
     t = fold(text).strip(" .…!¡-–—*•[]()")
     return len(re.sub(r"[\W_]", "", t)) >= 2 and t not in NO_DESCRIPTION
 
@@ -55,6 +64,52 @@ def measured(titles: pd.Series, descriptions: pd.Series, prices: pd.Series, mode
     return pd.DataFrame({"length": pd.array(lengths, dtype="Int32"), "priced": [states_price(p) for p in prices]}, index=titles.index)
 
 
+#: The most bits of a sieve (16 MB, sent with the function) and the bits for each key that are aimed at.
+SIEVE_BITS, BITS_A_KEY = 1 << 27, 16
+
+
+class Sieve:
+    """Lets all rows through whose key is in a set, and few others, so that their texts are read but not joined.
+
+    A bit for each hash of a key; beyond ``SIEVE_BITS`` / ``BITS_A_KEY`` keys more rows pass, none is lost.
+    """
+
+    def __init__(self, keys: DataFrame) -> None:
+        name = keys.columns[0]
+        wanted = BITS_A_KEY * max(64, keys.count())
+        self.bits = min(SIEVE_BITS, 1 << (wanted - 1).bit_length())
+        at = keys.select(self.place(name).alias("h"))
+        words = at.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toPandas()
+        self.words = np.zeros(self.bits >> 6, dtype=np.int64)
+        self.words[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
+
+    def place(self, key: str) -> Column:
+        return F.xxhash64(key).bitwiseAND(F.lit(self.bits - 1))
+
+    def passes(self, places: np.ndarray) -> np.ndarray:
+        return (self.words[places >> 6] >> (places & 63)) & 1 == 1
+
+
+def measured_rows(rows: DataFrame, keys: DataFrame, measure: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keep: list[str]) -> DataFrame:
+    """(row_id, ``keep``, ``schema``) of the rows whose row_id is in ``keys`` (one column) and of few others.
+
+    ``measure`` gives the columns of ``schema`` for a batch; no text is moved.
+    """
+    sieve = Sieve(keys)
+    kinds = {"int": pa.int32(), "boolean": pa.bool_()}
+    made = [(n, kinds[k]) for n, k in (x.split() for x in schema.split(","))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = b.filter(pa.array(sieve.passes(b.column("__at").to_numpy())))
+            if some.num_rows:
+                values = measure(some.drop_columns(["__at", *keep]).to_pandas())
+                yield pa.RecordBatch.from_arrays([some.column(c) for c in ("row_id", *keep)] + [pa.array(values[n], kind, from_pandas=True) for n, kind in made], ["row_id", *keep, *(n for n, _ in made)])
+
+    kept = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.withColumns({"row_id": F.col("row_id").cast("bigint"), "__at": sieve.place("row_id")}).mapInArrow(run, f"row_id bigint{kept}, {schema}")
+
+
 def best_values(candidates: DataFrame, group: str, field: str, key: str, rank: list[Column], *, dominant: bool = True) -> DataFrame:
     """(group, field, key): the row whose value wins, of rows that compete for (group, field).
 

@@ -26,6 +26,8 @@ from __future__ import annotations
 import bisect
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -100,7 +102,7 @@ def take_apart(rows: DataFrame, parser: Titles, listings: set[str], more: Callab
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             pages = [page_key(u) for u in b["page"]]
-            found = [parser.parse(t) for t in b["title"]]
+            found = parser.parse_all(b["title"])
             out = b[["row_id", "id", *keep]].assign(
                 page=[p if p not in listings else "" for p in pages],
                 sig=[signature(p) if p else "" for p in found],
@@ -151,39 +153,72 @@ _PAIRS = "a bigint, b bigint, range_no int, key string, sig string, node bigint,
 _KINDS = {"a": "Int64", "b": "Int64", "range_no": "Int32", "node": "Int64", "fresh": "boolean"}
 
 
+class _Bits(dict):
+    """A bit for each letter, and six for all other characters together."""
+
+    def __missing__(self, c: str) -> int:
+        bit = self[c] = 1 << (ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 6)
+        return bit
+
+
+_bit = _Bits().__getitem__
+
+
+def _letters(name: str) -> int:
+    """The characters of a name as bits; one edit changes at most two."""
+    return reduce(or_, map(_bit, name))
+
+
 class _Traits:
     """Numbers by which pairs of titles that cannot be the same are told apart, many at once."""
 
+    COLUMNS = 12
+
     def __init__(self) -> None:
-        self.memo: dict[str, tuple[int, int, int, int, int, int, int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, sigs: list[str]) -> np.ndarray:
-        """(series, names if two, first and second name, ends of both) of each title."""
+        """(series, names if two, first and second name, ends of both; words in all, common words, bits of
+        these, all names, letters of the first and of the second name) of each title."""
         memo, out = self.memo, []
         if len(memo) > 200_000:
             memo.clear()
         for s in sigs:
             if (t := memo.get(s)) is None:
-                _, series, names = s.split("|")
-                two = names.split()
-                if len(two) != 2 or "\ufffd" in names:
-                    t = (hash(series), 0, 0, 0, 0, 0, 0)
+                common, series, joined = s.split("|")
+                words, names = common.split(), joined.split()
+                bits = 0
+                for w in words:
+                    bits |= 1 << hash(w) % 63
+                if len(names) != 2 or "\ufffd" in joined:
+                    two = hash(series), 0, 0, 0, 0, 0
+                    seen = 0, 0
                 else:
-                    p, q = two
-                    t = (hash(series), 2, hash(p), hash(q), ord(p[0]) << 32 | ord(p[-1]), ord(q[0]) << 32 | ord(q[-1]), 0)
-                memo[s] = t
+                    p, q = names
+                    two = hash(series), 2, hash(p), hash(q), ord(p[0]) << 32 | ord(p[-1]), ord(q[0]) << 32 | ord(q[-1])
+                    seen = _letters(p), _letters(q)
+                t = memo[s] = (*two, len(words) + len(names), hash(frozenset(words)), bits, hash(frozenset(names)), *seen)
             out.append(t)
-        return np.array(out, dtype=np.int64).reshape(len(sigs), 7)
+        return np.array(out, dtype=np.int64).reshape(len(sigs), self.COLUMNS)
 
 
 def _may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """``may_be_same`` for rows of traits."""
+    """``may_be_same`` for rows of traits, and more that ``same_title`` needs.
+
+    Unless the names are the same, each of at most one other common word on either side is paired with a name,
+    so that both titles have as many words; with the same common words, at most two edits part the names.
+    """
     low = 0xFFFFFFFF
     p, q, r, s = x[:, 2], x[:, 3], y[:, 2], y[:, 3]
     shared = (p == r) | (q == s) | (p == s) | (q == r)
     end = lambda a, b: ((a >> 32) == (b >> 32)) | ((a & low) == (b & low))
     close = (end(x[:, 4], y[:, 4]) & end(x[:, 5], y[:, 5])) | (end(x[:, 4], y[:, 5]) & end(x[:, 5], y[:, 4]))
-    return (x[:, 0] == y[:, 0]) & ((x[:, 1] != 2) | (y[:, 1] != 2) | shared | close)
+    not_two = (x[:, 1] != 2) | (y[:, 1] != 2)
+    apart = lambda i, j: np.bitwise_count(x[:, i] ^ y[:, j])
+    few = np.minimum(apart(10, 10) + apart(11, 11), apart(10, 11) + apart(11, 10)) <= 4
+    one = (np.bitwise_count(x[:, 8] & ~y[:, 8]) <= 1) & (np.bitwise_count(y[:, 8] & ~x[:, 8]) <= 1)
+    alike = (x[:, 6] == y[:, 6]) & one & ((x[:, 7] != y[:, 7]) | not_two | few)
+    return (x[:, 0] == y[:, 0]) & (not_two | shared | close) & ((x[:, 9] == y[:, 9]) | alike)
 
 
 def _slide(batches: Iterator[pd.DataFrame], across: bool) -> Iterator[pd.DataFrame]:

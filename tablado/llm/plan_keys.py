@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import combinations, permutations
 
+import numpy as np
 import xxhash
 
 from tablado.llm.canonical import Dictionary, deletes, edits_allowed, kind_of
@@ -80,6 +81,9 @@ def edits(a: str, b: str, most: int) -> int:
             return 1
         if most == 1:
             return 1 if len(a) == len(b) == 2 and a == b[::-1] else 2
+        # Each letter that only one of them has takes an edit.
+        if len(set(a).difference(b)) > most or len(set(b).difference(a)) > most:
+            return most + 1
     before, last = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -94,6 +98,87 @@ def edits(a: str, b: str, most: int) -> int:
     return min(last[-1], most + 1)
 
 
+#: The most pairs of a token and a common word that are looked at at once.
+_AT_ONCE = 1 << 20
+
+
+def _codes(words: list[str], n: int) -> np.ndarray:
+    return np.array(words, dtype=f"U{n}").view(np.uint32).reshape(len(words), n)
+
+
+def _letters(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of the first and of the last 1, 2, .. ``n`` characters of words of ``n``, as bits.
+
+    The letters have a bit each, all other characters six together; one edit changes at most two bits.
+    """
+    codes = _codes(words, n)
+    bits = np.uint32(1) << np.where((codes >= 97) & (codes <= 122), codes - np.uint32(97), 26 + codes % 6).astype(np.uint32)
+    return np.bitwise_or.accumulate(bits, axis=1), np.bitwise_or.accumulate(bits[:, ::-1], axis=1)
+
+
+def _within_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether ``edits`` of each pair is 2 at most; rows are the characters of words without lost ones.
+
+    All words of ``a`` are of one length and so are those of ``b``, which differ by two at most.
+    """
+    n, m = a.shape[1], b.shape[1]
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    before, last = {}, {j: np.full(a.shape[1], j, dtype=np.uint8) for j in range(min(2, m) + 1)}
+    for i in range(1, n + 1):
+        row = {0: np.full(a.shape[1], i, dtype=np.uint8)} if i <= 2 else {}
+        for j in range(max(1, i - 2), min(m, i + 2) + 1):
+            best = last[j - 1] + (a[i - 1] != b[j - 1])
+            for beside in (row.get(j - 1), last.get(j)):
+                if beside is not None:
+                    best = np.minimum(best, beside + 1)
+            if j - 2 in before and i > 1:
+                swapped = (a[i - 1] == b[j - 2]) & (a[i - 2] == b[j - 1])
+                best = np.minimum(best, before[j - 2] + np.where(swapped, 1, 9).astype(np.uint8))
+            row[j] = best
+        before, last = last, row
+    return last[m] <= 2
+
+
+class _Near:
+    """Tells which tokens are within two edits of one of some words; letters settle most, many at once.
+
+    Of words of 2h + 1 letters or more, one edit changes the first h or the last h letters, not both.
+    """
+
+    def __init__(self, words: set[str]) -> None:
+        by: dict[int, list[str]] = {}
+        for w in sorted(words - {""}):
+            by.setdefault(len(w), []).append(w)
+        self.lost = any("�" in w for w in words)
+        self.words = {n: (ws, *_letters(ws, n)) for n, ws in by.items()}
+
+    def apart(self, tokens: set[str]) -> list[str]:
+        """Those of the tokens that are more than two edits from every word, lost characters set aside."""
+        by: dict[int, list[str]] = {}
+        for t in tokens if not self.lost else ():
+            if t and "�" not in t:
+                by.setdefault(len(t), []).append(t)
+        out = []
+        for n, ts in by.items():
+            own, first, last = _codes(ts, n), *_letters(ts, n)
+            near = np.zeros(len(ts), dtype=bool)
+            for m in range(n - 2, n + 3):
+                if m not in self.words:
+                    continue
+                words, wfirst, wlast = self.words[m]
+                codes = _codes(words, m)
+                h, step = (min(n, m) - 1) // 2, max(1, _AT_ONCE // len(words))
+                for a in range(0, len(ts), step):
+                    parts = lambda x, y, a=a, step=step: np.bitwise_count(x[a : a + step, None] ^ y[None, :])
+                    close = parts(first[:, -1], wfirst[:, -1]) <= 4
+                    if h:
+                        close &= parts(first[:, h - 1], wfirst[:, h - 1]) + parts(last[:, h - 1], wlast[:, h - 1]) <= 4
+                    i, j = close.nonzero()
+                    near[a + i[_within_two(own[a + i], codes[j])]] = True
+            out += [t for t, x in zip(ts, near.tolist(), strict=True) if not x]
+        return out
+
+
 @dataclass
 class Titles:
     """Takes titles apart.  ``vocabulary``: words that many titles share; the rest are proper names.
@@ -121,6 +206,7 @@ class Titles:
                         self.near.setdefault(d, w)
                 for d in deletes(w, 2):
                     self.far.setdefault(d, set()).add(w)
+        self.near_any = _Near(self.vocabulary)
         self.venue_kinds = {kind_of(f) for f in self.venues.folded.values()} - {""}
         self.venue_longest = max((len(f) for f in self.venues.folded.values()), default=0) + 2
 
@@ -144,6 +230,15 @@ class Titles:
             self.memo[token] = hit
         return hit
 
+    def look_at(self, tokens: set[str]) -> None:
+        """Remembers which tokens no common word is within two typing errors of, so that none is tried."""
+        new = {t for t in tokens if t not in self.far_memo and t not in self.vocabulary}
+        for memo in (self.memo, self.far_memo):
+            if len(memo) + len(new) > 200_000:
+                memo.clear()
+        for t in self.near_any.apart(new):
+            self.memo[t], self.far_memo[t] = t, ()
+
     def damaged(self, token: str) -> tuple[str, ...]:
         """The common words that a proper name may be with two typing errors."""
         if (hit := self.far_memo.get(token)) is None:
@@ -183,8 +278,17 @@ class Titles:
 
     def parse(self, title: str | None) -> tuple[str, str, list[str]] | None:
         """(common words, place in a series, proper names) or None for a title that names nothing."""
+        return self._parsed(self._tokens(title))
+
+    def parse_all(self, titles: Iterable[str | None]) -> list[tuple[str, str, list[str]] | None]:
+        """``parse`` of each title, with the words of all looked at together."""
+        found = [self._tokens(t) for t in titles]
+        self.look_at({w for tokens in found for w in tokens})
+        return [self._parsed(tokens) for tokens in found]
+
+    def _tokens(self, title: str | None) -> list[str]:
         if not title or not title.strip():
-            return None
+            return []
         text = self.model.clean_title(title)
         if "&" in text:
             text = repair(html.unescape(text))[1]
@@ -197,6 +301,9 @@ class Titles:
             if head and self.is_venue(" ".join(_TOKEN.findall(tail))):
                 found = _TOKEN.findall(head)
             tokens += found
+        return tokens
+
+    def _parsed(self, tokens: list[str]) -> tuple[str, str, list[str]] | None:
         tokens = [t if t in self.vocabulary else self.word(t) for t in tokens]
         series, rest, i = set(), [], 0
         while i < len(tokens):
@@ -276,11 +383,11 @@ def same_title(a: tuple[str, str, list[str]], b: tuple[str, str, list[str]]) ->
         return na == nb and not only_a and not only_b
     # A common word with two typing errors may have been taken for a name.
     for x in list(only_a):
-        if m := next((t for t in nb if t not in na and edits(x, t, 2) <= 2 and len(x) > 4), None):
+        if m := len(x) > 4 and next((t for t in nb if t not in na and edits(x, t, 2) <= 2), None):
             nb.remove(m)
             only_a.discard(x)
     for x in list(only_b):
-        if m := next((t for t in na if t not in nb and edits(x, t, 2) <= 2 and len(x) > 4), None):
+        if m := len(x) > 4 and next((t for t in na if t not in nb and edits(x, t, 2) <= 2), None):
             na.remove(m)
             only_b.discard(x)
     if only_a or only_b or len(na) != len(nb) or not na:
